@@ -29,10 +29,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
-def _window_hash(words: Column, start: Column, n: int) -> Column:
-    return F.xxhash64(F.slice(words, start, n))
-
-
 def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     """(window, len, items): distinct normalised windows and the items that hold them."""
     words = benchmark.select(F.col("item_id").alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
@@ -55,6 +51,20 @@ def _bit_table(windows: DataFrame, count: int) -> tuple[Column, int]:
     return F.split(F.lit(",".join(table)), ",").cast("array<bigint>"), bits
 
 
+def _candidates(words: Column, length: int, table: Column | None, bits: int) -> Column:
+    """The windows of ``length`` words whose hash has its bit in ``table`` (all, without a table), spelled out."""
+    starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - length + 1)).otherwise(F.array().cast("array<int>"))
+
+    def passes(i: Column) -> Column:
+        slot = F.pmod(F.xxhash64(F.slice(words, i, length)), F.lit(bits))
+        return F.call_function("shiftright", F.get(table, F.floor(slot / 64).cast("int")), (slot % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    def spell(i: Column) -> Column:
+        return F.struct(i.alias("at"), F.lit(length).alias("len"), F.array_join(F.slice(words, i, length), " ").alias("window"))
+
+    return F.transform(F.filter(starts, passes) if table is not None else starts, spell)
+
+
 def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast_windows: int = 1 << 17) -> DataFrame:
     """A row for each input row: doc_id, text_key, n_words, spans (array of word start and length), items (array of item_id)."""
     windows = benchmark_windows(benchmark, n).persist()
@@ -63,18 +73,9 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_broad
     small = count <= max_broadcast_windows
     docs = documents.select(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()).alias("text_key"), words_of(F.col("text")).alias("words"))
     words, size = F.col("words"), F.size("words")
-    found = F.array().cast("array<struct<at:int,len:int,window:string>>")
     table, bits = _bit_table(windows, count) if small and count else (None, 0)
-    for length in sorted(per_length):
-        starts = F.when(size >= length, F.sequence(F.lit(1), size - length + 1)).otherwise(F.array().cast("array<int>"))
-        if table is not None:
-            def passes(i, length=length):
-                slot = F.pmod(_window_hash(words, i, length), F.lit(bits))
-                return F.call_function("shiftright", F.get(table, F.floor(slot / 64).cast("int")), (slot % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-            starts = F.filter(starts, passes)
-        spelled = F.transform(starts, lambda i, length=length: F.struct(i.alias("at"), F.lit(length).alias("len"), F.array_join(F.slice(words, i, length), " ").alias("window")))
-        found = F.concat(found, spelled) if len(per_length) > 1 else spelled
+    found = [_candidates(words, length, table, bits) for length in sorted(per_length)]
+    found = F.concat(*found) if len(found) > 1 else found[0] if found else F.array().cast("array<struct<at:int,len:int,window:string>>")
     rows = docs.select("doc_id", "text_key", size.alias("n_words"), F.posexplode_outer(found).alias("j", "c"))
     rows = rows.select("doc_id", "text_key", "n_words", (F.coalesce("j", F.lit(0)) == 0).alias("first"), F.col("c.at").alias("at"), F.col("c.len").alias("len"), F.col("c.window").alias("window"))
     known = windows.select("window", "items")
