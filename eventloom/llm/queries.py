@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontamination
+from eventloom.llm import decontamination, fixity, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +22,20 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op7_decontaminate"] = op7_decontaminate
 ORACLES["op7_decontaminate"] = decontamination.ORACLE
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_table(_table(spark, sf_dir, "documents"), packing.word_tokenizer_path())
+
+
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(_table(spark, sf_dir, "documents"))
+
+
+def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return fixity.fixity_report(pages, fixity.damaged_replica(pages))
+
+
+QUERIES |= {"op1_best_fit_packing": op1_best_fit_packing, "op6_kd_sharding": op6_kd_sharding, "op10_merkle_audit": op10_merkle_audit}
+ORACLES["op10_merkle_audit"] = fixity.ORACLE
