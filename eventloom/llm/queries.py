@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontamination, fixity, packing, sharding
+from eventloom.llm import decontamination, fixity, language, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,10 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op1_best_fit_packing": op1_best_fit_packing, "op6_kd_sharding": op6_kd_sharding, "op10_merkle_audit": op10_merkle_audit}
 ORACLES["op10_merkle_audit"] = fixity.ORACLE
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_table(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op2_language_id"] = op2_language_id
