@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontamination, fixity, language, packing, sharding
+from eventloom.llm import decontamination, fingerprints, fixity, language, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_language_id"] = op2_language_id
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.simhash_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_simhash"] = op5_simhash
