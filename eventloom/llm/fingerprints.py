@@ -1,8 +1,8 @@
 """SimHash document fingerprints and search in permuted block tables.
 
 Every distinct term (a pair of neighbouring words) votes with the signed bits of its 256-bit
-hash, with a weight of one plus the binary logarithm, rounded down, of how often it occurs in
-the text, so that a line repeated many times doesn't outvote the rest. Fingerprints within a chosen Hamming
+hash, weighted by the square root of how often it occurs: the part of the votes that a passage
+holds is then the part of the words that it holds, be it repetitive or not. Fingerprints within a chosen Hamming
 radius are found exactly: bits are cut into blocks, of which at least ``blocks - radius``
 agree; for each such choice of blocks a table is keyed by them, and pairs that share a key in
 some table are verified by their distance.
@@ -36,8 +36,8 @@ _LANES = np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4
 _SLICE = 1 << 15
 
 
-def _vote(votes: np.ndarray, terms: np.ndarray, text: np.ndarray) -> None:
-    """Add one vote of each term, signed by its bits, to its text."""
+def _vote(votes: np.ndarray, terms: np.ndarray, text: np.ndarray, weight: int) -> None:
+    """Add ``weight`` votes of each term, signed by its bits, to its text."""
     for s in range(0, len(terms), _SLICE):
         part, own = terms[s : s + _SLICE], text[s : s + _SLICE]
         raw = bytehash.mix(part[:, None] + _LANES[None, :]).view(np.uint8)
@@ -46,7 +46,7 @@ def _vote(votes: np.ndarray, terms: np.ndarray, text: np.ndarray) -> None:
         seg = np.unique(np.concatenate([begins, np.arange(0, len(part), 255)]))
         ones = np.add.reduceat(packed, seg, axis=0).view(np.uint8).astype(np.int64)
         sizes = np.diff(np.concatenate([seg, [len(part)]]))
-        np.add.at(votes, own[seg], 2 * ones - sizes[:, None])
+        np.add.at(votes, own[seg], weight * (2 * ones - sizes[:, None]))
 
 
 def simhash(texts: list[bytes]) -> np.ndarray:
@@ -54,11 +54,12 @@ def simhash(texts: list[bytes]) -> np.ndarray:
     hashes, at = bytehash.words(texts)
     terms, text = bytehash.shingles(hashes, at, TERM_WORDS)
     tagged, times = np.unique((text.astype(np.uint64) << np.uint64(50)) | (terms >> np.uint64(14)), return_counts=True)
-    weight = np.frexp(times)[1]  # 1 + floor(log2(times))
+    weight = np.rint(4 * np.sqrt(times)).astype(np.int64)
     votes = np.zeros((len(texts), BITS), np.int64)
-    for level in range(1, int(weight.max(initial=0)) + 1):
-        chosen = tagged[weight >= level]
-        _vote(votes, chosen & np.uint64((1 << 50) - 1), (chosen >> np.uint64(50)).astype(np.int64))
+    for bit in range(int(weight.max(initial=0)).bit_length()):
+        chosen = tagged[(weight >> bit) & 1 == 1]
+        if len(chosen):
+            _vote(votes, chosen & np.uint64((1 << 50) - 1), (chosen >> np.uint64(50)).astype(np.int64), 1 << bit)
     return np.packbits(votes > 0, axis=1)
 
 
