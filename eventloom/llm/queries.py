@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontamination, fingerprints, fixity, jaccard, language, packing, sharding
+from eventloom.llm import decontamination, fingerprints, fixity, jaccard, language, packing, sharding, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_ngram_jaccard"] = op3_ngram_jaccard
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_suffix_dedup"] = op4_suffix_dedup
