@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontamination, fingerprints, fixity, jaccard, language, packing, secrets, sharding, suffixes
+from eventloom.llm import decontamination, fingerprints, fixity, jaccard, language, packing, pii, secrets, sharding, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_secret_scan"] = op8_secret_scan
+
+
+def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_pii_crf"] = op9_pii_crf
