@@ -6,9 +6,9 @@ runs best-fit decreasing over counts, so that every step places a run of equal p
 run of equal open sequences. The plan is a list of slot runs; pieces are numbered within their
 length, in parallel, and take the slot whose run holds their number, by a join on length.
 
-Word pieces never cross the splitter's words, so the ids of a word are asked of the tokenizer
-once and kept in a bounded cache; texts with characters for which the splitter's rules are not
-restated here, or that may spell an added token, go to the tokenizer whole.
+Tokens never cross ASCII white space, nor the splitter's words, so a text is asked of the
+tokenizer chunk by chunk between white space, and a chunk of plain Latin characters word by
+word; ids of chunks and words are kept in caches of bounded size.
 
 Defined results: null and empty texts are one piece of one token (the separator); repeated
 rows are packed each on their own; an empty table gives an empty result; null doc_id is kept;
@@ -31,11 +31,11 @@ from eventloom.session import Scratch
 
 CAPACITY, SEPARATOR = 4096, 1
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-# The splitter's classes, restated for the characters up to U+017F whose class is plain.
+_CACHE_SIZE = 250_000
+# Chunks of these characters only are split further, by the splitter's classes restated for them.
 _LETTERS = "a-zªµºÀ-ÖØ-öø-ſ"
-_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
-_OTHER = re.compile("[^\t\n\r\x20-\x7e¡-¬®-±´-¸º»¿-įı-ſ]")
-_CACHE_WORDS = 400_000
+_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+_PLAIN = re.compile("[!-;=-~¡-¬®-±´-¸º»¿-įı-ſ]+")
 
 
 def word_tokenizer_path() -> str:
@@ -44,6 +44,21 @@ def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Recent:
+    """A dictionary of bounded size: when full it becomes the older half, from which what is used again returns."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.older = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        if len(self.now) > self.size:
+            self.now, self.older = {}, self.now
+        fresh = keys.difference(self.now)
+        known = fresh.intersection(self.older)
+        self.now.update((k, self.older[k]) for k in known)
+        return list(fresh.difference(known))
+
+
 class WordTokenizer:
     """Token ids of whole texts as little-endian 32-bit bytes."""
 
@@ -54,20 +69,27 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.chunks, self.words = _Recent(_CACHE_SIZE), _Recent(_CACHE_SIZE)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, fresh: list[bytes]) -> None:
+        texts = [c.decode() for c in fresh]
+        split = [_WORD.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in texts]
+        new = self.words.missing(set().union(*(w for w in split if w)))
+        self.words.now.update(zip(new, self._encode(new), strict=True))
+        whole = iter(self._encode([t for t, w in zip(texts, split, strict=True) if w is None]))
+        look = self.words.now.__getitem__
+        self.chunks.now.update((c, next(whole) if w is None else b"".join(map(look, w))) for c, w in zip(fresh, split, strict=True))
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        words: list[list[str] | None] = [None if "<|" in t or _OTHER.search(t) else _WORD.findall(t.lower()) for t in texts]
-        if len(self.cache) > _CACHE_WORDS:
-            self.cache.clear()
-        fresh = list(set().union(*(w for w in words if w is not None)).difference(self.cache))
-        self.cache.update(zip(fresh, self._encode(fresh), strict=True))
-        rest = iter(self._encode([t for t, w in zip(texts, words, strict=True) if w is None]))
-        look = self.cache.__getitem__
-        return [next(rest) if w is None else b"".join(map(look, w)) for w in words]
+        chunks = [t.encode().split() for t in texts]
+        fresh = self.chunks.missing(set().union(*chunks))
+        if fresh:
+            self._learn(fresh)
+        look = self.chunks.now.__getitem__
+        return [b"".join(map(look, c)) for c in chunks]
 
 
 def _tokenise(path: str, capacity: int, with_ids: bool):
