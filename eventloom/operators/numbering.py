@@ -33,3 +33,21 @@ def rank_in_group(df: DataFrame, group: list[str], spread: Column, order: list[C
         cond = here if cond is None else cond & here
     joined = numbered.join(right, cond, "left")
     return joined.withColumn(out, (F.col("_base") + F.col("_k")).cast("long")).drop("_sub", "_k", "_base", *[f"_r_{c}" for c in [*group, "_sub"]])
+
+
+def number_in_order(df: DataFrame, order: list[Column], out: str, label: str = "numbering") -> DataFrame:
+    """Number all rows 1, 2, 3, ... in a total order without a single-task window.
+
+    Rows are range-partitioned and written once; a running sum over partition counts gives each
+    partition its base, and rows are numbered inside their own partition.
+    """
+    from eventloom.session import Scratch
+
+    scratch = Scratch(df.sparkSession, label)
+    dealt = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    rows = scratch.save(dealt, "rows")
+    counts = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col("_pid").alias("_q"), "_n")
+    base = counts.select("_pid").join(before, F.col("_q") < F.col("_pid"), "left").groupBy("_pid").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_base"))
+    own = Window.partitionBy("_pid").orderBy(*order)
+    return rows.withColumn(out, F.row_number().over(own)).join(F.broadcast(base), "_pid").withColumn(out, (F.col(out) + F.col("_base")).cast("long")).drop("_pid", "_base")
