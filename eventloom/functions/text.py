@@ -129,8 +129,17 @@ def parse_count(x: Column | str) -> Column:
 
 
 def compact_number(x: Column | str) -> Column:
+    """1.2K, 3M: one decimal by the double's exact value, halves up, a zero decimal dropped."""
     n = F.coalesce(_c(x).cast("double"), F.lit(0.0))
-    shown = lambda v, unit: F.concat(F.regexp_replace(F.format_string("%.1f", v), r"\.0$", ""), F.lit(unit))
+
+    def shown(v: Column, unit: str) -> Column:
+        whole = F.floor(v)
+        rest = v - whole
+        tenth = F.floor(rest * 10)
+        tenths = whole * 10 + tenth + (rest >= (tenth * 10 + 5) / 100).cast("long")
+        digit = tenths % 10
+        return F.concat(F.floor(tenths / 10).cast("string"), F.when(digit > 0, F.concat(F.lit("."), digit.cast("string"))).otherwise(F.lit("")), F.lit(unit))
+
     whole = F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string"))
     return F.when(n >= 1e6, shown(n / 1e6, "M")).when(n >= 1e3, shown(n / 1e3, "K")).otherwise(whole)
 
