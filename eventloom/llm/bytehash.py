@@ -94,3 +94,10 @@ def chunks(sizes: list[int], most: int):
             begin, total = k + 1, 0
     if begin < len(sizes):
         yield begin, len(sizes)
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in slices, so that only a slice's texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

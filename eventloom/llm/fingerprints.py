@@ -93,7 +93,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stream sorted neighbours; the last text waits in the partition's edge row."""
     names = [n for n, _ in _FIELDS + _EDGE]
     part, first, held = TaskContext.get().partitionId(), None, None
-    for batch in batches:
+    for batch in bytehash.slices(batches):
         ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
         if not ids:
             continue

@@ -108,7 +108,7 @@ def _batch(names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _send_keys(buckets: int, flush: int = 1_000_000):
+def _send_keys(buckets: int, flush: int = 600_000):
     """Keys of all segments, packed by bucket; keys met twice here are told apart at once."""
 
     def pack(keys: list[np.ndarray], owners: list[np.ndarray], selfs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def _send_keys(buckets: int, flush: int = 1_000_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, selfs, held = [], [], [], 0
-        for batch in batches:
+        for batch in bytehash.slices(batches):
             owner = np.asarray(batch.column("t").to_pylist(), np.int64)
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
             for text, _, _, key, self_ in all_segments(texts):
@@ -193,7 +193,7 @@ _FOUND_NAMES = ["kind", "bucket", "o", "t", "start", "run", "raw"]
 _FOUND_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
-def _send_segments(buckets: int, flush: int = 24 << 20):
+def _send_segments(buckets: int, flush: int = 16 << 20):
     """Segments under repeated keys, each distinct content once a flush (kind 0); later equals are repeats (kind 1)."""
 
     def pack(kept: dict, repeats: list) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def _send_segments(buckets: int, flush: int = 24 << 20):
         kept: dict = {}
         repeats: list = []
         held = 0
-        for batch in batches:
+        for batch in bytehash.slices(batches):
             order, owner = batch.column("o").to_pylist(), batch.column("t").to_pylist()
             asked = [np.asarray(x, np.int32).view(np.uint32) for x in batch.column("keys").to_pylist()]
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
@@ -239,7 +239,7 @@ def _send_segments(buckets: int, flush: int = 24 << 20):
 
 def _refine(bucket: np.ndarray, step: int, at: np.ndarray) -> np.ndarray:
     """Buckets of twice the depth (or step more) for the suffixes ``at``, from their own and the later suffix's; -1 where alone."""
-    out = np.full(len(bucket), -1, np.int64)
+    out = np.full(len(bucket), -1, np.int32)
     own, later = bucket[at], bucket[at + step]
     alive = (own >= 0) & (later >= 0)
     at = at[alive]
@@ -251,14 +251,15 @@ def _refine(bucket: np.ndarray, step: int, at: np.ndarray) -> np.ndarray:
 
 def window_classes(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position, class) of all windows that equal another; ``data`` holds segments of ``lens`` bytes one after another."""
-    left = np.repeat(np.cumsum(lens), lens) - np.arange(len(data))
+    left = (np.repeat(np.cumsum(lens), lens) - np.arange(len(data))).astype(np.int32)
     gram = np.zeros(len(data), np.uint64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     for k in range(8):
-        gram = (gram << np.uint64(8)) | padded[k : k + len(data)]
+        gram <<= np.uint64(8)
+        gram |= padded[k : k + len(data)]
     at = np.flatnonzero(left >= 8)
     _, inverse, times = np.unique(gram[at], return_inverse=True, return_counts=True)
-    bucket = np.full(len(data), -1, np.int64)
+    bucket = np.full(len(data), -1, np.int32)
     bucket[at] = np.where(times[inverse] > 1, inverse, -1)
     depth = 8
     while 2 * depth <= WINDOW:
@@ -330,7 +331,7 @@ def _cut(with_text: bool):
     """(t, n_removed, n_spans, kept_sha256[, kept]) of each text with its repeated runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytehash.slices(batches):
             removed, counts, shas, texts = [], [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = (text or "").encode()
@@ -352,7 +353,8 @@ def dedup_substrings(documents: DataFrame, with_text: bool = False, max_broadcas
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay, where asked for)."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "suffixes")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * partitions  # a task holds one bucket at a time
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("t", F.xxhash64("text"))
     docs = docs.withColumn("o", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("t", F.when(F.col("t") == 0, F.lit(1)).otherwise(F.col("t")))
@@ -362,12 +364,12 @@ def dedup_substrings(documents: DataFrame, with_text: bool = False, max_broadcas
     few = copies.count() <= max_broadcast
     firsts = docs.join(F.broadcast(copies) if few else copies, ["t", "o"], "left_anti").where(F.octet_length("text") >= WINDOW)
     sent = firsts.select("t", "text").mapInArrow(_send_keys(buckets), "bucket int, keys binary, owners binary, many boolean")
-    known = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_keys, "t long, key int")
+    known = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_keys, "t long, key int")
     asked = scratch.save(scratch.save(known, "known").groupBy("t").agg(F.collect_set("key").alias("keys")), "asked")
     scratch.drop("known")
     side = F.broadcast(asked) if asked.count() <= max_broadcast else asked
     found = scratch.save(firsts.join(side, "t").select("o", "t", "keys", "text").mapInArrow(_send_segments(buckets), _FOUND), "found")
-    again = found.where("kind = 0").select("bucket", "o", "t", "start", "run", "raw").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "t long, start long, run long")
+    again = found.where("kind = 0").select("bucket", "o", "t", "start", "run", "raw").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "t long, start long, run long")
     spans = again.unionByName(found.where("kind = 1").select("t", "start", "run")).groupBy("t").agg(F.collect_list(F.struct("start", "run")).alias("spans"))
     spans = scratch.save(spans, "spans")
     scratch.drop("found", "asked")
