@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators.numbering import rank_in_group
+from eventloom.operators.skew import join_facts
 from eventloom.session import Scratch
 
 DIMENSIONS = ("size", "lang", "source", "position")
@@ -53,8 +54,8 @@ def _meta(documents: DataFrame, scratch: Scratch) -> DataFrame:
     rows = scratch.save(rows, "rows")
     ends = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     lo, width = ends["lo"] or 0, max(1, (ends["hi"] or 0) - (ends["lo"] or 0))
-    groups = rows.groupBy("grp").agg(F.min("doc_id").alias("g_id"), F.min("lang").alias("g_lang"), F.min("source").alias("g_source"))
-    joined = rows.drop("lang", "source").join(groups, "grp")
+    groups = rows.groupBy("grp").agg(F.min("doc_id").alias("g_id"), F.min("lang").alias("g_lang"), F.min("source").alias("g_source"), F.count(F.lit(1)).alias("g_rows"))
+    joined = join_facts(rows.drop("lang", "source"), scratch.save(groups, "groups"), "grp", "g_rows", "inner")
     shares = (F.log2(F.col("size").cast("double")) / 48, F.crc32(F.col("g_lang").cast("binary")) / float(1 << 32), F.crc32(F.col("g_source").cast("binary")) / float(1 << 32), (F.coalesce("g_id", F.lit(lo)) - lo) / float(width))
     return joined.select("doc_id", "size", "text_crc32", F.concat(_hex64(F.col("grp")), _hex64(F.xxhash64("doc_id", "text_crc32"))).alias("tail"), F.array(*[_coordinate(x) for x in shares]).alias("at"))
 
@@ -107,7 +108,7 @@ def kd_shards(documents: DataFrame, shards: int | None = None, target_bytes: int
     spark = documents.sparkSession
     scratch = Scratch(spark, "shards")
     rows = scratch.save(_meta(documents, scratch).withColumn("node", F.lit(0).cast("long")), "level0")
-    scratch.drop("rows")
+    scratch.drop("rows", "groups")
     total = rows.agg(F.sum("size").alias("w")).first()["w"] or 0
     leaves = shards or max(1, -(-total // target_bytes))
     nodes, level = {0: (0, leaves)}, 0
