@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import bytehash
+from eventloom.operators.skew import join_facts
 from eventloom.session import Scratch
 
 WINDOW, GRAM = 100, 32
@@ -360,7 +361,7 @@ def dedup_substrings(documents: DataFrame, with_text: bool = False, max_broadcas
     docs = docs.withColumn("o", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("t", F.when(F.col("t") == 0, F.lit(1)).otherwise(F.col("t")))
     ids = scratch.save(docs.groupBy("t", "doc_id", "o").agg(F.count(F.lit(1)).alias("c"), F.first(F.octet_length("text")).cast("long").alias("n_bytes")), "ids")
     heads = scratch.save(ids.groupBy("t").agg(F.min("o").alias("head"), F.count(F.lit(1)).alias("rows")), "heads")
-    copies = ids.join(heads.where("rows > 1"), "t").where("o > head").select("t", "o")
+    copies = scratch.save(join_facts(ids, heads.where("rows > 1"), "t", "rows", "inner").where("o > head").select("t", "o"), "copies")
     few = copies.count() <= max_broadcast
     firsts = docs.join(F.broadcast(copies) if few else copies, ["t", "o"], "left_anti").where(F.octet_length("text") >= WINDOW)
     sent = firsts.select("t", "text").mapInArrow(_send_keys(buckets), "bucket int, keys binary, owners binary, many boolean")
@@ -378,7 +379,8 @@ def dedup_substrings(documents: DataFrame, with_text: bool = False, max_broadcas
     one = docs.join(F.broadcast(copies) if few else copies, ["t", "o"], "left_anti")
     results = one.join(side, "t", "left").select("t", "text", "spans").mapInArrow(_cut(with_text), schema)
     results = scratch.save(results, "results").dropDuplicates(["t"])
-    rows = ids.join(results, "t").join(heads.select("t", "head"), "t").withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
+    facts = scratch.save(results.join(heads, "t"), "facts")
+    rows = join_facts(ids, facts, "t", "rows", "inner").withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
     first = (F.col("o") == F.col("head")) & (F.col("j") == 1)
     whole = ~first & (F.col("n_bytes") >= WINDOW)
     out = [F.col("doc_id"), F.col("n_bytes"), F.when(whole, F.col("n_bytes")).when(first, F.col("n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(whole, F.lit(1)).when(first, F.col("n_spans")).otherwise(F.lit(0)).cast("long").alias("n_spans"), F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.col("kept_sha256")).alias("kept_sha256")]
