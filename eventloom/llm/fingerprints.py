@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import bytehash
+from eventloom.operators.skew import join_facts
 from eventloom.session import Scratch
 
 BITS, TERM_WORDS = 256, 2
@@ -174,7 +175,7 @@ def simhash_report(documents: DataFrame, radius: int = 3) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "simhash")
     table = scratch.save(table, "table")
     asked = table.where(F.col("doc_id") % 50 == 0)
-    near = near_fingerprints(table, asked, radius).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
-    counts = asked.select(F.col("fingerprint")).distinct().join(near, F.col("fingerprint") == F.col("query")).select("fingerprint", "n")
-    joined = table.join(counts, "fingerprint", "left")
+    near = near_fingerprints(table, asked, radius).groupBy(F.col("query").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
+    held = table.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("held"))
+    joined = join_facts(table, scratch.save(near.join(held, "fingerprint"), "near"), "fingerprint", "held")
     return joined.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.when(F.col("doc_id") % 50 == 0, F.col("n")).alias("n_near"))
