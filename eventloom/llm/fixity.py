@@ -65,7 +65,7 @@ def _depth(leaf: DataFrame, records_per_file: int, fanout: int) -> int:
 
 
 def audit(original: DataFrame, replica: DataFrame, records_per_file: int = 1000, fanout: int = 10, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(bad, roots, leaf): damaged leaf positions as (file_id, pos, fault), roots of the original's files, and its leaves."""
+    """(bad, roots, leaf): leaf positions that differ as (file_id, pos, fault: damaged, moved, missing or added), roots of the original's files, and its leaves."""
     scratch = scratch or Scratch(original.sparkSession, "fixity")
     a = scratch.save(leaves(original, records_per_file), "a")
     b = scratch.save(leaves(replica, records_per_file), "b")
@@ -79,7 +79,9 @@ def audit(original: DataFrame, replica: DataFrame, records_per_file: int = 1000,
         differ = here.join(there, ["file_id", "pos"], "full").where(~F.col("x").eqNullSafe(F.col("y")))
         differ = scratch.save(differ, f"differ{level}")
         suspects = differ.select(F.col("file_id").alias("s_file"), F.col("pos").cast("long").alias("s_pos"))
-    fault = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "added").otherwise("damaged")
+    own = [t.select("file_id", "pos", F.col("record_sha256").alias(n)) for t, n in ((a, "r_a"), (b, "r_b"))]
+    differ = differ.join(own[0], ["file_id", "pos"], "left").join(own[1], ["file_id", "pos"], "left")
+    fault = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "added").when(F.col("r_a") == F.col("r_b"), "moved").otherwise("damaged")
     return differ.select("file_id", "pos", fault.alias("fault")), up_a[depth].select("file_id", F.col("node").alias("root")), a
 
 

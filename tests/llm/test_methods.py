@@ -1,0 +1,346 @@
+"""Operators against brute force, exact round trips and held-out accuracy."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from oracle_tool import compare
+from pyspark.sql import functions as F
+
+from eventloom.llm import bytehash, decontamination, fingerprints, fixity, jaccard, language, packing, pii, queries, secrets, sharding, suffixes
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+
+
+def test_words_and_shingles():
+    texts = [b"The cat  sat\ton the mat", b"", b"  ", b"one", b"the CAT sat on", "é x é x é".encode()]
+    hashes, at = bytehash.words(texts)
+    assert np.diff(at).tolist() == [6, 0, 0, 1, 4, 5]
+    assert hashes[:3].tolist() == hashes[at[4] : at[4] + 3].tolist()
+    tokens, text = bytehash.shingles(hashes, at, 4)
+    assert Counter(text.tolist()) == {0: 3, 3: 1, 4: 1, 5: 2}
+    assert tokens[text == 4][0] == tokens[text == 0][0]
+
+
+def test_plan_is_best_fit_decreasing():
+    rng = random.Random(3)
+    for _ in range(60):
+        histogram = {rng.randint(1, 60): rng.randint(1, 40) for _ in range(rng.randint(0, 25))}
+        runs, used = packing.plan_runs(histogram, 60), Counter()
+        sequences = {}
+        for length, first, last, sequence, per, offset in runs:
+            for number in range(first, last + 1):
+                used[length] += 1
+                k = number - first
+                sequences.setdefault(sequence + k // per, []).append((offset + k % per * length, length))
+        assert dict(used) == histogram
+        for parts in sequences.values():
+            ends = [0]
+            for offset, length in sorted(parts):
+                assert offset == ends[-1]
+                ends.append(offset + length)
+            assert ends[-1] <= 60
+        bins = []
+        for length in sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True):
+            fits = [i for i, room in enumerate(bins) if room >= length]
+            if fits:
+                bins[min(fits, key=lambda i: bins[i])] -= length
+            else:
+                bins.append(60 - length)
+        assert len(bins) == len(sequences)
+
+
+def test_packing_round_trip(docs, texts):
+    tokenizer = packing.WordTokenizer(packing.word_tokenizer_path()).tokenizer
+    rows = packing.pack(docs, packing.word_tokenizer_path(), with_ids=True).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r)
+    for doc_id, text in texts.items():
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        parts = sorted(by[doc_id], key=lambda r: r["piece"])
+        assert [i for r in parts for i in np.frombuffer(r["ids"], "<u4").tolist()] == ids
+        assert all(r["length"] == 4096 for r in parts[:-1]) and all(zlib.crc32(r["ids"]) == r["ids_crc32"] and r["start"] == 4096 * r["piece"] for r in parts)
+
+
+def test_chunks_agree_with_the_tokenizer():
+    rng = random.Random(5)
+    pool = [chr(c) for c in [*range(9, 14), *range(28, 127), *range(160, 0x250), 0x3A3, 0x300, 0x301, 0x4E2D, 0x1F600, 0x2019, 0x200B, 0x85, 0x3000]] + ["'s", "'re", " ", "<|endoftext|>"] * 6
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    w = packing.WordTokenizer(packing.word_tokenizer_path())
+    for text, raw in zip(texts, w.ids(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_language_held_out(docs):
+    out = language.language_table(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(out) > 20 and sum(r["lang_pred"] == r["lang"] for r in out) / len(out) >= 0.95
+
+
+def test_language_mixture():
+    rng = random.Random(1)
+    make = {"xx": "abcde", "yy": "mnopq"}
+    words = {k: ["".join(rng.choice(v) for _ in range(5)) for _ in range(300)] for k, v in make.items()}
+    grams = {}
+    for j, k in enumerate(("xx", "yy")):
+        for w in words[k]:
+            s = f"^{w}$"
+            for i in range(1, len(s)):
+                grams.setdefault(s[max(0, i - 2) : i + 1], np.zeros(2))[j] += 1
+    m = language.Mixture({"languages": ["xx", "yy"], "grams": grams})
+    labels, scores, mixtures = m.infer([" ".join(words["xx"][:100]), " ".join(words["xx"][:75] + words["yy"][:25]), "123", None])
+    assert labels == ["xx", "xx", "und", "und"] and scores[0] == 1.0 and abs(scores[1] - 0.75) < 0.05
+    assert len(mixtures[0]) == 1 and len(mixtures[1]) == 2
+
+
+def _classes(texts, n, num, den):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(low))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = Counter()
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            a, b = sets[i], sets[j]
+            if a and b and den * len(a & b) >= num * len(a | b):
+                links[i] += 1
+                links[j] += 1
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), find(i), links[i]) for i in sets}
+
+
+@pytest.mark.parametrize(("n", "num", "den", "block"), [(4, 85, 100, 512), (5, 80, 100, 512), (4, 85, 100, 16), (2, 60, 100, 7)])
+def test_jaccard_brute(spark, n, num, den, block):
+    rng = random.Random(n * num + block)
+    vocab = [f"w{k}" for k in range(80)]
+    texts, hot = {}, [rng.choice(vocab) for _ in range(60)]
+    for i in range(150):
+        kind = rng.random()
+        if kind < 0.4:  # a large group of near copies around one text
+            w = list(hot)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+        elif kind < 0.6 and texts:
+            w = texts[rng.choice(list(texts))].split()
+            if w and rng.random() < 0.5:
+                w[rng.randrange(len(w))] = "Zz"
+        else:
+            w = [rng.choice(vocab) for _ in range(rng.choice([0, 1, 3, 8, 20, 70]))] + hot[:15] * rng.randint(0, 1)
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.jaccard_classes(df, n, num, den, block_sets=block).collect()}
+    assert got == _classes(texts, n, num, den)
+
+
+def test_suffixes_brute(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(230))
+    texts = {}
+    for i in range(70):
+        parts = []
+        for _ in range(rng.randint(0, 5)):
+            kind = rng.random()
+            if kind < 0.4:
+                a = rng.randrange(120)
+                parts.append(passage[a : a + rng.randint(60, 230)])
+            elif kind < 0.5:
+                parts.append(rng.choice("xy") * rng.randint(50, 400))
+            elif kind < 0.6:
+                parts.append("ab é" * rng.randint(10, 60))
+            else:
+                parts.append("".join(rng.choice("ijklmnop ") for _ in range(rng.randint(1, 300))))
+        texts[i] = "".join(parts)
+    texts[70], texts[71] = texts[3], texts[3]
+    rows = suffixes.dedup_substrings(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), with_text=True).collect()
+    got = {r["doc_id"]: r for r in rows}
+    seen = set()
+    for i, t in sorted(texts.items()):
+        raw, holes = t.encode(), []
+        for k in range(len(raw) - 99):
+            window = raw[k : k + 100]
+            if window not in seen:
+                seen.add(window)
+            elif holes and k <= holes[-1][1]:
+                holes[-1][1] = k + 100
+            else:
+                holes.append([k, k + 100])
+        ends = [0, *(x for h in holes for x in h), len(raw)]
+        kept = b"".join(raw[ends[j] : ends[j + 1]] for j in range(0, len(ends), 2))
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) == (len(raw), len(raw) - len(kept), len(holes), hashlib.sha256(kept).hexdigest(), kept), i
+
+
+def test_suffix_flushes(monkeypatch):
+    rng = random.Random(2)
+    data = bytes(rng.choice(b"ab") for _ in range(900))
+    base = [data[:400], data[300:700], data[:400]]
+    lens = np.array([len(x) for x in base])
+    at, cls = suffixes.window_classes(np.frombuffer(b"".join(base), np.uint8), lens)
+    where = {}
+    start = np.cumsum(lens) - lens
+    for k, x in enumerate(base):
+        for i in range(len(x) - 99):
+            where.setdefault(x[i : i + 100], []).append(int(start[k]) + i)
+    want = sorted(tuple(v) for v in where.values() if len(v) > 1)
+    groups = {}
+    for a, c in zip(at.tolist(), cls.tolist(), strict=True):
+        groups.setdefault(c, []).append(a)
+    assert sorted(map(tuple, groups.values())) == want
+
+
+def test_fingerprint_chain(docs, texts):
+    rows = {r["doc_id"]: r for r in fingerprints.fingerprint_table(docs).collect()}
+    ids = sorted(texts)
+    prints = {}
+    for k, i in enumerate(ids):
+        following = texts[ids[(k + 1) % len(ids)]]
+        quarter = len(texts[i]) // 4
+        edited = texts[i][: len(texts[i]) - quarter] + following[:quarter]
+        assert rows[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and rows[i]["n_chars"] == len(texts[i])
+        prints.setdefault(texts[i], set()).add(rows[i]["fingerprint"])
+    assert max(map(len, prints.values())) == 1
+    near, far = np.array([rows[i]["near_edited"] for i in ids]), np.array([rows[i]["near_next"] for i in ids])
+    assert np.median(near) > 0.7 and np.median(far) < 0.6
+
+
+def test_near_fingerprints_brute(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(256) for _ in range(20)]
+    prints = {x ^ sum(1 << b for b in rng.sample(range(256), rng.randint(0, 6))) for x in base for _ in range(8)}
+    df = spark.createDataFrame([(f"{x:064x}",) for x in prints], "fingerprint string")
+    for radius, blocks in ((3, 4), (3, 8), (7, 8)):
+        got = {(r["query"], r["fingerprint"]): r["distance"] for r in fingerprints.near_fingerprints(df, df, radius, blocks).collect()}
+        want = {(f"{a:064x}", f"{b:064x}"): (a ^ b).bit_count() for a in prints for b in prints if (a ^ b).bit_count() <= radius}
+        assert got == want
+
+
+def test_shards_are_even(docs):
+    rows = sharding.kd_shards(docs, shards=5).collect()
+    sizes, slots = Counter(), {}
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    longest = max(r["size"] for r in rows)
+    mean = sum(sizes.values()) / 5
+    assert set(sizes) == set(range(5)) and all(abs(v - mean) <= 3 * longest for v in sizes.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(r["shard"] for r in sharding.kd_shards(docs, target_bytes=sum(sizes.values()) // 3 + 1).collect()) == 2
+
+
+def test_groups_stay_whole(spark):
+    rows = [(i, f"text {i % 40} " * 30, "en", f"s{i % 7}", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    shards = {}
+    for r in sharding.kd_shards(df, shards=4, tolerance=0.2).collect():
+        shards.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert all(len(v) == 1 for v in shards.values())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(spark, name):
+    assert compare(queries.QUERIES[name](spark, SF), queries.ORACLES[name], SF) == ""
+
+
+def test_short_items_and_shuffle_path(spark, docs, texts):
+    some = [t.split()[:4] for t in texts.values() if len(t.split()) > 30][:3]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(some)] + [(9, "zzz")], "item_id long, text string")
+    a = {r["doc_id"]: (sorted(r["items"]), sorted(map(tuple, r["spans"]))) for r in decontamination.find_hits(docs, bench).collect()}
+    b = {r["doc_id"]: (sorted(r["items"]), sorted(map(tuple, r["spans"]))) for r in decontamination.find_hits(docs, bench, max_broadcast_windows=0).collect()}
+    assert a == b and sum(bool(x[0]) for x in a.values()) >= 3
+
+
+def test_secrets_brute(spark):
+    rng = random.Random(6)
+    bits = ["password", "PassWD", "secret", "token", "api_key", "apikey", "=", ":", " ", '"', "'", "abc", "a1b2c3", "=x", "AKIA", "A1B2C3D4", "deadbeef", "0123456789", "é", "/", "."]
+    texts = {i: "".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for i in range(400)}
+    got = {r["doc_id"]: r for r in secrets.secret_report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    for i, t in texts.items():
+        spans = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        base = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))
+        assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest(), t
+        assert set(base.split(",")) - {""} <= set(got[i]["spans"].split(","))
+
+
+def test_markov_ratio(spark):
+    table = secrets.train(secrets._samples(spark, None, 0))
+    rng = random.Random(8)
+    odd = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32)) for _ in range(60)]
+    plain = ["get_user_session_config_2024", "/static/images/user_profile_backup_01", "handleMessageBufferUpdate2", "load-account-table-config-v2", "MAX_TOKEN_COUNT_PER_REQUEST_10"]
+    rows = spark.createDataFrame([(x, True) for x in odd] + [(x, False) for x in plain], "x string, odd boolean").select("odd", (secrets.ratio(F.col("x"), table) > secrets.THRESHOLD).alias("hit")).collect()
+    assert sum(r["hit"] for r in rows if r["odd"]) >= 54 and not any(r["hit"] for r in rows if not r["odd"])
+
+
+def test_pii_brute():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip, card, phone = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    rng = random.Random(3)
+    for _ in range(20_000):
+        x = "".join(rng.choice("a@.1+ -()2é7%_9") for _ in range(rng.randint(0, 40)))
+        want = [(m.start(), 0, m.end()) for m in email.finditer(x)]
+        want += [(m.start(), 1, m.end()) for m in ip.finditer(x) if all(int(v) <= 255 for v in m[0].split("."))]
+        want += [(m.start(), 2, m.end()) for m in card.finditer(x) if 14 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+        want += [(m.start(), 3, m.end()) for m in phone.finditer(x) if 10 <= len(digits(m[0])) <= 15]
+        assert pii.base_spans(x) == sorted(want), x
+
+
+def test_pii_field(docs):
+    model = pii.fit(docs)
+    found = lambda t: pii.spell(pii.scan(model, t)[1])
+    assert found("call +1 (988) 555-2485 or 988-555-2485") .count("phone") == 2
+    assert found("mail bob.smith42@x.com; bob.smith42 replied").count("email") == 2
+    assert found("order 123456789012 of 2024-01-15, 555 123 4567 pieces") == ""
+
+
+def test_audit_finds_each_fault(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(2500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    broken = pages.where("page_id <> 2499").withColumn("html", F.when(F.col("page_id") == 3, F.lit("<p>?</p>")).when(F.col("page_id") == 1777, F.lit("<p>?</p>")).otherwise(F.col("html")))
+    bad, roots, leaf = fixity.audit(pages, broken)
+    found = sorted((r["file_id"], r["pos"], r["fault"]) for r in bad.collect())
+    assert [x for x in found if x[2] != "moved"] == [(0, 3, "damaged"), (1, 777, "damaged"), (2, 499, "missing")]
+    assert [x[:2] for x in found if x[2] == "moved"] == [(1, k) for k in range(778, 1000)]  # a shorter record moves those behind it
+    assert roots.count() == 3 and leaf.count() == 2500
+
+
+def test_pipeline_stages_brute(spark, docs):
+    import corpus_pipeline as c
+
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    kept = c.language_id(spark, docs, SF)
+    assert ids(kept) == {r["doc_id"] for r in docs.collect() if re.search(r"[^\W\d_]", r["text"] or "")}
+    one = c.near_duplicates(spark, kept, SF)
+    classes = _classes({r["doc_id"]: r["text"] for r in kept.collect()}, 5, 80, 100)
+    assert ids(one) == {i for i, (_, component, _) in classes.items() if component == i}
+    clean = c.decontaminate(spark, one, SF)
+    hit = decontamination.contamination_report(one, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated")
+    assert ids(clean) == ids(one) - ids(hit)
+    assert ids(c.redact_secrets(spark, clean, SF)) == ids(clean)
+    assert [name for name, _ in c.STAGES] == ["language_id", "near_duplicates", "decontaminate", "redact_secrets", "pack"]
