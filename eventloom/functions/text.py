@@ -197,3 +197,38 @@ def crop_box(width: Column, height: Column) -> Column:
     w = F.least(width, F.floor(height * 16 / 9)).cast("int")
     h = F.least(height, F.floor(width * 9 / 16)).cast("int")
     return F.struct(F.floor((width - w) / 2).cast("int").alias("x"), F.floor((height - h) / 2).cast("int").alias("y"), w.alias("w"), h.alias("h"))
+
+
+def cover(kind: Column | str, url: Column | str, category: Column | str, media_base: str = "media") -> Column:
+    """A cover as (kind, url, category): remote ones with an http address, local ones under ``media_base``, else the fallback of the category."""
+    k, u = _c(kind), F.coalesce(_c(url), F.lit(""))
+    remote = (k == "remote") & u.rlike("^https?://")
+    local = (k == "local") & (u != "")
+    path = F.concat(F.lit(media_base.rstrip("/") + "/"), F.regexp_replace(u, r"^(?:\./|/)+", ""))
+    shape = lambda a, b, c: F.struct(F.lit(a).alias("kind"), b.alias("url"), c.alias("category"))
+    none = F.lit(None).cast("string")
+    return F.when(F.coalesce(remote, F.lit(False)), shape("remote", u, none)).when(F.coalesce(local, F.lit(False)), shape("local", path, none)).otherwise(shape("fallback", none, F.coalesce(_c(category), F.lit(dicts.UNCATEGORIZED))))
+
+
+def versioned_url(url: Column | str, content: Column | str) -> Column:
+    """An address that changes with its content."""
+    return F.concat(_c(url), F.lit("?v="), F.substring(F.sha1(_c(content).cast("binary")), 1, 8))
+
+
+def base_path(x: Column | str) -> Column:
+    """A path prefix with one leading and no trailing slash; the root is empty."""
+    inner = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(_c(x), F.lit(""))), "^/+", ""), "/+$", "")
+    return F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit("/"), inner))
+
+
+def event_date(date: Column | str, first_published: Column | str) -> Column:
+    """The event's own day, else that of its first source."""
+    day = lambda c: F.nullif(F.regexp_extract(_c(c).cast("string"), r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+    return F.try_to_date(F.coalesce(day(date), day(first_published)), "yyyy-MM-dd")
+
+
+def opensource_raw(sources: Column | str) -> Column:
+    """log10(1 + v) of the largest counter over open-source sources, at least 1 where there is one."""
+    own = F.filter(_c(sources), lambda s: F.coalesce(s["is_opensource"], F.lit(False)))
+    most = F.array_max(F.transform(own, lambda s: F.greatest(F.lit(1.0), *[parse_count(s[k]) for k in ("stars", "pulls", "downloads", "likes", "upvotes")])))
+    return F.when(F.size(own) > 0, F.log10(1 + most)).otherwise(F.lit(0.0))

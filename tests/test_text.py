@@ -82,3 +82,17 @@ def test_html_and_blocks(spark):
     assert one(spark, text.published(F.lit("Tue, 03 Nov 2026 10:00:00 GMT"))).isoformat() == "2026-11-03T10:00:00"
     assert one(spark, text.published(F.lit("nonsense"))) is None
     assert tuple(one(spark, text.crop_box(F.lit(1024), F.lit(1024)))) == (0, 224, 1024, 576)
+
+
+def test_covers_and_paths(spark):
+    shape = lambda k, u, c: tuple(one(spark, text.cover(F.lit(k), F.lit(u), F.lit(c))))
+    assert shape("remote", "https://x/y.jpg", "a") == ("remote", "https://x/y.jpg", None)
+    assert shape("local", "./2026/a.jpg", "a") == ("local", "media/2026/a.jpg", None)
+    assert shape("remote", "ftp://x", "a") == shape(None, None, "a") == ("fallback", None, "a")
+    assert [one(spark, text.base_path(F.lit(x))) for x in ("", "/", "a/", "//a/b/")] == ["", "", "/a", "/a/b"]
+    assert one(spark, text.versioned_url(F.lit("u"), F.lit("abc"))) == "u?v=a9993e36"
+    assert str(one(spark, text.event_date(F.lit(None).cast("string"), F.lit("2026-11-03T10:00:00Z")))) == "2026-11-03"
+    kinds = "array<struct<is_opensource:boolean,stars:string,pulls:string,downloads:bigint,likes:bigint,upvotes:bigint>>"
+    rows = spark.createDataFrame([([(True, "1.2k", "", 900, None, 3), (False, "9M", "", 0, 0, 0)],), ([],), ([(True, None, None, None, None, None)],)], f"s {kinds}")
+    got = [round(r["x"], 6) for r in rows.select(text.opensource_raw("s").alias("x")).collect()]
+    assert got == [3.079543, 0.0, 0.30103]
