@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import bytehash
-from eventloom.operators.skew import join_facts
+from eventloom.operators.skew import broadcast_within, join_facts
 from eventloom.session import Scratch
 
 WINDOW, GRAM = 100, 32
@@ -209,7 +209,7 @@ def _send_segments(buckets: int, flush: int = 16 << 20):
         held = 0
         for batch in bytehash.slices(batches):
             order, owner = batch.column("o").to_pylist(), batch.column("t").to_pylist()
-            asked = [np.asarray(x, np.int32).view(np.uint32) for x in batch.column("keys").to_pylist()]
+            asked = [np.frombuffer(x, ">u4") for x in batch.column("keys").to_pylist()]
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
             wanted = np.unique(np.concatenate([(np.uint64(k) << np.uint64(32)) | a.astype(np.uint64) for k, a in enumerate(asked)])) if asked else np.zeros(0, np.uint64)
             for text, start, runs, key, _ in all_segments(texts):
@@ -350,7 +350,7 @@ def _cut(with_text: bool):
     return run
 
 
-def dedup_substrings(documents: DataFrame, with_text: bool = False, max_broadcast: int = 500_000) -> DataFrame:
+def dedup_substrings(documents: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay, where asked for)."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "suffixes")
@@ -362,21 +362,22 @@ def dedup_substrings(documents: DataFrame, with_text: bool = False, max_broadcas
     ids = scratch.save(docs.groupBy("t", "doc_id", "o").agg(F.count(F.lit(1)).alias("c"), F.first(F.octet_length("text")).cast("long").alias("n_bytes")), "ids")
     heads = scratch.save(ids.groupBy("t").agg(F.min("o").alias("head"), F.count(F.lit(1)).alias("rows")), "heads")
     copies = scratch.save(join_facts(ids, heads.where("rows > 1"), "t", "rows", "inner").where("o > head").select("t", "o"), "copies")
-    few = copies.count() <= max_broadcast
-    firsts = docs.join(F.broadcast(copies) if few else copies, ["t", "o"], "left_anti").where(F.octet_length("text") >= WINDOW)
+    copies = broadcast_within(copies, F.lit(64))
+    firsts = docs.join(copies, ["t", "o"], "left_anti").where(F.octet_length("text") >= WINDOW)
     sent = firsts.select("t", "text").mapInArrow(_send_keys(buckets), "bucket int, keys binary, owners binary, many boolean")
     known = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_keys, "t long, key int")
-    asked = scratch.save(scratch.save(known, "known").groupBy("t").agg(F.collect_set("key").alias("keys")), "asked")
+    digits = F.transform(F.collect_set("key"), lambda k: F.lpad(F.hex(k.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    asked = scratch.save(scratch.save(known, "known").groupBy("t").agg(F.unhex(F.array_join(digits, "")).alias("keys")), "asked")
     scratch.drop("known")
-    side = F.broadcast(asked) if asked.count() <= max_broadcast else asked
+    side = broadcast_within(asked, F.octet_length("keys") + 64)
     found = scratch.save(firsts.join(side, "t").select("o", "t", "keys", "text").mapInArrow(_send_segments(buckets), _FOUND), "found")
     again = found.where("kind = 0").select("bucket", "o", "t", "start", "run", "raw").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "t long, start long, run long")
     spans = again.unionByName(found.where("kind = 1").select("t", "start", "run")).groupBy("t").agg(F.collect_list(F.struct("start", "run")).alias("spans"))
     spans = scratch.save(spans, "spans")
     scratch.drop("found", "asked")
-    side = F.broadcast(spans) if spans.count() <= max_broadcast else spans
+    side = broadcast_within(spans, F.size("spans") * 48 + 64)
     schema = "t long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    one = docs.join(F.broadcast(copies) if few else copies, ["t", "o"], "left_anti")
+    one = docs.join(copies, ["t", "o"], "left_anti")
     results = one.join(side, "t", "left").select("t", "text", "spans").mapInArrow(_cut(with_text), schema)
     results = scratch.save(results, "results").dropDuplicates(["t"])
     facts = scratch.save(results.join(heads, "t"), "facts")
