@@ -44,11 +44,19 @@ def norm_token(x: Column | str) -> Column:
     return norm_title(F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"(?U)^\s+|\s+$", ""))
 
 
+def bind(x: Column, use) -> Column:
+    """``use(x)`` with x computed once: a lambda over a one-element array names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def char_shingles(x: Column | str, n: int = 4) -> Column:
     """Distinct character n-grams of the normalised title; short ones whole, empty ones none."""
-    s = norm_title(x)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, n))
-    return F.when(F.length(s) == 0, F.array().cast("array<string>")).when(F.length(s) <= n, F.array(s)).otherwise(F.array_distinct(grams))
+
+    def grams(s: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, n))
+        return F.when(F.length(s) == 0, F.array().cast("array<string>")).when(F.length(s) <= n, F.array(s)).otherwise(F.array_distinct(every))
+
+    return bind(norm_title(x), grams)
 
 
 def word_set(x: Column | str) -> Column:
@@ -72,15 +80,17 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def char_set(x: Column | str) -> Column:
-    s = norm_token(x)
-    return F.when(F.length(s) > 0, F.array_distinct(F.split(s, ""))).otherwise(F.array().cast("array<string>"))
+    return bind(norm_token(x), lambda s: F.when(F.length(s) > 0, F.array_distinct(F.split(s, ""))).otherwise(F.array().cast("array<string>")))
 
 
 def align_entity(x: Column | str) -> Column:
     """The canonical company of the first alias that contains, or is contained in, the name; else the normalised name."""
-    w = norm_token(x)
-    tests = [F.when(F.contains(w, F.lit(a)) | F.contains(F.lit(a), w), F.lit(t)) for a, t in dicts.ENTITY_ALIASES]
-    return F.coalesce(*tests, w)
+
+    def first(w: Column) -> Column:
+        tests = [F.when(F.contains(w, F.lit(a)) | F.contains(F.lit(a), w), F.lit(t)) for a, t in dicts.ENTITY_ALIASES]
+        return F.coalesce(*tests, w)
+
+    return bind(norm_token(x), first)
 
 
 def fingerprint(who: Column | str, what: Column | str) -> Column:
