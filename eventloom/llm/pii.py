@@ -4,12 +4,15 @@ Mentions of a document are its base spans and looser candidates: runs of digits
 separators, and words that repeat the local part of one of its addresses. Each mention has a
 label (none, email, ip, card, phone) with log-linear potentials from its features; neighbours
 form a chain; distant mentions that repeat or resemble each other (the same last seven digits,
-or the same local part) share a skip potential, so that a loose candidate takes the label of
-its evidence elsewhere in the document. Loopy belief propagation gives each mention its
-marginals. Base spans are observed; a candidate becomes a span where the best label's marginal
+or the same local part) share a skip potential: a candidate with every base span of its key and
+with the candidate of that key before it, so that it takes the label of its evidence however
+often it repeats. Base spans are observed, so that their edges are votes summed once a key. Loopy
+belief propagation, until no message moves by ``SETTLED`` or after rounds bound by the number of
+mentions, gives each candidate its marginals; it becomes a span where the best label's marginal
 exceeds ``ACCEPT``.
 
-Weights are fitted by gradient steps on the pseudo-likelihood of a bounded sample:
+The weights of the pair potentials and the bias against spans are constants. The features'
+weights are fitted by gradient steps on the likelihood of single mentions of a bounded sample:
 ``max_train_docs`` documents, labelled by their base spans, with the features that the patterns
 themselves need masked in a copy of every example, and numbers made by rule that are no
 personal data (dates, amounts, counts, serials).
@@ -34,7 +37,7 @@ from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-MAX_TRAIN_DOCS, ACCEPT, ROUNDS = 4_000, 0.8, 8
+MAX_TRAIN_DOCS, ACCEPT, LEAST_ROUNDS, SETTLED = 4_000, 0.8, 64, 1e-6
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match that starts inside a run of digits would have started at the run's head.
@@ -150,7 +153,7 @@ def _harmless(n: int = 400) -> list[str]:
 
 
 def fit(documents: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, steps: int = 300) -> dict:
-    """Unary weights by gradient on a bounded sample, skip weight by how often resembling mentions agree."""
+    """Unary weights by gradient on a bounded sample; chain, skip and bias are constants."""
     total = documents.count()
     rows = documents.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_train_docs / max(1, total))))
     found = rows.select("text").mapInPandas(_train_rows, "label int, raw string").limit(20 * max_train_docs).collect()
@@ -184,39 +187,50 @@ def _keys(raw: str) -> list[str]:
 
 
 def infer(model: dict, text: str, base: list[tuple[int, int, int]], loose: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that the field adds: marginals by loopy message passing over chain and skip edges."""
+    """Spans that the field adds: votes of the base spans, and loopy message passing over the candidates' chain and skip edges."""
     mentions = sorted([(s, e, k + 1) for s, k, e in base] + [(s, e, 0) for s, e in loose])
     n, size = len(mentions), len(LABELS)
     w = np.asarray(model["unary"])
     unary = np.zeros((n, size))
-    for i, (s, e, seen) in enumerate(mentions):
-        if seen:
+    for i, (s, e, label) in enumerate(mentions):
+        if label:
             unary[i] = -30
-            unary[i, seen] = 0
+            unary[i, label] = 0
         else:
             unary[i] = features(text[s:e], True) @ w * 0.5
             unary[i, 0] += model["bias"]
-    heads, tails, strength = [], [], []
+    # Observed labels are known, so that each of their edges is a fixed vote for the other end's label.
+    seen = np.array([m[2] for m in mentions])
+    keys = [_keys(text[s:e]) for s, e, _ in mentions]
+    evidence: dict[str, np.ndarray] = {}
+    for i in np.flatnonzero(seen):
+        for key in keys[i]:
+            evidence.setdefault(key, np.zeros(size))[seen[i]] += model["skip"]
+    edges: dict[tuple[int, int], float] = {}
     last: dict[str, int] = {}
-    for i, (s, e, _) in enumerate(mentions):
-        if i:
-            heads.append(i - 1)
-            tails.append(i)
-            strength.append(model["chain"])
-        for key in _keys(text[s:e]):
-            if key in last:  # each mention meets the one before it with that key: a chain of skips
-                heads.append(last[key])
-                tails.append(i)
-                strength.append(model["skip"])
+    for i in range(n):
+        if i and not (seen[i - 1] or seen[i]):
+            edges[i - 1, i] = edges.get((i - 1, i), 0.0) + model["chain"]
+        if seen[i]:
+            continue
+        for j in (i - 1, i + 1):
+            if 0 <= j < n and seen[j]:
+                unary[i, seen[j]] += model["chain"]
+        for key in keys[i]:
+            if key in evidence:
+                unary[i] += evidence[key]
+            if key in last:
+                edges[last[key], i] = edges.get((last[key], i), 0.0) + model["skip"]
             last[key] = i
+    m = len(edges)
+    heads, tails = [h for h, _ in edges], [t for _, t in edges]
     a, b = np.array(heads + tails, np.int64), np.array(tails + heads, np.int64)
-    m = len(heads)
-    force = np.array(strength + strength)
+    force = np.array(2 * list(edges.values()))
     agree = np.exp(force)[:, None, None] * np.eye(size)[None] + (1 - np.eye(size))[None]
     messages = np.full((2 * m, size), 1 / size)
     belief = np.exp(unary - unary.max(1, keepdims=True))
     back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-    for _ in range(ROUNDS if m else 0):
+    for _ in range(LEAST_ROUNDS + 4 * n if m else 0):
         logs = np.log(messages)
         total = np.zeros((n, size))
         np.add.at(total, b, logs)
@@ -224,16 +238,19 @@ def infer(model: dict, text: str, base: list[tuple[int, int, int]], loose: list[
         out = np.exp(out - out.max(1, keepdims=True))
         new = np.einsum("es,est->et", out, agree)
         new /= new.sum(1, keepdims=True)
+        moved = np.abs(new - messages).max()
         messages = 0.5 * messages + 0.5 * new
+        if moved < SETTLED:
+            break
     if m:
         total = np.zeros((n, size))
         np.add.at(total, b, np.log(messages))
         belief = np.exp((unary + total) - (unary + total).max(1, keepdims=True))
     belief /= belief.sum(1, keepdims=True)
     added = []
-    for i, (s, e, seen) in enumerate(mentions):
+    for i, (s, e, label) in enumerate(mentions):
         k = int(belief[i].argmax())
-        if not seen and k and belief[i, k] > ACCEPT:
+        if not label and k and belief[i, k] > ACCEPT:
             added.append((s, k - 1, e))
     return added
 

@@ -319,6 +319,14 @@ def test_pii_field(docs):
     assert found("order 123456789012 of 2024-01-15, 555 123 4567 pieces") == ""
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 40])
+def test_pii_field_of_repeats(docs, n):
+    model = pii.fit(docs)
+    for text, kind in [("+1 (988) 555-2485" + f" or {x}" * n, "phone") for x in ("988-555-2485", "988 555 2485", "9885552485", "988.555.2485")] + [("bob.smith42@x.com" + " and bob.smith42" * n, "email"), ("bob.smith42 and " * n + "bob.smith42@x.com", "email")]:
+        assert pii.spell(pii.scan(model, text)[1]).count(kind) == n + 1, text
+    assert pii.scan(model, "988-555-2485 or " * n)[1] == []
+
+
 def test_audit_finds_each_fault(spark):
     rows = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(2500)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
