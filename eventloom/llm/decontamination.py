@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# In a text as it is. Case-blind matching would take every ASCII letter out of a negated class.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 BITS_PER_WINDOW, MAX_BITS = 64, 1 << 19
 
@@ -105,12 +106,12 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, remov
         raise ValueError("remove must be 'documents' or 'spans'")
     names = documents.columns
     joined = documents.join(hits, match, "left")
-    raw = F.regexp_extract_all(F.col("text"), F.lit("(?i)" + WORD), 0)
+    raw = F.regexp_extract_all(F.col("text"), F.lit(WORD), 0)
     gaps = F.split(F.col("text"), WORD, -1)
     hit = hit_words(F.col("_hit_spans"))
     kept = F.transform(F.sequence(F.lit(1), F.size(raw)), lambda i: F.when(F.array_contains(hit, i), F.lit("")).otherwise(F.concat(F.get(gaps, i - 1), F.get(raw, i - 1))))
     cut = F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
-    return joined.withColumn("text", F.when(F.col("_hit_id").isNull(), F.col("text")).otherwise(cut)).select(*names)
+    return joined.withColumn("text", F.when(F.col("_hit_key").isNull(), F.col("text")).otherwise(cut)).select(*names)
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

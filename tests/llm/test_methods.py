@@ -273,6 +273,14 @@ def test_short_items_and_shuffle_path(spark, docs, texts):
     assert a == b and sum(bool(x[0]) for x in a.values()) >= 3
 
 
+def test_spans_removed_alone(spark):
+    bench = spark.createDataFrame([(1, "Foo bar"), (2, "ÄÖ é")], "item_id long, text string")
+    rows = [(1, "Hello World 42, FOO-Bar. The End!"), (None, "Keep Me foo BAR"), (2, "Foo bar"), (3, "Clean Text"), (4, None), (5, "A ÄÖ  é, Z foo\nbar 😀x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = decontamination.decontaminate(docs, bench, remove="spans")
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "Hello World 42. The End!", None: "Keep Me", 2: "", 3: "Clean Text", 4: None, 5: "A, Z 😀x"}
+
+
 def test_secrets_brute(spark):
     rng = random.Random(6)
     bits = ["password", "PassWD", "secret", "token", "api_key", "apikey", "=", ":", " ", '"', "'", "abc", "a1b2c3", "=x", "AKIA", "A1B2C3D4", "deadbeef", "0123456789", "é", "/", "."]
