@@ -2,10 +2,10 @@
 
 Everything is DataFrame functions. Places of matches come from the pieces between them
 (``split``) and the matches themselves (``regexp_extract_all``), in code points. The method
-adds spans of kind ``random``: candidate strings of ``CANDIDATE`` that hold a letter and a
-digit, outside all base spans, whose mean log-likelihood ratio a character pair, under a
-first-order Markov model of random strings against one of ordinary identifiers, exceeds
-``THRESHOLD``. Both models are trained from labelled samples: random strings made by hash
+adds spans of kind ``random``: candidate strings of ``CANDIDATE``, or where base spans cover a
+part of one, each of its parts outside them, that hold a letter and a digit and whose mean
+log-likelihood ratio a character pair, under a first-order Markov model of random strings
+against one of ordinary identifiers, exceeds ``THRESHOLD``. Both models are trained from labelled samples: random strings made by hash
 rules, and identifiers made from word lists by rule together with the letter-only words of a
 bounded sample of documents (``max_train_docs``, a documented bound).
 
@@ -137,12 +137,23 @@ def with_spans(documents: DataFrame, table: list[float], prefix: str = "secret_"
     })
     out = out.withColumn(name["base"], F.array_sort(F.concat(F.col(name["assign"]), F.col(name["access"]), F.col(name["hex"]))))
 
+    def clear(s: Column) -> Column:
+        """The parts of a candidate outside the base spans."""
+        met = F.filter(F.col(name["base"]), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+        part = lambda a, b: F.struct(a.alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), b.alias("stop"))
+
+        def before(i: Column) -> Column:
+            return F.greatest(s["start"], F.coalesce(F.array_max(F.transform(F.slice(met, F.lit(1), i), lambda b: b["stop"])), s["start"]))
+
+        gaps = F.transform(F.sequence(F.lit(0), F.size(met)), lambda i: part(before(i), F.coalesce(F.get(met, i)["start"], s["stop"])))
+        return F.when(F.size(met) == 0, F.array(part(s["start"], s["stop"]))).otherwise(F.filter(gaps, lambda g: g["start"] < g["stop"]))
+
     def odd(s: Column) -> Column:
         raw = F.substring(text, s["start"] + 1, s["stop"] - s["start"])
-        clear = ~F.exists(F.col(name["base"]), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-        return clear & raw.rlike("[0-9]") & raw.rlike("[A-Za-z]") & (ratio(raw, table) > THRESHOLD)
+        return raw.rlike("[0-9]") & raw.rlike("[A-Za-z]") & (ratio(raw, table) > THRESHOLD)
 
-    out = out.withColumn(name["all"], F.when(F.size(name["cand"]) > 0, F.array_sort(F.concat(F.col(name["base"]), F.filter(F.col(name["cand"]), odd)))).otherwise(F.col(name["base"])))
+    parts = F.flatten(F.transform(F.col(name["cand"]), clear))
+    out = out.withColumn(name["all"], F.when(F.size(name["cand"]) > 0, F.array_sort(F.concat(F.col(name["base"]), F.filter(parts, odd)))).otherwise(F.col(name["base"])))
     return out.drop(name["cand"])
 
 
