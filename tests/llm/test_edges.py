@@ -63,6 +63,21 @@ def test_jaccard(edge_docs, empty_docs, edge_rows):
     assert kept.where("doc_id in (7, 9)").count() == 0 and kept.where("doc_id = 6").count() == 1
 
 
+def test_one_row_of_each_component_stays(spark, edge_docs):
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one_of_each(edge_docs, 4, 85, 100).select("doc_id", "text").collect()]
+    assert [t[:12] for i, t in kept if i == 8] == ["another text"]
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    near, nearer = a.replace("a30", "zz"), a.replace("a30", "zz").replace("a45", "yy")
+    rows = [(1, a), (1, a), (2, near), (2, c), (None, a), (None, near), (None, b), (None, b), (None, b.replace("b30", "zz")), (3, d), (None, d), (4, None), (4, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one_of_each(docs, 4, 85, 100).collect()]
+    of_b = [x for x in kept if x[1] and x[1].startswith("b")]
+    assert len(of_b) == 1 and of_b[0][0] is None
+    assert sorted((x for x in kept if x not in of_b), key=str) == sorted([(1, a), (2, c), (3, d), (4, None), (4, None), (None, "")], key=str)
+    bridged = spark.createDataFrame([(1, a), (None, near), (2, nearer)], "doc_id long, text string")  # 1 and 2 meet by a row without id only
+    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard.jaccard_classes(bridged, 4, 85, 100).collect()} == {(1, 1, 1), (None, 1, 2), (2, 1, 1)}
+
+
 def test_suffixes(edge_docs, empty_docs, edge_rows):
     rows = suffixes.dedup_substrings(edge_docs).collect()
     assert len(rows) == len(edge_rows)
