@@ -6,9 +6,9 @@ runs best-fit decreasing over counts, so that every step places a run of equal p
 run of equal open sequences. The plan is a list of slot runs; pieces are numbered within their
 length, in parallel, and take the slot whose run holds their number, by a join on length.
 
-Tokens never cross ASCII white space, nor the splitter's words, so a text is asked of the
-tokenizer chunk by chunk between white space, and a chunk of plain Latin characters word by
-word; ids of chunks and words are kept in caches of bounded size.
+Tokens never cross ASCII white space, so the texts of a slice are split there and each distinct
+chunk is looked up once; its ids are kept, in a cache of bounded size, for the worker's later
+tasks. The ids of the texts are then gathered from those of their chunks.
 
 Defined results: null and empty texts are one piece of one token (the separator); repeated
 rows are packed each on their own; an empty table gives an empty result; null doc_id is kept;
@@ -17,25 +17,24 @@ columns other than doc_id and text are unread.
 
 from __future__ import annotations
 
-import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm import bytehash
 from eventloom.operators.numbering import rank_in_group
 from eventloom.session import Scratch
 
 CAPACITY, SEPARATOR = 4096, 1
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_CACHE_SIZE = 250_000
-# Chunks of these characters only are split further, by the splitter's classes restated for them.
-_LETTERS = "a-zªµºÀ-ÖØ-öø-ſ"
-_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
-_PLAIN = re.compile("[!-;=-~¡-¬®-±´-¸º»¿-įı-ſ]+")
+_CACHE_SIZE = 500_000
+_SLICE_BYTES, _LEAST_BYTES = 1 << 23, 1 << 12  # texts tokenised together; each counts for so many at least
 
 
 def word_tokenizer_path() -> str:
@@ -44,23 +43,8 @@ def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Recent:
-    """A dictionary of bounded size: when full it becomes the older half, from which what is used again returns."""
-
-    def __init__(self, size: int):
-        self.size, self.now, self.older = size, {}, {}
-
-    def missing(self, keys: set) -> list:
-        if len(self.now) > self.size:
-            self.now, self.older = {}, self.now
-        fresh = keys.difference(self.now)
-        known = fresh.intersection(self.older)
-        self.now.update((k, self.older[k]) for k in known)
-        return list(fresh.difference(known))
-
-
 class WordTokenizer:
-    """Token ids of whole texts as little-endian 32-bit bytes."""
+    """Token ids of whole texts; ids of chunks are kept in two generations of bounded size, of which the older is dropped."""
 
     def __init__(self, path: str):
         import os
@@ -69,49 +53,109 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.words = _Recent(_CACHE_SIZE), _Recent(_CACHE_SIZE)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word of the splitter
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.now: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk. A run of simple chunks is encoded as one text and cut at the ends of words.
+
+        A chunk of letters has at least one word, one of letters and a stop at least two, so where
+        a run has as many words as that in all, every chunk has; else it is encoded chunk by chunk.
+        """
+        arrow = pa.array(chunks, pa.string())
+        simple = np.asarray(pc.match_substring_regex(arrow, r"^\p{L}+[.,;:!?]?$"))
+        words = 1 + np.asarray(pc.match_substring_regex(arrow, "[.,;:!?]$")).astype(np.int64)
+        found: list = [None] * len(chunks)
+        order, rest = np.flatnonzero(simple), np.flatnonzero(~simple).tolist()
+        parts = [order[a : a + 1000] for a in range(0, len(order), 1000)]
+        texts = [" ".join([chunks[k] for k in p.tolist()]) for p in parts]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum(words[part]) - 1
+            if len(stops) != last[-1] + 1:
+                rest += part.tolist()
+                continue
+            raw, start = ids.tobytes(), 0
+            for k, stop in zip(part.tolist(), (4 * stops[last]).tolist(), strict=True):
+                found[k] = raw[start:stop]
+                start = stop
+        for a in range(0, len(rest), 8192):
+            part = rest[a : a + 8192]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([chunks[k] for k in part], add_special_tokens=False), strict=True):
+                ids = e.ids
+                found[k] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each chunk."""
+        if len(self.now) > _CACHE_SIZE:
+            self.now, self.older = {}, self.now
+        found = list(map(self.now.get, chunks))
+        lost = [k for k, x in enumerate(found) if x is None]
+        for k, x in zip(lost, map(self.older.get, [chunks[k] for k in lost]), strict=True):
+            found[k] = x
+        fresh = [k for k in lost if found[k] is None]
+        for k, x in zip(fresh, self._encode([chunks[k] for k in fresh]), strict=True):
+            found[k] = x
+        self.now.update((chunks[k], found[k]) for k in lost)
+        return found
+
+    def gather(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, the separator after each; where each text's begin, and their end."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        ends = np.asarray(split.offsets)
+        ends = ends - ends[0]
+        coded = split.flatten().dictionary_encode()
+        known = self._ids_of(coded.dictionary.to_pylist())
+        flat = np.concatenate([np.frombuffer(b"".join(known), "<u4"), np.array([SEPARATOR], "<u4")])
+        kind = np.int32 if texts.nbytes < 1 << 30 else np.int64
+        sizes = np.append(np.fromiter(map(len, known), kind, len(known)) // 4, kind(1))
+        first = np.cumsum(sizes, dtype=kind) - sizes
+        word = np.insert(np.asarray(coded.indices), ends[1:], len(known))
+        size = sizes[word]
+        stop = np.cumsum(size, dtype=kind)
+        at = np.concatenate([[0], stop[ends[1:] + np.arange(len(texts))].astype(np.int64)])
+        place = np.repeat(first[word] - (stop - size), size)
+        place += np.arange(len(place), dtype=kind)
+        return flat[place], at
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, without a separator, as little-endian 32-bit bytes."""
+        flat, at = self.gather(pa.array(texts, pa.string()))
+        return [flat[a : b - 1].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        texts = [c.decode() for c in fresh]
-        split = [_WORD.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in texts]
-        new = self.words.missing(set().union(*(w for w in split if w)))
-        self.words.now.update(zip(new, self._encode(new), strict=True))
-        whole = iter(self._encode([t for t, w in zip(texts, split, strict=True) if w is None]))
-        look = self.words.now.__getitem__
-        self.chunks.now.update((c, next(whole) if w is None else b"".join(map(look, w))) for c, w in zip(fresh, split, strict=True))
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.encode().split() for t in texts]
-        fresh = self.chunks.missing(set().union(*chunks))
-        if fresh:
-            self._learn(fresh)
-        look = self.chunks.now.__getitem__
-        return [b"".join(map(look, c)) for c in chunks]
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, so that its cache outlives a task."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def _tokenise(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
-        end = np.asarray([SEPARATOR], "<u4").tobytes()
+        tokenizer = _tokenizer(path)
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if with_ids else [])
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                rows: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc_id, raw in zip(ids, tokenizer.ids(texts), strict=True):
-                    raw += end
-                    for k, start in enumerate(range(0, len(raw), 4 * capacity)):
-                        cut = raw[start : start + 4 * capacity]
-                        for column, value in zip(rows, (doc_id, k, start // 4, len(cut) // 4, zlib.crc32(cut), cut if with_ids else None), strict=True):
-                            column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                columns = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                n = 6 if with_ids else 5
-                yield pa.RecordBatch.from_arrays(columns[:n], names=names[:n])
+            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
+            for a, b in bytehash.chunks([max(n, _LEAST_BYTES) for n in sizes], _SLICE_BYTES):
+                ids, at = tokenizer.gather(batch.column(1).slice(a, b - a))
+                count = -(-np.diff(at) // capacity)
+                owner = np.repeat(np.arange(b - a), count)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(capacity, np.diff(at)[owner] - start)
+                begin = at[:-1][owner] + start
+                cuts = [ids[x : x + n] for x, n in zip(begin.tolist(), length.tolist(), strict=True)]
+                columns = [batch.column(0).slice(a, b - a).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(x) for x in cuts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array([x.tobytes() for x in cuts], pa.binary())] if with_ids else []), names=names)
 
     return run
 
