@@ -7,7 +7,8 @@ meet under one key.
 1. Keys of all segments are counted, bucket by bucket; a key met once holds no repeat.
 2. Segments under repeated keys are sent to their bucket with their bytes. Equal segments of
    one flush travel once: the earliest stays, the others are repeats already, so a passage
-   found in a third of all documents costs a few rows for each input task.
+   found in a third of all documents costs a few rows for each input task. Keys that hold over
+   1/4096 of all segments are dealt on, window by window, by first and last gram.
 3. In a bucket the suffixes are sorted to depth ``WINDOW``: initial buckets by 8-byte grams
    are refined by the bucket identifiers of the suffixes 8, 16, 32 bytes later, each pass
    reusing the last one's updated identifiers; suffixes alone in their bucket leave. Windows
@@ -24,21 +25,23 @@ unread. Texts are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import bytehash
-from eventloom.operators.skew import broadcast_within, join_facts
+from eventloom.operators.resident import Resident
+from eventloom.operators.skew import join_facts
 from eventloom.session import Scratch
 
 WINDOW, GRAM = 100, 32
 _PLACE = np.uint64((1 << 24) - 1)
 _PIECE = 1 << 20  # windows of one text that are looked at together
-EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
 def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,8 +112,12 @@ def _batch(names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+_KEYS = "bucket int, kind int, keys binary, values binary"
+_SINGLE, _KNOWN, _COUNT = 0, 1, 2  # (key, row) met once here; (key, row) of keys met twice here; (key, how often) of those
+
+
 def _send_keys(buckets: int, flush: int = 600_000):
-    """Keys of all segments, packed by bucket; keys met twice here are told apart at once."""
+    """Keys of all segments, packed by bucket; keys met twice here are known as repeated at once."""
 
     def pack(keys: list[np.ndarray], owners: list[np.ndarray], selfs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not keys:
@@ -120,32 +127,30 @@ def _send_keys(buckets: int, flush: int = 600_000):
         key, owner, self_ = key[order], owner[order], self_[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         times = np.diff(np.concatenate([first, [len(key)]]))
-        many = np.repeat(times > 1, times) | self_
+        times = times + np.add.reduceat(self_.astype(np.int64), first)
+        many = np.repeat(times > 1, np.diff(np.concatenate([first, [len(key)]])))
         bucket_of = ((key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-        out_b, out_k, out_t, out_many = [], [], [], []
+        rows: list[tuple] = []
 
-        def deal(at: np.ndarray, owners_: np.ndarray, is_many: bool) -> None:
-            order_ = at[np.argsort(bucket_of[at], kind="stable")]
-            cuts = np.searchsorted(bucket_of[order_], np.arange(buckets + 1))
+        def deal(at: np.ndarray, values: np.ndarray, kind: int) -> None:
+            order_ = np.argsort(bucket_of[at], kind="stable")
+            at, values = at[order_], values[order_]
+            cuts = np.searchsorted(bucket_of[at], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)):
-                mine = order_[cuts[b] : cuts[b + 1]]
-                out_b.append(int(b))
-                out_k.append(_short(key[mine]).tobytes())
-                out_t.append(owners_[mine].tobytes())
-                out_many.append(is_many)
-
-        deal(np.flatnonzero(many), owner, True)
-        told = owner.copy()
-        told[first] = np.where(times > 1, 0, told[first])
-        deal(first, told, False)
-        for a in range(0, len(out_b), 128):
-            z = slice(a, a + 128)
-            yield _batch(["bucket", "keys", "owners", "many"], [pa.array(out_b[z], pa.int32()), pa.array(out_k[z], pa.binary()), pa.array(out_t[z], pa.binary()), pa.array(out_many[z], pa.bool_())])
+                z = slice(cuts[b], cuts[b + 1])
+                rows.append((int(b), kind, _short(key[at[z]]).tobytes(), values[z].tobytes()))
+
+        deal(np.flatnonzero(~many), owner[~many], _SINGLE)
+        deal(np.flatnonzero(many), owner[many], _KNOWN)
+        deal(first[times > 1], times[times > 1].astype(np.int32), _COUNT)
+        for a in range(0, len(rows), 128):
+            columns = zip(*rows[a : a + 128], strict=True)
+            yield _batch(["bucket", "kind", "keys", "values"], [pa.array(list(c), k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, selfs, held = [], [], [], 0
         for batch in bytehash.slices(batches):
-            owner = np.asarray(batch.column("t").to_pylist(), np.int64)
+            owner = np.asarray(batch.column("row").to_pylist(), np.int64)
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
             for text, _, _, key, self_ in all_segments(texts):
                 keys.append(key)
@@ -160,45 +165,68 @@ def _send_keys(buckets: int, flush: int = 600_000):
     return run
 
 
-def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket by bucket: (t, key) of all segments whose key is met twice or more."""
+_REPEATED = "row long, bucket int, key int, n long"
 
-    def settle(parts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        key = np.concatenate([np.frombuffer(p[0], np.uint32) for p in parts])
-        owner = np.concatenate([np.frombuffer(p[1], np.int64) for p in parts])
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        times = np.diff(np.concatenate([first, [len(key)]]))
-        multi = np.add.reduceat((owner == 0).astype(np.int64), first) > 0
-        tell = np.repeat((times > 1) | multi, times) & (owner != 0)
-        return _batch(["t", "key"], [pa.array(owner[tell]), pa.array(key[tell].view(np.int32))])
 
-    now, parts = None, []
-    for batch in batches:
-        for bucket, keys, owners, many in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "owners", "many")), strict=True):
-            if many:
-                yield _batch(["t", "key"], [pa.array(np.frombuffer(owners, np.int64)), pa.array(np.frombuffer(keys, np.int32))])
-                continue
-            if bucket != now and parts:
-                yield settle(parts)
-                parts = []
-            now = bucket
-            parts.append((keys, owners))
-    if parts:
-        yield settle(parts)
+def _repeated_keys(least_hot: int):
+    """Bucket by bucket: (row, key) of all segments whose key is met twice or more, (bucket, key, n) of often met keys, (n) of all segments."""
+
+    def rows_of(owner: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        return _batch(["row", "bucket", "key", "n"], [pa.array(owner), pa.nulls(len(key), pa.int32()), pa.array(key.view(np.int32)), pa.nulls(len(key), pa.int64())])
+
+    def settle(bucket: int, parts: dict[int, list[tuple[bytes, bytes]]]) -> Iterator[pa.RecordBatch]:
+        single = np.concatenate([np.frombuffer(k, np.uint32) for k, _ in parts[_SINGLE]] or [np.zeros(0, np.uint32)])
+        owner = np.concatenate([np.frombuffer(v, np.int64) for _, v in parts[_SINGLE]] or [np.zeros(0, np.int64)])
+        marked = np.concatenate([np.frombuffer(k, np.uint32) for k, _ in parts[_COUNT]] or [np.zeros(0, np.uint32)])
+        counts = np.concatenate([np.frombuffer(v, np.int32) for _, v in parts[_COUNT]] or [np.zeros(0, np.int32)])
+        values, inverse = np.unique(np.concatenate([single, marked]), return_inverse=True)
+        times = np.bincount(inverse, weights=np.concatenate([np.ones(len(single)), counts]), minlength=len(values)).astype(np.int64)
+        tell = times[inverse[: len(single)]] > 1
+        yield rows_of(owner[tell], single[tell])
+        often = np.flatnonzero(times >= least_hot)
+        n = len(often) + 1
+        yield _batch(["row", "bucket", "key", "n"], [pa.nulls(n, pa.int64()), pa.array([bucket] * n, pa.int32()), pa.array([*values[often].view(np.int32).tolist(), None], pa.int32()), pa.array([*times[often].tolist(), int(times.sum())], pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, {_SINGLE: [], _COUNT: []}
+        for batch in batches:
+            for bucket, kind, keys, values in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "keys", "values")), strict=True):
+                if bucket != now and now is not None:
+                    yield from settle(now, parts)
+                    parts = {_SINGLE: [], _COUNT: []}
+                now = bucket
+                if kind == _KNOWN:
+                    yield rows_of(np.frombuffer(values, np.int64), np.frombuffer(keys, np.uint32))
+                else:
+                    parts[kind].append((keys, values))
+        if now is not None:
+            yield from settle(now, parts)
+
+    return run
 
-_FOUND = "kind int, bucket int, o long, t long, start long, run long, raw binary"
-_FOUND_NAMES = ["kind", "bucket", "o", "t", "start", "run", "raw"]
-_FOUND_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
+_FOUND = "bucket int, o long, t long, row long, start long, run long, raw binary"
+_FOUND_NAMES = ["bucket", "o", "t", "row", "start", "run", "raw"]
+_FOUND_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
-def _send_segments(buckets: int, flush: int = 16 << 20):
-    """Segments under repeated keys, each distinct content once a flush (kind 0); later equals are repeats (kind 1)."""
+
+def _send_segments(buckets: int, hot: frozenset[tuple[int, int]] = frozenset(), flush: int = 16 << 20):
+    """Segments under repeated keys, each distinct content once a flush; later equals are repeats, without bytes.
+
+    Segments under a ``hot`` key go window by window, to buckets by the windows' first and last
+    gram, so that what surrounds a common passage doesn't meet in one bucket.
+    """
 
     def pack(kept: dict, repeats: list) -> Iterator[pa.RecordBatch]:
-        rows = [(0, int(b), o, t, s, run, raw) for (b, raw), (o, t, s, run) in kept.items()] + [(1, None, o, t, s, run, None) for o, t, s, run in repeats]
+        rows = [(b, *mine, raw) for (b, raw), mine in kept.items()]
+        repeats.sort(key=lambda r: (r[2], r[3]))
+        last = None
+        for o, t, row, s, run in repeats:  # runs that follow each other are one
+            if last is not None and last[3] == row and last[4] + last[5] == s:
+                last[5] += run
+                continue
+            last = [row % buckets, o, t, row, s, run, None]
+            rows.append(last)
         for a in range(0, len(rows), 4096):
             columns = zip(*rows[a : a + 4096], strict=True)
             yield _batch(_FOUND_NAMES, [pa.array(list(c), k) for c, k in zip(columns, _FOUND_TYPES, strict=True)])
@@ -208,31 +236,38 @@ def _send_segments(buckets: int, flush: int = 16 << 20):
         repeats: list = []
         held = 0
         for batch in bytehash.slices(batches):
-            order, owner = batch.column("o").to_pylist(), batch.column("t").to_pylist()
+            order, owner, row = (batch.column(c).to_pylist() for c in ("o", "t", "row"))
             asked = [np.frombuffer(x, ">u4") for x in batch.column("keys").to_pylist()]
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
             wanted = np.unique(np.concatenate([(np.uint64(k) << np.uint64(32)) | a.astype(np.uint64) for k, a in enumerate(asked)])) if asked else np.zeros(0, np.uint64)
             for text, start, runs, key, _ in all_segments(texts):
-                tag = (text.astype(np.uint64) << np.uint64(32)) | _short(key).astype(np.uint64)
+                short = _short(key)
+                tag = (text.astype(np.uint64) << np.uint64(32)) | short.astype(np.uint64)
                 at = np.searchsorted(wanted, tag)
                 hit = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == tag) if len(wanted) else np.zeros(0, np.int64)
                 bucket = (key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
                 for i in hit.tolist():
-                    k, s, r = int(text[i]), int(start[i]), int(runs[i])
-                    place = (int(bucket[i]), texts[k][s : s + r + WINDOW - 1])
-                    mine = (order[k], owner[k], s, r)
-                    have = kept.get(place)
-                    if have is None:
-                        kept[place] = mine
-                        held += len(place[1]) + 200
-                    elif have[:3] != mine[:3]:
-                        if mine[:3] < have[:3]:
-                            kept[place], mine = mine, have
-                        repeats.append(mine)
-                        held += 150
-            if held >= flush:
-                yield from pack(kept, repeats)
-                kept, repeats, held = {}, [], 0
+                    k, s, r, b = int(text[i]), int(start[i]), int(runs[i]), int(bucket[i])
+                    raw = texts[k][s : s + r + WINDOW - 1]
+                    if hot and (b, int(short[i])) in hot:
+                        windows = [raw[j : j + WINDOW] for j in range(r)]
+                        places = [((zlib.crc32(w[-GRAM:], zlib.crc32(w[:GRAM])) % buckets, w), s + j, 1) for j, w in enumerate(windows)]
+                    else:
+                        places = [((b, raw), s, r)]
+                    for place, s_, r_ in places:
+                        mine = (order[k], owner[k], row[k], s_, r_)
+                        have = kept.get(place)
+                        if have is None:
+                            kept[place] = mine
+                            held += len(place[1]) + 200
+                        elif have[:4] != mine[:4]:
+                            if (mine[0], mine[1], mine[3]) < (have[0], have[1], have[3]):
+                                kept[place], mine = mine, have
+                            repeats.append(mine)
+                            held += 150
+                if held >= flush:
+                    yield from pack(kept, repeats)
+                    kept, repeats, held = {}, [], 0
         yield from pack(kept, repeats)
 
     return run
@@ -272,21 +307,20 @@ def window_classes(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket by bucket: runs of windows that start earlier elsewhere, as (t, start, run)."""
-    names = ["t", "start", "run"]
+    """Bucket by bucket: runs of windows that start earlier elsewhere, as (row, start, run)."""
+    names = ["row", "start", "run"]
 
     def settle(rows: list[tuple]) -> pa.RecordBatch | None:
-        rows = list({r[:3]: r for r in rows}.values())
-        lens = np.fromiter((len(r[4]) for r in rows), np.int64, len(rows))
+        lens = np.fromiter((len(r[5]) for r in rows), np.int64, len(rows))
         base = np.cumsum(lens) - lens
-        at, cls = window_classes(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), lens)
+        at, cls = window_classes(np.frombuffer(b"".join(r[5] for r in rows), np.uint8), lens)
         if not len(at):
             return None
         seg = np.searchsorted(base, at, side="right") - 1
         # texts in order, ties of one text by the start of the window
-        texts = {x: k for k, x in enumerate(sorted({r[:2] for r in rows}))}
-        text = np.array([texts[r[:2]] for r in rows], np.int64)[seg]
-        start = np.array([r[2] for r in rows], np.int64)[seg] + (at - base[seg])
+        texts = {x: k for k, x in enumerate(sorted({r[:3] for r in rows}))}
+        text = np.array([texts[r[:3]] for r in rows], np.int64)[seg]
+        start = np.array([r[3] for r in rows], np.int64)[seg] + (at - base[seg])
         order = np.lexsort((start, text, cls))
         c, x, s = cls[order], text[order], start[order]
         head = np.concatenate([[True], c[1:] != c[:-1]])
@@ -300,18 +334,22 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[True], (x[1:] != x[:-1]) | (s[1:] > s[:-1] + 1)])
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(x)]]) - 1
-        owner = np.array([t for _, t in sorted(texts)], np.int64)
+        owner = np.array([row for _, _, row in sorted(texts)], np.int64)
         return _batch(names, [pa.array(owner[x[first]]), pa.array(s[first]), pa.array(s[last] - s[first] + 1)])
 
     now, rows = None, []
     for batch in batches:
-        for bucket, o, t, start, run, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "o", "t", "start", "run", "raw")), strict=True):
+        done = batch.filter(pc.is_null(batch.column("raw")))
+        if done.num_rows:
+            yield _batch(names, [done.column(c) for c in names])
+        batch = batch.filter(pc.is_valid(batch.column("raw")))
+        for bucket, o, t, row, start, run, raw in zip(*(batch.column(c).to_pylist() for c in _FOUND_NAMES), strict=True):
             if bucket != now and rows:
                 if (done := settle(rows)) is not None:
                     yield done
                 rows = []
             now = bucket
-            rows.append((o, t, start, run, raw))
+            rows.append((o, t, row, start, run, raw))
     if rows and (done := settle(rows)) is not None:
         yield done
 
@@ -328,63 +366,67 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
 def _cut(with_text: bool):
-    """(t, n_removed, n_spans, kept_sha256[, kept]) of each text with its repeated runs."""
+    """The result of each text from its repeated runs; a copy of an earlier text keeps nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytehash.slices(batches):
-            removed, counts, shas, texts = [], [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            sizes, removed, counts, shas, texts = [], [], [], [], []
+            for text, copy, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "copy", "spans")), strict=True):
                 raw = (text or "").encode()
-                holes = merge([(s["start"], s["run"]) for s in spans or []])
+                holes = [(0, len(raw))] if copy and len(raw) >= WINDOW else merge([(s["start"], s["run"]) for s in spans or []])
                 ends = [0, *(x for h in holes for x in h), len(raw)]
                 kept = b"".join(raw[ends[k] : ends[k + 1]] for k in range(0, len(ends), 2)) if holes else raw
+                sizes.append(len(raw))
                 removed.append(len(raw) - len(kept))
                 counts.append(len(holes))
                 shas.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept)
-            columns = [batch.column("t"), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(shas, pa.string())]
-            names = ["t", "n_removed", "n_spans", "kept_sha256"]
+            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (sizes, removed, counts)), pa.array(shas, pa.string())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield _batch(names + ["kept"], [*columns, pa.array(texts, pa.binary())]) if with_text else _batch(names, columns)
 
     return run
 
 
-def dedup_substrings(documents: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay, where asked for)."""
+def dedup_substrings(documents: DataFrame, with_text: bool = False, least_hot: int = 256, most_hot: int = 4096) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay, where asked for).
+
+    The texts are written once and stay there; what is found about them, a few bytes a segment, is brought to them.
+    A key is hot if it holds ``least_hot`` segments or more, and over 1 / ``most_hot`` of all.
+    """
     spark = documents.sparkSession
     scratch = Scratch(spark, "suffixes")
     partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * partitions  # a task holds one bucket at a time
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("t", F.xxhash64("text"))
-    docs = docs.withColumn("o", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("t", F.when(F.col("t") == 0, F.lit(1)).otherwise(F.col("t")))
-    ids = scratch.save(docs.groupBy("t", "doc_id", "o").agg(F.count(F.lit(1)).alias("c"), F.first(F.octet_length("text")).cast("long").alias("n_bytes")), "ids")
-    heads = scratch.save(ids.groupBy("t").agg(F.min("o").alias("head"), F.count(F.lit(1)).alias("rows")), "heads")
-    copies = scratch.save(join_facts(ids, heads.where("rows > 1"), "t", "rows", "inner").where("o > head").select("t", "o"), "copies")
-    copies = broadcast_within(copies, F.lit(64))
-    firsts = docs.join(copies, ["t", "o"], "left_anti").where(F.octet_length("text") >= WINDOW)
-    sent = firsts.select("t", "text").mapInArrow(_send_keys(buckets), "bucket int, keys binary, owners binary, many boolean")
-    known = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_keys, "t long, key int")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    docs = docs.withColumns({"t": F.xxhash64("text"), "o": F.coalesce("doc_id", F.lit(-(1 << 63)))})
+    texts = Resident(docs, scratch, "texts")
+    ids = texts.table().select("row", "o", "t")
+    heads = ids.groupBy("t").agg(F.min(F.struct("o", "row")).alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    copies = join_facts(ids, scratch.save(heads, "heads"), "t", "rows", "inner").where(F.struct("o", "row") > F.col("head"))
+    copies = scratch.save(copies.select("row"), "copies")
+
+    firsts = texts.join(copies, "left_anti").where(F.octet_length("text") >= WINDOW).select("row", "text")
+    sent = firsts.mapInArrow(_send_keys(buckets), _KEYS).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    known = texts.save(sent.mapInArrow(_repeated_keys(least_hot), _REPEATED), scratch, "known")
+    total = known.where("row is null and key is null").agg(F.sum("n").alias("n")).first()["n"] or 0
+    often = known.where(F.col("row").isNull() & F.col("key").isNotNull() & (F.col("n") > total / most_hot))
+    hot = frozenset((r["bucket"], r["key"] & 0xFFFFFFFF) for r in often.select("bucket", "key").collect())  # fewer than most_hot
     digits = F.transform(F.collect_set("key"), lambda k: F.lpad(F.hex(k.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-    asked = scratch.save(scratch.save(known, "known").groupBy("t").agg(F.unhex(F.array_join(digits, "")).alias("keys")), "asked")
-    scratch.drop("known")
-    side = broadcast_within(asked, F.octet_length("keys") + 64)
-    found = scratch.save(firsts.join(side, "t").select("o", "t", "keys", "text").mapInArrow(_send_segments(buckets), _FOUND), "found")
-    again = found.where("kind = 0").select("bucket", "o", "t", "start", "run", "raw").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "t long, start long, run long")
-    spans = again.unionByName(found.where("kind = 1").select("t", "start", "run")).groupBy("t").agg(F.collect_list(F.struct("start", "run")).alias("spans"))
-    spans = scratch.save(spans, "spans")
-    scratch.drop("found", "asked")
-    side = broadcast_within(spans, F.size("spans") * 48 + 64)
-    schema = "t long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    one = docs.join(copies, ["t", "o"], "left_anti")
-    results = one.join(side, "t", "left").select("t", "text", "spans").mapInArrow(_cut(with_text), schema)
-    results = scratch.save(results, "results").dropDuplicates(["t"])
-    facts = scratch.save(results.join(heads, "t"), "facts")
-    rows = join_facts(ids, facts, "t", "rows", "inner").withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
-    first = (F.col("o") == F.col("head")) & (F.col("j") == 1)
-    whole = ~first & (F.col("n_bytes") >= WINDOW)
-    out = [F.col("doc_id"), F.col("n_bytes"), F.when(whole, F.col("n_bytes")).when(first, F.col("n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(whole, F.lit(1)).when(first, F.col("n_spans")).otherwise(F.lit(0)).cast("long").alias("n_spans"), F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.col("kept_sha256")).alias("kept_sha256")]
-    if with_text:
-        out.append(F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
-    return rows.select(*out)
+    asked = known.where("row is not null").groupBy("row").agg(F.unhex(F.array_join(digits, "")).alias("keys"))
+
+    found = texts.join(scratch.save(asked, "asked")).select("o", "t", "row", "keys", "text").mapInArrow(_send_segments(buckets, hot), _FOUND)
+    again = found.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "row long, start long, run long")
+    spans = texts.save(again.groupBy("row").agg(F.collect_list(F.struct("start", "run")).alias("spans")), scratch, "spans")
+    scratch.drop("known", "asked")
+    marks = spans.select("row", F.lit(False).alias("copy"), "spans").unionByName(copies.select("row", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<start:long,run:long>>").alias("spans")))
+    rows = texts.join(marks, "left").select("doc_id", "text", "copy", "spans")
+    out = texts.save(rows.mapInArrow(_cut(with_text), _RESULT + (", kept binary" if with_text else "")), scratch, "results")
+    texts.drop()
+    scratch.drop("texts", "texts-homes", "heads", "copies", "spans")
+    return out

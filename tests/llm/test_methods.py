@@ -156,7 +156,8 @@ def test_jaccard_brute(spark, n, num, den, block):
     assert got == _classes(texts, n, num, den)
 
 
-def test_suffixes_brute(spark):
+@pytest.mark.parametrize("hot", [{}, {"least_hot": 2, "most_hot": 1 << 40}])
+def test_suffixes_brute(spark, hot):
     rng = random.Random(9)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(230))
     texts = {}
@@ -175,7 +176,7 @@ def test_suffixes_brute(spark):
                 parts.append("".join(rng.choice("ijklmnop ") for _ in range(rng.randint(1, 300))))
         texts[i] = "".join(parts)
     texts[70], texts[71] = texts[3], texts[3]
-    rows = suffixes.dedup_substrings(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), with_text=True).collect()
+    rows = suffixes.dedup_substrings(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), with_text=True, **hot).collect()
     got = {r["doc_id"]: r for r in rows}
     seen = set()
     for i, t in sorted(texts.items()):
