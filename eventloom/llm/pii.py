@@ -1,21 +1,24 @@
 """Personal data by base patterns and a skip-chain conditional random field.
 
 Mentions of a document are its base spans and looser candidates: runs of digits with
-separators, and words that repeat the local part of one of its addresses. Each mention has a
+separators, numbers with masked digits, and words that repeat the local part of one of its addresses. Each mention has a
 label (none, email, ip, card, phone) with log-linear potentials from its features; neighbours
-form a chain; distant mentions that repeat or resemble each other (the same last seven digits,
-or the same local part) share a skip potential: a candidate with every base span of its key and
+form a chain; distant mentions that repeat or resemble each other (the same last seven digits, or
+four where the others are masked, or the same local part) share a skip potential: a candidate with every base span of its key and
 with the candidate of that key before it, so that it takes the label of its evidence however
 often it repeats. Base spans are observed, so that their edges are votes summed once a key. Loopy
 belief propagation, until no message moves by ``SETTLED`` or after rounds bound by the number of
 mentions, gives each candidate its marginals; it becomes a span where the best label's marginal
 exceeds ``ACCEPT``.
 
-The weights of the pair potentials and the bias against spans are constants. The features'
-weights are fitted by gradient steps on the likelihood of single mentions of a bounded sample:
-``max_train_docs`` documents, labelled by their base spans, with the features that the patterns
-themselves need masked in a copy of every example, and numbers made by rule that are no
-personal data (dates, amounts, counts, serials).
+All weights (of the features, and of the chain and skip potentials) are fitted together on the
+pseudo-likelihood of a bounded sample: the probability of each mention's label given its features
+and the labels of its neighbours. The sample is ``max_train_docs`` documents, labelled by their
+base spans, with the features that the patterns themselves need masked. A document where nothing
+repeats tells nothing about skip edges, so looser forms of every base span (without its sign, with
+other separators, its first digits masked, a bare local part) join as mentions with one to three
+neighbours of its label, and as unlabelled ones without; numbers made by rule that are no personal
+data (dates, amounts, counts, serials) join alone and beside each other.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned alike; an empty
 table gives an empty result; ``annotate`` keeps all columns and its new ones have names given
@@ -46,6 +49,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _LOOSE = re.compile(r"(?<![A-Za-z0-9_@/.-])[(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![A-Za-z0-9_@/-])")
+_MASKED = re.compile(r"(?<![A-Za-z0-9*#])(?:[*#Xx]{2,6}[\x20.-]?){1,4}[0-9]{4}(?![0-9A-Za-z])")
 _WORD = re.compile(r"[A-Za-z0-9._%+-]{5,}")
 
 
@@ -93,7 +97,7 @@ def loose_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[
     """(start, stop) of strings like personal data, outside the base spans."""
     found = []
     if _DIGIT.search(text):
-        found = [(m.start(), m.end()) for m in _LOOSE.finditer(text)]
+        found = [(m.start(), m.end()) for m in _LOOSE.finditer(text)] + [(m.start(), m.end()) for m in _MASKED.finditer(text)]
     locals_ = {text[s:e].split("@")[0] for s, k, e in base if k == 0}
     locals_ = {x for x in locals_ if len(x) >= 5 and _DIGIT.search(x)}
     if locals_:
@@ -115,7 +119,7 @@ _BUCKETS = (7, 10, 12, 14, 16, 20)
 def features(raw: str, masked: bool = False) -> np.ndarray:
     """0/1 features; ``masked`` leaves out what the patterns themselves ask for."""
     d = _digits(raw)
-    x = np.zeros(20)
+    x = np.zeros(21)
     x[0] = 1
     x[1 + sum(len(d) >= b for b in _BUCKETS)] = 1
     x[8] = "(" in raw
@@ -130,17 +134,48 @@ def features(raw: str, masked: bool = False) -> np.ndarray:
     x[17] = len(d) == len(raw)
     x[18] = bool(re.fullmatch(r"[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}.*", raw))
     x[19] = masked
+    x[20] = any(c in "*#Xx" for c in raw) and not any(c.isalpha() and c not in "Xx" for c in raw)
     return x
 
 
+def looser(raw: str, kind: int) -> list[str]:
+    """Forms in which a base span of ``kind`` comes again, which its pattern misses."""
+    d = _digits(raw)
+    if kind == 0:
+        return [raw.split("@")[0]]
+    if kind == 1:
+        return []
+    forms = [d[:-4] + "-" + d[-4:], f"{d[-10:-7]}-{d[-7:-4]}-{d[-4:]}", f"{d[-10:-7]} {d[-7:-4]} {d[-4:]}", f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[-10:-7]}.{d[-7:-4]}.{d[-4:]}", d[-10:]] if kind == 3 else [f"{d[:4]}.{d[4:8]}.{d[8:12]}.{d[12:]}"]
+    return forms + [f"****-****-{d[-4:]}", f"xxx-xxx-{d[-4:]}"]
+
+
+def _votes(text: str, mentions: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """How many chain and skip neighbours of each mention (start, stop, label) hold each label."""
+    chain, skip = (np.zeros((len(mentions), len(LABELS))) for _ in range(2))
+    held: dict[str, np.ndarray] = {}
+    own = [_offers(text[s:e]) if label else _keys(text[s:e]) for s, e, label in mentions]
+    for keys, m in zip(own, mentions, strict=True):
+        for key in keys:
+            held.setdefault(key, np.zeros(len(LABELS)))[m[2]] += 1
+    for i, (s, e, label) in enumerate(mentions):
+        for key in _keys(text[s:e]):
+            skip[i] += held[key]
+            skip[i, label] -= 1
+    return chain, skip
+
+
+_TRAIN = "h long, label int, raw string, chain array<double>, skip array<double>"
+
+
 def _train_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
-        for text in frame["text"]:
+        for h, text in zip(frame["h"], frame["text"], strict=True):
             base = base_spans(text or "")
-            rows += [(k + 1, text[s:e]) for s, k, e in base]
-            rows += [(0, text[s:e]) for s, e in loose_candidates(text or "", base)]
-        yield pd.DataFrame(rows, columns=["label", "raw"])
+            mentions = sorted([(s, e, k + 1) for s, k, e in base] + [(s, e, 0) for s, e in loose_candidates(text or "", base)])
+            chain, skip = _votes(text or "", mentions)
+            rows += [(h, m[2], text[m[0] : m[1]], c.tolist(), v.tolist()) for m, c, v in zip(mentions, chain, skip, strict=True)]
+        yield pd.DataFrame(rows, columns=["h", "label", "raw", "chain", "skip"])
 
 
 def _harmless(n: int = 400) -> list[str]:
@@ -152,33 +187,49 @@ def _harmless(n: int = 400) -> list[str]:
     return out
 
 
-def fit(documents: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, steps: int = 300) -> dict:
-    """Unary weights by gradient on a bounded sample; chain, skip and bias are constants."""
+def fit(documents: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, steps: int = 400) -> dict:
+    """All weights, by gradient on the pseudo-likelihood of a bounded sample; pair weights never reward disagreement."""
     total = documents.count()
-    rows = documents.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_train_docs / max(1, total))))
-    found = rows.select("text").mapInPandas(_train_rows, "label int, raw string").limit(20 * max_train_docs).collect()
-    examples = [(r["label"], r["raw"], False) for r in found] + [(r["label"], r["raw"], True) for r in found if r["label"]]
-    examples += [(0, raw, False) for raw in _harmless()] + [(0, raw, True) for raw in _harmless()]
+    h = F.xxhash64(F.lit("train"), "doc_id")
+    rows = documents.where(F.pmod(h, F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_train_docs / max(1, total))))
+    found = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInPandas(_train_rows, _TRAIN)
+    found = found.orderBy("h", "label", "raw").limit(4 * max_train_docs).collect()
     # Two of each pattern by rule, so that a corpus without personal data still has every label.
-    for label, raw in ((1, "ab.cd12@example.com"), (2, "10.20.30.40"), (3, "4111 1111 1111 1111"), (4, "+1 (212) 555-0100")):
-        examples += [(label, raw, False), (label, raw, True)]
-    x = np.array([features(raw, m) for _, raw, m in examples])
-    y = np.array([label for label, _, _ in examples])
-    weight = np.array([1.0 if not m else 0.5 for _, _, m in examples])
-    share = np.bincount(y, weights=weight, minlength=len(LABELS))
-    weight = weight / share[y]  # labels count alike
-    w = np.zeros((x.shape[1], len(LABELS)))
-    target = np.eye(len(LABELS))[y]
-    for _ in range(steps):
-        z = x @ w
+    known = [(r["label"], r["raw"]) for r in found if r["label"]] + [(1, "ab.cd12@example.com"), (2, "10.20.30.40"), (3, "4111 1111 1111 1111"), (4, "+1 (212) 555-0100")]
+    none, one = np.zeros(len(LABELS)), np.eye(len(LABELS))
+    examples = [(r["label"], r["raw"], np.array(r["chain"]), np.array(r["skip"])) for r in found if not r["label"] or any(r["skip"])]
+    for k, (label, raw) in enumerate(known):
+        for form in [raw, *looser(raw, label - 1)]:
+            examples += [(label, form, none, one[label] * (1 + k % 3)), (0, form, none, none)]
+    for k, raw in enumerate(_harmless()):
+        examples += [(0, raw, none, none), (0, raw, none, one[0] * (1 + k % 3))]
+    x = np.array([features(raw, True) for _, raw, _, _ in examples])
+    y = np.array([label for label, *_ in examples])
+    chain, skip = np.array([c for _, _, c, _ in examples]), np.array([v for *_, v in examples])
+    share = np.bincount(y, minlength=len(LABELS))
+    weight = 1.0 / share[y] * np.where(y == 0, len(LABELS), 1)  # labels count alike, none as much as all others
+    weight /= weight.sum()
+    w, pair, target = np.zeros((x.shape[1], len(LABELS))), np.zeros(2), np.eye(len(LABELS))[y]
+    moment = [np.zeros_like(w), np.zeros_like(w), np.zeros(2), np.zeros(2)]
+    for step in range(1, steps + 1):
+        z = x @ w + pair[0] * chain + pair[1] * skip
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        w += 0.5 * (x.T @ ((target - p) * weight[:, None]) - 0.002 * w)
-    return {"unary": w.tolist(), "chain": 0.2, "skip": 6.0, "bias": 2.0}
+        miss = (target - p) * weight[:, None]
+        slope = (x.T @ miss - 1e-4 * w, np.array([(miss * chain).sum(), (miss * skip).sum()]) - 1e-4 * pair)
+        for k, (value, g) in enumerate(zip((w, pair), slope, strict=True)):  # moments of the gradient scale each step
+            m, v = moment[2 * k], moment[2 * k + 1]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            value += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        np.maximum(pair, 0, out=pair)
+    return {"unary": w.tolist(), "chain": float(pair[0]), "skip": float(pair[1])}
 
 
 def _keys(raw: str) -> list[str]:
     d = _digits(raw)
+    if len(d) == 4 and any(c in "*#Xx" for c in raw):
+        return ["f" + d]
     keys = ["d" + d[-7:]] if len(d) >= 7 else []
     local = raw.split("@")[0].strip(".")
     if any(c.isalpha() for c in local):
@@ -186,6 +237,12 @@ def _keys(raw: str) -> list[str]:
     return keys
 
 
+def _offers(raw: str) -> list[str]:
+    """The keys under which a base span is evidence: its own, and its last four digits for masked numbers."""
+    d = _digits(raw)
+    return _keys(raw) + (["f" + d[-4:]] if len(d) >= 7 and "@" not in raw else [])
+
+
 def infer(model: dict, text: str, base: list[tuple[int, int, int]], loose: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """Spans that the field adds: votes of the base spans, and loopy message passing over the candidates' chain and skip edges."""
     mentions = sorted([(s, e, k + 1) for s, k, e in base] + [(s, e, 0) for s, e in loose])
@@ -197,14 +254,13 @@ def infer(model: dict, text: str, base: list[tuple[int, int, int]], loose: list[
             unary[i] = -30
             unary[i, label] = 0
         else:
-            unary[i] = features(text[s:e], True) @ w * 0.5
-            unary[i, 0] += model["bias"]
+            unary[i] = features(text[s:e], True) @ w
     # Observed labels are known, so that each of their edges is a fixed vote for the other end's label.
     seen = np.array([m[2] for m in mentions])
     keys = [_keys(text[s:e]) for s, e, _ in mentions]
     evidence: dict[str, np.ndarray] = {}
     for i in np.flatnonzero(seen):
-        for key in keys[i]:
+        for key in _offers(text[mentions[i][0] : mentions[i][1]]):
             evidence.setdefault(key, np.zeros(size))[seen[i]] += model["skip"]
     edges: dict[tuple[int, int], float] = {}
     last: dict[str, int] = {}
@@ -289,20 +345,21 @@ def annotate(documents: DataFrame, model: dict, out: str = "pii_spans") -> DataF
 def _report(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, shas, texts = [[] for _ in KINDS], [], []
+            counts, shas, texts, totals = [[] for _ in KINDS], [], [], []
             for text in batch.column(1).to_pylist():
                 base, every = scan(shared.value, text)
                 for k in range(len(KINDS)):
                     counts[k].append(sum(1 for s in base if s[1] == k))
                 shas.append(hashlib.sha256(spell(base).encode()).hexdigest())
                 texts.append(spell(every))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas), pa.array(texts)], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                totals.append(len(every))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(texts, pa.string()), pa.array(totals, pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     return run
 
 
 def pii_report(documents: DataFrame) -> DataFrame:
-    """Counts and digests of the spans of each document."""
+    """Counts and digests of the spans of each document; n_spans counts those of all kinds."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = documents.sparkSession.sparkContext.broadcast(fit(docs))
-    return docs.mapInArrow(_report(shared), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.mapInArrow(_report(shared), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
