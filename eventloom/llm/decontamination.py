@@ -1,10 +1,12 @@
 """Benchmark decontamination with a broadcast hash set of normalised test n-grams.
 
 Everything is DataFrame functions. A text is lower-cased (A-Z only) and cut into words; every
-window of ``n`` words is hashed inside the row and tested against a small bit table of the
-benchmark's window hashes; windows that pass are spelled out and looked up, by their text, in
-the broadcast set of benchmark windows, so that every hit is verified word for word. A
-benchmark beyond ``max_broadcast_windows`` is joined by a shuffle instead, with the same rows.
+window of ``n`` words is hashed inside the row and tested against a bit table of the benchmark's
+window hashes, two bits a window in ``BITS_PER_WINDOW`` or more, up to ``MAX_BITS`` (two million
+windows; a larger benchmark fills the table further, so more windows pass). What passes is
+spelled out and looked up, by its text, in the set of benchmark windows, so that every hit is
+verified word for word. That set is broadcast up to ``max_broadcast_windows``; a larger one is
+joined by a shuffle of the few windows that passed.
 
 Defined results: null text has no words and is clean; empty items are ignored; repeated items
 count once each by item_id; repeated documents each get their row; an empty table of
@@ -17,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.session import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # In a text as it is. Case-blind matching would take every ASCII letter out of a negated class.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
-BITS_PER_WINDOW, MAX_BITS = 64, 1 << 19
+BITS_PER_WINDOW, MAX_BITS = 64, 1 << 27
 
 
 def words_of(text: Column) -> Column:
@@ -39,42 +43,52 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     return each.groupBy("window", "len").agg(F.collect_set("item_id").alias("items"))
 
 
+def _slots(words: Column, bits: int) -> list[Column]:
+    """The places of a window's bits; the second is asked for only where the first is set."""
+    return [F.pmod(F.xxhash64(words), F.lit(bits)), F.pmod(F.xxhash64(words, F.lit("second")), F.lit(bits))]
+
+
 def _bit_table(windows: DataFrame, count: int) -> tuple[Column, int]:
-    """A constant array of 64-bit words with a bit set for each benchmark window's hash; at most MAX_BITS bits."""
+    """A constant array of 64-bit words with the bits set of each benchmark window; at most MAX_BITS bits."""
     bits = 1 << 12
     while bits < min(MAX_BITS, BITS_PER_WINDOW * count):
         bits *= 2
-    slot = F.pmod(F.xxhash64(F.split("window", " ")), F.lit(bits))
-    rows = windows.select(slot.alias("slot")).distinct().groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("v")).collect()
+    slots = windows.select(F.explode(F.array(*_slots(F.split("window", " "), bits))).alias("slot"))
+    rows = slots.distinct().groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("v")).collect()
     table = ["0"] * (bits // 64)
     for r in rows:
         table[r["at"]] = str(r["v"])
     return F.split(F.lit(",".join(table)), ",").cast("array<bigint>"), bits
 
 
-def _candidates(words: Column, length: int, table: Column | None, bits: int) -> Column:
-    """The windows of ``length`` words whose hash has its bit in ``table`` (all, without a table), spelled out."""
+def _candidates(words: Column, length: int, table: Column, bits: int) -> Column:
+    """The windows of ``length`` words whose bits are set in ``table``, spelled out."""
     starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - length + 1)).otherwise(F.array().cast("array<int>"))
 
-    def passes(i: Column) -> Column:
-        slot = F.pmod(F.xxhash64(F.slice(words, i, length)), F.lit(bits))
+    def is_set(slot: Column) -> Column:
         return F.call_function("shiftright", F.get(table, F.floor(slot / 64).cast("int")), (slot % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
 
+    def passes(i: Column) -> Column:
+        first, second = _slots(F.slice(words, i, length), bits)
+        return is_set(first) & is_set(second)
+
     def spell(i: Column) -> Column:
         return F.struct(i.alias("at"), F.lit(length).alias("len"), F.array_join(F.slice(words, i, length), " ").alias("window"))
 
-    return F.transform(F.filter(starts, passes) if table is not None else starts, spell)
+    return F.transform(F.filter(starts, passes), spell)
 
 
 def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast_windows: int = 1 << 17) -> DataFrame:
     """A row for each input row: doc_id, text_key, n_words, spans (array of word start and length), items (array of item_id)."""
-    windows = benchmark_windows(benchmark, n).persist()
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "decontamination")
+    windows = scratch.save(benchmark_windows(benchmark, n), "windows")
     per_length = {r["len"]: r["count"] for r in windows.groupBy("len").count().collect()}
     count = sum(per_length.values())
     small = count <= max_broadcast_windows
     docs = documents.select(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()).alias("text_key"), words_of(F.col("text")).alias("words"))
     words, size = F.col("words"), F.size("words")
-    table, bits = _bit_table(windows, count) if small and count else (None, 0)
+    table, bits = _bit_table(windows, count) if count else (F.array().cast("array<bigint>"), 64)
     found = [_candidates(words, length, table, bits) for length in sorted(per_length)]
     found = F.concat(*found) if len(found) > 1 else found[0] if found else F.array().cast("array<struct<at:int,len:int,window:string>>")
     rows = docs.select("doc_id", "text_key", size.alias("n_words"), F.posexplode_outer(found).alias("j", "c"))
