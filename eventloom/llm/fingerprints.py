@@ -3,9 +3,9 @@
 Every distinct term (a pair of neighbouring words) votes with the signed bits of its 256-bit
 hash, weighted by the square root of how often it occurs: the part of the votes that a passage
 holds is then the part of the words that it holds, be it repetitive or not. Fingerprints within a chosen Hamming
-radius are found exactly: bits are cut into blocks, of which at least ``blocks - radius``
-agree; for each such choice of blocks a table is keyed by them, and pairs that share a key in
-some table are verified by their distance.
+radius are found exactly: bits are cut into blocks, of which some must agree, or differ in a
+few bits only; tables are keyed by these blocks, and pairs that share a key in some table are
+verified by their distance.
 
 For each document's successor, rows are range-partitioned by doc_id, so that a task streams
 neighbours; only the first and last text of each partition meet those of the next.
@@ -33,6 +33,7 @@ from eventloom.operators.skew import join_facts
 from eventloom.session import Scratch
 
 BITS, TERM_WORDS = 256, 2
+RADIUS, BLOCKS = 15, 8  # of 256 bits; blocks of 32 bits, one bit of which may differ
 _LANES = np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _SLICE = 1 << 15
 
@@ -145,37 +146,66 @@ def fingerprint_table(documents: DataFrame, partitions: int | None = None) -> Da
     return found.where(F.col("part").isNull()).drop("part", "first_text", "last_text").unionByName(pairs.mapInArrow(_finish_edges, _SCHEMA))
 
 
-def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
+def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(query, fingerprint, distance): all distinct fingerprints within ``radius`` bits of each distinct query.
 
-    Both inputs have a column ``fingerprint`` of hex digits. ``blocks`` (radius + 1 by default)
-    must divide the digits; each table is keyed by one choice of ``blocks - radius`` of them.
+    Both inputs have a column ``fingerprint`` of hex digits, which ``blocks`` must divide. Below
+    as many bits as blocks, at least ``blocks - radius`` blocks agree, and each table is keyed by
+    one choice of so many. Beyond, some block differs in ``radius // blocks`` bits at most: each
+    table is keyed by one block, and a query asks for its block with every such change. Keys and
+    fingerprints travel as numbers; a pair met in several tables is told by the first.
     """
-    blocks = blocks or radius + 1
-    digits = BITS // 4 // blocks
-    if digits * blocks * 4 != BITS or blocks <= radius:
-        raise ValueError("blocks must divide the fingerprint and exceed the radius")
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        one = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
-        keys = [F.concat(F.lit(f"{t}:"), *[F.substring(name, 1 + b * digits, digits) for b in chosen]) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-        return one.select(name, F.explode(F.array(*keys)).alias("key"))
-
-    def word(name: str, k: int):
-        return F.conv(F.substring(name, 1 + 8 * k, 8), 16, 10).cast("long")
-
-    distance = sum((F.bit_count(word("query", k).bitwiseXOR(word("fingerprint", k))) for k in range(BITS // 32)), F.lit(0))
-    met = keyed(queries, "query").join(keyed(prints, "fingerprint"), "key").select("query", "fingerprint").distinct()
-    return met.withColumn("distance", distance).where(F.col("distance") <= radius)
-
-
-def simhash_report(documents: DataFrame, radius: int = 3) -> DataFrame:
-    """The fingerprint table; for ids divisible by 50 also how many distinct fingerprints lie within the radius, its own included."""
+    digits, flips = BITS // 4 // blocks, radius // blocks
+    if digits * blocks * 4 != BITS or (flips and 64 % (4 * digits)):
+        raise ValueError("blocks must divide the fingerprint, and words of 64 bits where bits are changed")
+    choices = list(combinations(range(blocks), 1 if flips else blocks - radius))
+    changes = [sum(1 << j for j in bits) for n in range(flips + 1) for bits in combinations(range(4 * digits), n)]
+
+    def word(k: int):
+        return F.conv(F.substring("fingerprint", 1 + 16 * k, 16), 16, -10).cast("long")
+
+    def block(name: str, b: int) -> list:
+        """The block's bits, from the words that hold them."""
+        first, last = b * digits * 4, (b + 1) * digits * 4 - 1
+        parts = []
+        for k in range(first // 64, last // 64 + 1):
+            low, high = max(first, 64 * k) - 64 * k, min(last, 64 * k + 63) - 64 * k
+            value = F.call_function("shiftrightunsigned", F.col(f"{name}{k}"), F.lit(63 - high))
+            parts.append(value if high - low == 63 else value.bitwiseAND(F.lit((1 << (high - low + 1)) - 1)))
+        return parts
+
+    def keyed(df: DataFrame, name: str, masks: list[int]) -> DataFrame:
+        one = df.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct().select(*[word(k).alias(f"{name}{k}") for k in range(BITS // 64)])
+        masks_ = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
+
+        def asked(t: int):
+            head, *rest = (x for b in choices[t] for x in block(name, b))
+            return F.transform(masks_, lambda m: F.xxhash64(F.lit(t), head.bitwiseXOR(m), *rest))
+
+        keys = [asked(t) for t in range(len(choices))]
+        tables = one.select("*", F.posexplode(F.array(*keys)).alias("table", "keys"))
+        return tables.select(*one.columns, "table", F.explode("keys").alias("key"))
+
+    met = keyed(queries, "q", changes).join(keyed(prints, "p", [0]), ["table", "key"])
+    distance = sum((F.bit_count(F.col(f"q{k}").bitwiseXOR(F.col(f"p{k}"))) for k in range(BITS // 64)), F.lit(0))
+    apart = {b: sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(block("q", b), block("p", b), strict=True)), F.lit(0)) for b in range(blocks)}
+    met = met.withColumn("distance", distance).where(F.col("distance") <= radius).withColumn("apart", F.array(*apart.values()))
+    near = F.array(*[F.forall(F.array(*[F.lit(b) for b in chosen]), lambda b: F.get(F.col("apart"), b) <= flips) for chosen in choices])
+    spelled = lambda name: F.concat(*[F.lpad(F.lower(F.hex(F.col(f"{name}{k}"))), 16, "0") for k in range(BITS // 64)])
+    return met.where(F.array_position(near, True) == F.col("table") + 1).select(spelled("q").alias("query"), spelled("p").alias("fingerprint"), "distance")
+
+
+def simhash_report(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The fingerprint table; for ids divisible by 50 also n_near, how many distinct fingerprints lie within the radius,
+    its own included, and near_ids, the least doc_id of each, by distance and id."""
     table = fingerprint_table(documents)
     scratch = Scratch(documents.sparkSession, "simhash")
     table = scratch.save(table, "table")
     asked = table.where(F.col("doc_id") % 50 == 0)
-    near = near_fingerprints(table, asked, radius).groupBy(F.col("query").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
-    held = table.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("held"))
-    joined = join_facts(table, scratch.save(near.join(held, "fingerprint"), "near"), "fingerprint", "held")
-    return joined.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.when(F.col("doc_id") % 50 == 0, F.col("n")).alias("n_near"))
+    classes = scratch.save(table.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("held")), "classes")
+    pairs = near_fingerprints(classes, asked, radius).join(classes.select("fingerprint", "rep"), "fingerprint")
+    near = pairs.groupBy(F.col("query").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("distance", "rep"))).alias("near"))
+    near = scratch.save(near.join(classes.select("fingerprint", "held"), "fingerprint").withColumn("near", F.transform("near", lambda x: x["rep"])), "near")
+    joined = join_facts(table, near, "fingerprint", "held")
+    query = F.col("doc_id") % 50 == 0
+    return joined.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.when(query, F.col("n")).alias("n_near"), F.when(query, F.col("near")).alias("near_ids"))
