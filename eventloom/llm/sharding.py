@@ -24,7 +24,7 @@ from eventloom.operators.skew import join_facts
 from eventloom.session import Scratch
 
 DIMENSIONS = ("size", "lang", "source", "position")
-COORDINATE_HEX, GROUP_HEX = 5, 16
+COORDINATE_HEX, GROUP_HEX, NAME_BINS = 5, 16, 4096
 
 
 def _hex64(value: Column) -> Column:
@@ -40,6 +40,24 @@ def _optional(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
 
 
+def _share(rows: DataFrame, name: str, group_name: str) -> Column:
+    """Where a name lies on the scale of bytes: the share of all bytes under names of lesser hash, in NAME_BINS bins.
+
+    The distance of two names is then the weight between them, so that a dimension is as wide
+    as what it can part.
+    """
+    found = rows.groupBy(F.pmod(F.crc32(F.col(name).cast("binary")), F.lit(NAME_BINS)).alias("bin")).agg(F.sum("size").alias("w")).collect()
+    weight = [0] * NAME_BINS
+    for r in found:
+        weight[r["bin"]] = r["w"]
+    total, before, scale = max(1, sum(weight)), 0, []
+    for w in weight:
+        scale.append(f"{(before + w / 2) / total:.9f}")
+        before += w
+    places = F.split(F.lit(",".join(scale)), ",").cast("array<double>")
+    return F.get(places, F.pmod(F.crc32(F.col(group_name).cast("binary")), F.lit(NAME_BINS)).cast("int"))
+
+
 def _meta(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """One small row for each document: doc_id, size, text_crc32, group and the four coordinates."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -55,9 +73,11 @@ def _meta(documents: DataFrame, scratch: Scratch) -> DataFrame:
     ends = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     lo, width = ends["lo"] or 0, max(1, (ends["hi"] or 0) - (ends["lo"] or 0))
     groups = rows.groupBy("grp").agg(F.min("doc_id").alias("g_id"), F.min("lang").alias("g_lang"), F.min("source").alias("g_source"), F.count(F.lit(1)).alias("g_rows"))
-    joined = join_facts(rows.drop("lang", "source"), scratch.save(groups, "groups"), "grp", "g_rows", "inner")
-    shares = (F.log2(F.col("size").cast("double")) / 48, F.crc32(F.col("g_lang").cast("binary")) / float(1 << 32), F.crc32(F.col("g_source").cast("binary")) / float(1 << 32), (F.coalesce("g_id", F.lit(lo)) - lo) / float(width))
-    return joined.select("doc_id", "size", "text_crc32", F.concat(_hex64(F.col("grp")), _hex64(F.xxhash64("doc_id", "text_crc32"))).alias("tail"), F.array(*[_coordinate(x) for x in shares]).alias("at"))
+    joined = join_facts(rows.drop("lang", "source").withColumn("number", F.monotonically_increasing_id()), scratch.save(groups, "groups"), "grp", "g_rows", "inner")
+    shares = (F.log2(F.col("size").cast("double")) / 48, _share(rows, "lang", "g_lang"), _share(rows, "source", "g_source"), (F.coalesce("g_id", F.lit(lo)) - lo) / float(width))
+    # Equal rows are told apart by their numbers, so that a cut may part them.
+    own = _hex64(F.xxhash64("doc_id", "text_crc32", "number"))
+    return joined.select("doc_id", "size", "text_crc32", F.concat(_hex64(F.col("grp")), own).alias("tail"), F.array(*[_coordinate(x) for x in shares]).alias("at"))
 
 
 def _cut_nodes(spark, rows: DataFrame, nodes: dict[int, tuple[int, int]], target: float, tolerance: float) -> dict[int, tuple[int, str]]:
