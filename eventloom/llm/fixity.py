@@ -6,8 +6,9 @@ length), and nodes bind ``fanout`` children with the range they span, up to one
 Two replicas are compared at their roots first; only children of differing nodes are looked
 at on each following level, down to the records that are damaged, missing or added.
 
-Everything is DataFrame functions. A file holds a bounded number of ids, so the windows that
-give offsets are bounded; equal ids share a file and are ordered by content.
+Everything is DataFrame functions. Offsets are summed by range partitions, so that a file that
+nothing bounds (repeated ids, or none) is no task's alone; equal ids share a file and are ordered
+by content.
 
 Defined results: null url or html are empty strings; an empty table has no files and audits
 as no rows; repeated rows are records of their own; a record found in one replica only is
@@ -31,13 +32,30 @@ def _record(url: Column, html: Column) -> Column:
     return F.concat(head, body, F.lit(CRLF + CRLF))
 
 
+def _in_order(records: DataFrame, scratch: Scratch) -> DataFrame:
+    """Records with pos and offset in their file, however many rows share a file or an id.
+
+    Rows are range-partitioned by file, id and hash, equal ones spread by a number of their own;
+    each partition is numbered by itself, and starts where the records of the file before it end.
+    """
+    key = ["file_id", "page_id", "record_sha256"]
+    dealt = records.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*key, "_tie").withColumn("_part", F.spark_partition_id())
+    rows = scratch.save(dealt, "rows")
+    own = Window.partitionBy("file_id", "_part").orderBy(*key[1:], "_tie")
+    held = rows.groupBy("file_id", "_part").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+    earlier = Window.partitionBy("file_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    base = held.select(F.col("file_id").alias("_file"), F.col("_part").alias("_own"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n"), F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("_bytes"))
+    numbered = rows.withColumns({"pos": F.row_number().over(own) - 1, "offset": F.coalesce(F.sum("length").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    out = numbered.join(base, (F.col("file_id") == F.col("_file")) & (F.col("_part") == F.col("_own")))
+    return out.withColumns({"pos": (F.col("pos") + F.col("_n")).cast("long"), "offset": (F.col("offset") + F.col("_bytes")).cast("long")}).drop("_tie", "_part", "_file", "_own", "_n", "_bytes")
+
+
 def leaves(pages: DataFrame, records_per_file: int = 1000) -> DataFrame:
     """(file_id, pos, page_id, offset, length, record_sha256, node): the leaves of each file's tree, in order."""
     url, html = F.coalesce(F.col("url"), F.lit("")), F.coalesce(F.col("html"), F.lit(""))
     rec = pages.select(F.col("page_id").cast("long").alias("page_id"), _record(url, html).alias("rec"))
     small = rec.select("page_id", F.octet_length("rec").cast("long").alias("length"), F.sha2(F.col("rec").cast("binary"), 256).alias("record_sha256"), F.coalesce(F.floor(F.col("page_id") / records_per_file), F.lit(-1)).cast("long").alias("file_id"))
-    order = Window.partitionBy("file_id").orderBy("page_id", "record_sha256")
-    placed = small.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).withColumn("offset", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    placed = _in_order(small, Scratch(pages.sparkSession, "fixity-leaves"))
     node = F.sha2(F.concat_ws("|", F.lit("leaf"), "offset", "length", "record_sha256").cast("binary"), 256)
     return placed.withColumn("node", node).select("file_id", "pos", "page_id", "offset", "length", "record_sha256", "node")
 
@@ -48,11 +66,12 @@ def _parents(level: DataFrame, fanout: int) -> DataFrame:
     return level.groupBy("file_id", F.floor(F.col("pos") / fanout).cast("long").alias("pos")).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_join(kids, "").alias("kids")).select("file_id", "pos", "start", "stop", F.sha2(F.concat_ws("|", F.lit("node"), "start", "stop", "kids").cast("binary"), 256).alias("node"))
 
 
-def trees(leaf: DataFrame, depth: int, fanout: int = 10) -> list[DataFrame]:
-    """The levels of all files' trees, leaves first; the last holds one root a file."""
+def trees(leaf: DataFrame, depth: int, fanout: int = 10, scratch: Scratch | None = None, label: str = "tree") -> list[DataFrame]:
+    """The levels of all files' trees, leaves first, each written once; the last holds one root a file."""
+    scratch = scratch or Scratch(leaf.sparkSession, "fixity")
     levels = [leaf.select("file_id", "pos", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"), "node")]
     for _ in range(depth):
-        levels.append(_parents(levels[-1], fanout))
+        levels.append(scratch.save(_parents(levels[-1], fanout), f"{label}{len(levels)}"))
     return levels
 
 
@@ -70,7 +89,7 @@ def audit(original: DataFrame, replica: DataFrame, records_per_file: int = 1000,
     a = scratch.save(leaves(original, records_per_file), "a")
     b = scratch.save(leaves(replica, records_per_file), "b")
     depth = max(_depth(a, records_per_file, fanout), _depth(b, records_per_file, fanout))
-    up_a, up_b = trees(a, depth, fanout), trees(b, depth, fanout)
+    up_a, up_b = trees(a, depth, fanout, scratch, "a"), trees(b, depth, fanout, scratch, "b")
     suspects = None
     for level in range(depth, -1, -1):
         here, there = up_a[level].select("file_id", "pos", F.col("node").alias("x")), up_b[level].select("file_id", "pos", F.col("node").alias("y"))
