@@ -231,14 +231,37 @@ def test_fingerprint_chain(docs, texts):
 def test_near_fingerprints_brute(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(256) for _ in range(20)]
-    prints = {x ^ sum(1 << b for b in rng.sample(range(256), rng.randint(0, 6))) for x in base for _ in range(8)}
+    prints = {x ^ sum(1 << b for b in rng.sample(range(256), rng.randint(0, 10))) for x in base for _ in range(8)}
     df = spark.createDataFrame([(f"{x:064x}",) for x in prints], "fingerprint string")
-    for radius, blocks in ((3, 4), (3, 8), (7, 8)):
+    for radius, blocks in ((3, 4), (3, 8), (7, 8), (15, 8), (5, 4)):
         got = {(r["query"], r["fingerprint"]): r["distance"] for r in fingerprints.near_fingerprints(df, df, radius, blocks).collect()}
         want = {(f"{a:064x}", f"{b:064x}"): (a ^ b).bit_count() for a in prints for b in prints if (a ^ b).bit_count() <= radius}
         assert got == want
 
 
+def test_near_ids(spark):
+    words = [f"w{k}" for k in range(400)]
+    texts = {0: words, 7: words[:-1] + ["x"], 50: words, 60: [f"v{k}" for k in range(400)]}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_near"], r["near_ids"]) for r in fingerprints.simhash_report(docs).collect()}
+    assert got == {0: (2, [0, 7]), 7: (None, None), 50: (2, [0, 7]), 60: (None, None)}
+
+
+def test_simhash_plain():
+    """Fingerprints against votes counted one by one."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)).encode() for n in (0, 1, 2, 3, 40, 600)]
+    got = fingerprints.simhash(texts)
+    for text, row in zip(texts, got, strict=True):
+        hashes, at = bytehash.words([text])
+        terms, _ = bytehash.shingles(hashes, at, fingerprints.TERM_WORDS)
+        votes = np.zeros(256, np.int64)
+        for term, n in Counter(int(t) >> 14 for t in terms.tolist()).items():
+            bits = bytehash.mix(np.array([term], np.uint64)[:, None] + fingerprints._LANES[None, :]).view(np.uint8)
+            votes += round(4 * n**0.5) * (2 * np.unpackbits(bits).astype(np.int64) - 1)
+        assert np.packbits(votes > 0).tobytes() == row.tobytes()
+
+
 def test_shards_are_even(docs):
     rows = sharding.kd_shards(docs, shards=5).collect()
     sizes, slots = Counter(), {}
@@ -379,3 +402,32 @@ def test_pipeline_stages_brute(spark, docs):
     assert ids(clean) == ids(one) - ids(hit)
     assert ids(c.redact_secrets(spark, clean, SF)) == ids(clean)
     assert [name for name, _ in c.STAGES] == ["language_id", "near_duplicates", "decontaminate", "redact_secrets", "pack"]
+
+
+def test_equal_rows_are_parted(spark):
+    """The law holds where a table is mostly one row, without an id."""
+    rows = [(None, "the same text", "en", "s", None)] * 3000 + [(i, f"other {i} " * 6, "en", f"s{i % 5}", None) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    sizes, slots = Counter(), {}
+    for r in sharding.shard_table(docs).collect():
+        sizes[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    mean = sum(sizes.values()) / 16
+    assert set(sizes) == set(range(16)) and all(abs(v - mean) < 0.06 * mean for v in sizes.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_records_without_ids(spark):
+    """A file that nothing bounds (no ids) is ordered in parts."""
+    rows = [(None, f"u{i % 7}", f"<p>{i % 3}</p>") for i in range(4000)] + [(5, "u", "x")] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    leaf = fixity.leaves(pages).collect()
+    for file_id in (-1, 0):
+        own = sorted((r["pos"], r["offset"], r["length"], r["record_sha256"]) for r in leaf if r["file_id"] == file_id)
+        at = 0
+        for k, (pos, offset, length, _) in enumerate(own):
+            assert (pos, offset) == (k, at)
+            at += length
+        assert [x[3] for x in own] == sorted(x[3] for x in own)
+    bad, _, _ = fixity.audit(pages, pages.repartition(2))
+    assert bad.count() == 0
