@@ -7,8 +7,8 @@ run of equal open sequences. The plan is a list of slot runs; pieces are numbere
 length, in parallel, and take the slot whose run holds their number, by a join on length.
 
 Tokens never cross ASCII white space, so the texts of a slice are split there and each distinct
-chunk is looked up once; its ids are kept, in a cache of bounded size, for the worker's later
-tasks. The ids of the texts are then gathered from those of their chunks.
+chunk is looked up once; its ids are kept, in a cache of bounded size, for the task's later
+slices. The ids of the texts are then gathered from those of their chunks.
 
 Defined results: null and empty texts are one piece of one token (the separator); repeated
 rows are packed each on their own; an empty table gives an empty result; null doc_id is kept;
@@ -33,7 +33,7 @@ from eventloom.session import Scratch
 
 CAPACITY, SEPARATOR = 4096, 1
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_CACHE_SIZE = 500_000
+_CACHE_SIZE = 250_000
 _SLICE_BYTES, _LEAST_BYTES = 1 << 23, 1 << 12  # texts tokenised together; each counts for so many at least
 
 
@@ -59,6 +59,9 @@ class WordTokenizer:
         self.now: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.now, self.older = {}, {}
+
     def _encode(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk. A run of simple chunks is encoded as one text and cut at the ends of words.
 
@@ -133,9 +136,10 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def _tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process, so that its cache outlives a task."""
+    """One for each worker process; its cache starts empty in each task, so that no worker holds it between tasks."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
+    _tokenizers[path].forget()
     return _tokenizers[path]
 
 
@@ -156,6 +160,7 @@ def _tokenise(path: str, capacity: int, with_ids: bool):
                 cuts = [ids[x : x + n] for x, n in zip(begin.tolist(), length.tolist(), strict=True)]
                 columns = [batch.column(0).slice(a, b - a).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(x) for x in cuts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array([x.tobytes() for x in cuts], pa.binary())] if with_ids else []), names=names)
+        tokenizer.forget()
 
     return run
 
