@@ -28,7 +28,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 # A run that is long enough is the same match as any run, filtered by length afterwards.
 ACCESS, HEX, CANDIDATE = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-CODES, MAX_TRAIN_DOCS, THRESHOLD, SMOOTH = 96, 2_000, 0.35, 0.5
+CODES, MAX_TRAIN_DOCS, THRESHOLD, SMOOTH = 96, 500, 0.35, 0.5
 SPAN = "array<struct<start:int,ord:int,kind:string,stop:int>>"
 SPAN_RAW = "array<struct<start:int,ord:int,kind:string,stop:int,raw:string>>"
 # Fixed word lists of the identifier rule.
