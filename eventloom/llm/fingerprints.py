@@ -134,7 +134,7 @@ def fingerprint_table(documents: DataFrame, partitions: int | None = None) -> Da
     """Fingerprints of every text and of its edited text, and both likenesses."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "fingerprints")
-    partitions = partitions or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
     found = scratch.save(ordered.mapInArrow(_chain, _SCHEMA + ", part int, first_text string, last_text string"), "rows")
