@@ -43,6 +43,14 @@ def merge_tags(lists: Column, limit: int = dicts.MAX_TAGS) -> Column:
     return F.slice(F.transform(F.array_sort(scored), lambda s: s["t"]), 1, limit)
 
 
+def load_rules(rows: DataFrame) -> list[tuple[str, list[str], list[str]]]:
+    """Rules from a table (tag, pos, kind: keyword or exclude, pattern), tags by their least pos; the dictionary is the caller's."""
+    found: dict[str, tuple[list, list]] = {}
+    for r in rows.orderBy("pos").collect():  # a dictionary, some hundred rows
+        found.setdefault(r["tag"], ([], []))[r["kind"] == "exclude"].append(r["pattern"])
+    return [(tag, keep, drop) for tag, (keep, drop) in found.items()]
+
+
 def rule_scores(title: Column, body: Column, rules: list) -> Column:
     """Array of (-score, position, tag) of all rules not excluded."""
     full = F.concat_ws(" ", title, body)
@@ -55,19 +63,34 @@ def rule_scores(title: Column, body: Column, rules: list) -> Column:
     return F.array(*out)
 
 
-def rule_tags(title: Column, body: Column, rules: list | None = None, limit: int = dicts.MAX_TAGS, least: int = dicts.RULE_MIN_SCORE) -> Column:
+def rule_tags(title: Column, body: Column, rules: list, limit: int = dicts.MAX_TAGS, least: int = dicts.RULE_MIN_SCORE) -> Column:
     """The best ``limit`` tags by rule: a pattern in the title counts 2, else in the body 1."""
     title, body = F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))
-    good = F.filter(rule_scores(title, body, rules or dicts.TAG_RULES), lambda s: s["s"] <= -least)
+    good = F.filter(rule_scores(title, body, rules), lambda s: s["s"] <= -least)
     return F.slice(F.transform(F.array_sort(good), lambda s: s["t"]), 1, limit)
 
 
 def tag_stats(events: DataFrame, by: list[str]) -> DataFrame:
-    """Per tag: events, mentions, events of high importance."""
-    rows = events.select(*by, F.explode(F.array_distinct("tags")).alias("tag"), "importance", "mention_count")
-    return rows.groupBy(*by, "tag").agg(F.count(F.lit(1)).alias("events"), F.sum(F.coalesce("mention_count", F.lit(1))).cast("long").alias("mentions"), F.count_if(F.col("importance") >= dicts.HIGH_IMPORTANCE).alias("high"))
-
-
-def tag_spec(groups: dict[str, list[str]] | None = None) -> str:
-    """The dictionary as text, a group at a time."""
-    return "\n".join(f"[{g}]\n" + "\n".join(f"- {t}" for t in ids) for g, ids in (groups or dicts.TAG_GROUPS).items())
+    """Per tag: events, mentions (else the number of sources, else 1), events of high importance."""
+    held = F.nullif(F.size("sources"), F.lit(0)) if "sources" in events.columns else F.lit(None).cast("int")
+    mentions = F.coalesce(F.nullif(F.col("mention_count"), F.lit(0)) if "mention_count" in events.columns else F.lit(None).cast("int"), F.when(held > 0, held), F.lit(1))
+    rows = events.select(*by, F.explode(F.array_distinct("tags")).alias("tag"), "importance", mentions.alias("_mentions"))
+    return rows.groupBy(*by, "tag").agg(F.count(F.lit(1)).alias("events"), F.sum("_mentions").cast("long").alias("mentions"), F.count_if(F.col("importance") >= dicts.HIGH_IMPORTANCE).alias("high"))
+
+
+def tag_spec(tags: DataFrame) -> DataFrame:
+    """(group, spec): a group's tags as lines, from a table (tag, grp, label, descr, deprecated, pos); deprecated ones are hidden."""
+    line = F.concat(F.lit("- "), "tag", F.lit(" ("), F.coalesce("label", F.lit("")), F.lit("): "), F.coalesce("descr", F.lit("")))
+    shown = tags.where(~F.coalesce("deprecated", F.lit(False)))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda s: s["line"])
+    return shown.groupBy("grp").agg(F.array_join(lines, "\n").alias("spec"))
+
+
+def report(events: DataFrame, tags: list[str] | None = None) -> DataFrame:
+    """(tag, events, pct of all events) for every tag of the dictionary; an unused one has 0."""
+    spark = events.sparkSession
+    known = spark.createDataFrame([(t, k) for k, t in enumerate(tags or dicts.TAG_IDS)], "tag string, pos int")
+    counts = events.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("events"))
+    every = events.agg(F.count(F.lit(1)).alias("_all"))
+    out = known.join(counts, "tag", "left").join(F.broadcast(every), F.lit(True))
+    return out.select("tag", F.coalesce("events", F.lit(0)).alias("events"), F.round(F.coalesce(F.try_divide(100 * F.coalesce("events", F.lit(0)), F.col("_all")), F.lit(0.0)), 6).alias("pct"))

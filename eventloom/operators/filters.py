@@ -34,12 +34,12 @@ def has_noise(content: Column, noise: list[str] | None = None) -> Column:
     return content.rlike("|".join(map(_escape, words))) if words else F.lit(False)
 
 
-def prefilter_flag(items: DataFrame, ai: list[str] | None = None, security: list[str] | None = None, noise: list[str] | None = None) -> Column:
-    """Whether an item passes: no noise, and a native source, a security topic or a keyword."""
+def prefilter_flag(items: DataFrame, ai: list[str], security: list[str], noise: list[str] | None = None) -> Column:
+    """Whether an item passes: no noise, and a native source, a security topic or a keyword of the caller's lists."""
     content = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
     col = lambda c: F.col(c) if c in items.columns else F.lit(None).cast("string")
     native = F.coalesce(col("source_kind").isin(dicts.NATIVE_KINDS), F.lit(False)) | F.coalesce(col("source_name").isin(dicts.NATIVE_SOURCES), F.lit(False)) | F.coalesce(col("source_topic") == "security", F.lit(False))
-    words = (dicts.AI_KEYWORDS if ai is None else ai) + (dicts.SECURITY_KEYWORDS if security is None else security)
+    words = ai + security
     return ~has_noise(content, noise) & (native | has_keyword(content, words))
 
 
@@ -67,7 +67,10 @@ def limit_then_filter(items: DataFrame, limit: int, cutoff: Column | None, per_s
     cap = F.lit(limit)
     for name, n in (per_source or {}).items():
         cap = F.when(F.col("source_name") == name, n).otherwise(cap)
-    ranked = items.withColumn("_k", F.row_number().over(Window.partitionBy("source_name").orderBy("seq"))).where(F.col("_k") <= cap).drop("_k")
+    most = max([limit, *(per_source or {}).values()])
+    # The literal bound cuts each task's rows before the shuffle; then the source's own cap decides.
+    numbered = items.withColumn("_k", F.row_number().over(Window.partitionBy("source_name").orderBy("seq"))).where(F.col("_k") <= most)
+    ranked = numbered.where(F.col("_k") <= cap).drop("_k")
     ranked = ranked.where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != ""))
     if cutoff is None:
         return ranked
@@ -97,3 +100,24 @@ def enrich_with_dek(items: DataFrame, deks: DataFrame) -> DataFrame:
 def needs_tags(redo: bool = False) -> Column:
     by = F.coalesce(F.col("tags_by"), F.lit("none"))
     return (by != "extract") & (F.lit(redo) | ~by.startswith("backfill"))
+
+
+def long_enough(least: int = 40) -> Column:
+    """Whether the trimmed summary has ``least`` characters."""
+    return F.length(F.trim(F.coalesce("summary", F.lit("")))) >= least
+
+
+def has_opensource(sources: Column) -> Column:
+    """Whether any source is of the open-source kind."""
+    return F.coalesce(F.exists(sources, lambda s: F.coalesce(s["is_opensource"], F.lit(False))), F.lit(False))
+
+
+def needs_text() -> Column:
+    """Whether the long text must be written again."""
+    return ~text.good_fulltext("full_content", "summary")
+
+
+def needs_cover(force: bool = False, kinds: tuple[str, ...] = ("remote", "local")) -> Column:
+    """Whether a cover is missing: not of ``kinds``, without an address, or forced."""
+    have = F.coalesce(F.col("cover_image.kind").isin(*kinds) & (F.coalesce("cover_image.url", F.lit("")) != ""), F.lit(False))
+    return F.lit(force) | ~have

@@ -1,5 +1,6 @@
 """Similarity joins, components, greedy merging, trending, quotas."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -58,16 +59,108 @@ def test_greedy_merge(spark):
     assert again.count() == 3  # twice is once
 
 
-def test_greedy_partitions_agree_with_one_pass(spark):
+def _plain_leaders(rows):
+    """One list, one pass after another: the first event takes all later ones that match it, as it grows."""
+    norm = lambda t: "".join(c for c in t.lower() if c.isalnum())
+    alias = {"微軟": "microsoft"}
+    now = [{"ids": [r[0]], "title": r[1], "who": list(r[4])} for r in rows]
+    before = None
+    while before != len(now):
+        before, kept = len(now), []
+        for e in now:
+            for k in kept:
+                a, b = set(norm(k["title"])), set(norm(e["title"]))
+                sim = len(a & b) / len(a | b)
+                shared = {alias.get(w, w) for w in k["who"]} & {alias.get(w, w) for w in e["who"]}
+                if norm(k["title"]) == norm(e["title"]) or sim >= 0.68 or (sim >= 0.42 and shared):
+                    k["ids"] += e["ids"]
+                    k["who"] += [w for w in e["who"] if w not in k["who"]]
+                    k["title"] = e["title"] if len(e["title"]) > len(k["title"]) else k["title"]
+                    break
+            else:
+                kept.append(e)
+        now = kept
+    return {e["ids"][0]: (e["title"], sorted(e["who"])[:8], sorted(e["ids"])) for e in now}
+
+
+def test_leaders_agree_with_a_plain_loop(spark):
+    """Two by two, where who takes first cannot matter; then a fixed case where a leader grows."""
     rng = random.Random(4)
-    chars = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳"
-    rows = [_event(i, "".join(rng.sample(chars, 7)), [rng.choice(["acme", "bolt", "微軟"])]) for i in range(60)]
-    got = {r["seq"]: (r["title"], sorted(r["who"])) for r in resolve.programmatic_dedup(spark.createDataFrame(rows, resolve.EVENT)).collect()}
-    names = ["seq", "title", "summary", "importance", "who", "tags", "when", "where", "sources"]
-    plain = [dict(zip(names, r, strict=True)) for r in rows]
-    for e in plain:
-        e["sources"], e["tag_lists"] = [{"url": u, "source_name": n, "source_kind": k} for u, n, k in e["sources"]], [e["tags"]]
-    assert got == {e["seq"]: (e["title"], sorted(e["who"])) for e in resolve.greedy(plain)}
+    chars = [chr(0x4E00 + k) for k in range(600)]
+    rows = []
+    for i in range(40):
+        own = rng.sample(chars, 12)
+        rows.append(_event(2 * i, "".join(own), [rng.choice(["acme", "bolt", "微軟"])]))
+        rows.append(_event(2 * i + 1, "".join(own[: rng.randint(4, 12)] + rng.sample(chars, rng.randint(0, 3))), [rng.choice(["acme", "bolt", "Microsoft Corp"])]))
+    clusters = {}
+    for r in resolve.leading_clusters(spark.createDataFrame(rows, resolve.EVENT)).collect():
+        clusters.setdefault(r["cluster"], []).append(r["seq"])
+    plain = _plain_leaders([(*r[:4], [{"Microsoft Corp": "微軟"}.get(w, w) for w in r[4]], *r[5:]) for r in rows])
+    assert {k: sorted(v) for k, v in clusters.items()} == {k: v[2] for k, v in plain.items()}
+    # 1 takes 2 and with it bolt's name; so it takes 3, which 2 alone would not bring by its title.
+    a = "甲乙丙丁戊己庚辛壬癸"
+    grown = [_event(1, a, ["acme"]), _event(2, a[:8] + "子丑", ["acme", "bolt"]), _event(3, a[:6] + "天地玄黃", ["bolt"]), _event(4, "宇宙洪荒", ["bolt"])]
+    got = {r["seq"]: r["cluster"] for r in resolve.leading_clusters(spark.createDataFrame(grown, resolve.EVENT)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_many_equal_titles(spark):
+    rows = [_event(i, "完全相同的標題", [f"n{i}"], url=f"u{i % 5}") for i in range(300)]
+    out = resolve.programmatic_dedup(spark.createDataFrame(rows, resolve.EVENT)).collect()
+    assert len(out) == 1 and out[0]["seq"] == 0 and len(out[0]["who"]) == 8 and len(out[0]["sources"]) == 5
+
+
+def test_merge_events(spark):
+    rows = [
+        _event(1, "微軟發表全新雲端模型", ["微軟"], tags=["ai_agent"], when="近期"),
+        _event(2, "微軟發表全新雲端模型！", ["Microsoft Corp"], "a longer summary", 8, url="u2", when="2026-11-01"),
+        _event(3, "sora 影片工具", ["OpenAI"]),
+        _event(4, "OpenAI 的 Sora 上線", ["ChatGPT"]),
+        _event(5, "完全不同的事件abc", ["x"]),
+        _event(6, "完全不同的事物qqqqqqwwwwzzzz", ["y"]),
+    ]
+    events = spark.createDataFrame(rows, resolve.EVENT).withColumn("what", F.lit("launch"))
+    asked = lambda frame: [(list(range(len(frame))), {"title": "joined"})]
+    plain = {r["seq"]: r for r in resolve.merge_events(events).collect()}
+    assert set(plain) == {1, 3, 4, 5, 6} and plain[1]["mention_count"] == 2 and plain[1]["when"] == "2026-11-01"
+    assert plain[5]["event_id"] == hashlib.sha1(b"x|launch").hexdigest()[:10]
+    out = {r["seq"]: r for r in resolve.merge_events(events, asked, lambda f: resolve.same_head(f, 3)).collect()}
+    assert set(out) == {1, 3, 5} and out[3]["title"] == "joined" and out[5]["mention_count"] == 2
+
+
+def test_windows_join_unlike_titles(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("abcdefgh") * 6 + str(i)) for i in range(200)]
+    got = {r["seq"]: r["cluster"] for r in resolve.global_windows(spark.createDataFrame(rows, "seq long, title string"), resolve.same_head, width=9, step=5).collect()}
+    least = {}
+    for i, t in rows:
+        least[t[:6]] = min(i, least.get(t[:6], i))
+    assert got == {i: least[t[:6]] for i, t in rows}
+
+
+def test_likely_pairs_and_folding(spark):
+    rows = [(1, "acme opens large factory in ohio", "short", "S1"), (2, "Acme opens a large factory in Ohio!", "a longer summary", "S2"), (3, "bolt sells cars", "x", "S1"), (4, "bolt ends car sales", "x", "S3"), (5, "", "", None), (6, "acme opens large factory in ohio", "z", "S1")]
+    items = spark.createDataFrame(rows, "id long, title string, summary string, source_name string")
+    plain = resolve.likely_pairs(items, 0.55)
+    out = {r["id"]: r for r in resolve.fold_duplicates(items, plain).collect()}
+    assert set(out) == {1, 3, 4, 5} and (out[1]["source_name"], out[1]["summary"], out[1]["n_items"]) == ("S1 / S2", "a longer summary", 3)
+    judged = resolve.likely_pairs(items, 0.55, 0.05, lambda a, b: a.str.startswith("bolt") & b.str.startswith("bolt"))
+    assert set(r["id"] for r in resolve.fold_duplicates(items, judged).collect()) == {1, 3, 5}
+
+
+def test_word_pairs_brute(spark):
+    rng = random.Random(6)
+    words = [f"word{k}" for k in range(60)]
+    rows = [(i, " ".join(rng.sample(words, 3)), " ".join(rng.sample(words[:25], rng.randint(5, 20)))) for i in range(80)]
+    got = {(r["a"], r["b"]) for r in resolve.likely_pairs(spark.createDataFrame(rows, "id long, title string, summary string"), 0.40, words_only=True).collect()}
+    sets = {i: set(f"{t} {s}".split()) for i, t, s in rows}
+    assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.40}
+
+
+def test_hub_components(spark):
+    edges = [(9_999, i) for i in range(3000)] + [(20_000, 20_000 + i) for i in range(1, 3000)] + [(40_000, 39_999)]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).groupBy("component").count().collect()
+    assert {(r["component"], r["count"]) for r in got} == {(0, 3001), (20_000, 3000), (39_999, 2)}
 
 
 def test_edges(spark):
@@ -127,7 +220,7 @@ def test_limit_before_filter(spark):
 def test_keywords_and_dek(spark):
     rows = [("RAISE funds", "", "media"), ("New AI chip", "", "media"), ("New AI chip 星座", "", "media"), ("anything", "", "vendor"), ("Ransomware hits", "", "media")]
     df = spark.createDataFrame(rows, "title string, summary string, source_kind string")
-    assert [r["title"] for r in filters.prefilter(df).collect()] == ["New AI chip", "anything", "Ransomware hits"]
+    assert [r["title"] for r in filters.prefilter(df, ai=["AI"], security=["ransomware"]).collect()] == ["New AI chip", "anything", "Ransomware hits"]
     items = spark.createDataFrame([("u1", "short", "media"), ("u2", "short", "vendor")], "url string, summary string, source_kind string")
     deks = spark.createDataFrame([("u1", "d" * 40), ("u2", "d" * 40)], "url string, dek string")
     got = {r["url"]: r["summary"] for r in filters.enrich_with_dek(items, deks).collect()}

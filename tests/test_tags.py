@@ -1,4 +1,4 @@
-"""Tags: the reference's own cases, and counts."""
+"""Tags: cleaning, merging, rules and counts."""
 
 from pyspark.sql import functions as F
 
@@ -17,29 +17,44 @@ def lits(*xs):
 def test_dictionary():
     assert len(dicts.TAG_IDS) == 56 == len(set(dicts.TAG_IDS)) and [len(v) for v in dicts.TAG_GROUPS.values()] == [14, 2, 9, 7, 6, 9, 9]
     assert set(dicts.TAG_ALIASES.values()) <= set(dicts.TAG_IDS) and len(dicts.TAG_ALIASES) == 39
-    assert [t for t, _, _ in dicts.TAG_RULES] == dicts.TAG_IDS
-    assert all(f"- {t}" in tagging.tag_spec() for t in dicts.TAG_IDS)
+
+
+def test_spec(spark):
+    rows = [("b", 2, "g1", "B", "second", None), ("a", 1, "g1", "A", "first", False), ("c", 3, "g2", "C", None, False), ("d", 4, "g2", "D", "old", True)]
+    out = {r["grp"]: r["spec"] for r in tagging.tag_spec(spark.createDataFrame(rows, "tag string, pos int, grp string, label string, descr string, deprecated boolean")).collect()}
+    assert out == {"g1": "- a (A): first\n- b (B): second", "g2": "- c (C): "}
 
 
 def test_normalize(spark):
-    assert one(spark, tagging.normalize_tags(lits("AI_Agent", "ai_agent", "not_a_tag", "coding-agent", "hbm", "ransomware"))) == ["ai_agent", "coding_ai", "memory_hbm"]
-    assert one(spark, tagging.normalize_tags(tagging.split_tags(F.lit("ai_agent、zero_day")))) == ["ai_agent", "zero_day"]
+    assert one(spark, tagging.normalize_tags(lits(" IPO", "ipo", "nothing like it", "zeroday", "breach", "privacy"))) == ["ipo", "zero_day", "data_breach"]
+    assert one(spark, tagging.normalize_tags(tagging.split_tags(F.lit("privacy；ipo|earnings")))) == ["privacy", "ipo", "earnings"]
     assert one(spark, tagging.normalize_tags(F.lit(None).cast("array<string>"))) == [] == one(spark, tagging.normalize_tags(lits()))
-    assert one(spark, tagging.normalize_tags(lits("ai_security", "AI Agent", "made_up"))) == ["ai_security", "ai_agent"]
+    assert one(spark, tagging.normalize_tags(lits("Data Breach", "Open-Source", "made_up"))) == ["data_breach", "open_source"]
 
 
 def test_merge(spark):
-    merged = tagging.merge_tags(F.array(lits("ai_agent", "coding_ai"), lits("ai_security", "ai_agent"), lits("ai_security", "data_breach")))
-    assert one(spark, merged) == ["ai_agent", "ai_security", "coding_ai"]
+    merged = tagging.merge_tags(F.array(lits("ipo", "privacy"), lits("earnings", "ipo"), lits("earnings", "education")))
+    assert one(spark, merged) == ["ipo", "earnings", "privacy"]
     assert one(spark, tagging.merge_tags(F.array(lits(), lits()))) == []
 
 
+RULES = [("alpha", 1, "keyword", "red"), ("alpha", 2, "keyword", "blue"), ("beta", 3, "keyword", "gre+n"), ("beta", 4, "exclude", "evergreen"), ("gamma", 5, "keyword", r"\bsky\b"), ("delta", 6, "keyword", "sea")]
+
+
 def test_rules(spark):
-    tag = lambda title, body="", least=2: one(spark, tagging.rule_tags(F.lit(title), F.lit(body), least=least))
-    assert "ransomware" in tag("Synology NAS 遭勒索軟體攻擊")
-    assert "ransomware" not in tag("某公司發表年度報告", "內文順帶一提勒索。")
-    assert "robotics" not in tag("銀行推出聊天機器人客服")
-    assert len(tag("NVIDIA GPU 與 HBM 記憶體、CoWoS 封裝、資料中心電力、液冷", least=1)) <= dicts.MAX_TAGS
+    rules = tagging.load_rules(spark.createDataFrame(RULES, "tag string, pos int, kind string, pattern string"))
+    assert [r[0] for r in rules] == ["alpha", "beta", "gamma", "delta"]
+    tag = lambda title, body="", least=2: one(spark, tagging.rule_tags(F.lit(title), F.lit(body), rules, least=least))
+    assert tag("A red door") == ["alpha"]  # a hit in the title is enough
+    assert tag("A door", "painted red") == [] and tag("A door", "red and blue") == ["alpha"]  # one mention in the body is not, two are
+    assert tag("Green door") == ["beta"] and tag("Green door", "an evergreen plant") == []  # an exclusion blocks
+    assert tag("red greeen sky sea") == ["alpha", "beta", "gamma"] and len(tag("red green sky sea", least=1)) == dicts.MAX_TAGS
+
+
+def test_report(spark):
+    ev = spark.createDataFrame([(["ai_agent", "zero_day"],), (["ai_agent"],), ([],), (None,)], "tags array<string>")
+    out = {r["tag"]: (r["events"], r["pct"]) for r in tagging.report(ev).collect()}
+    assert len(out) == 56 and out["ai_agent"] == (2, 50.0) and out["zero_day"] == (1, 25.0) and out["ipo"] == (0, 0.0)
 
 
 def test_stats_and_summary(spark):
