@@ -71,9 +71,9 @@ def rule_tags(title: Column, body: Column, rules: list, limit: int = dicts.MAX_T
 
 
 def tag_stats(events: DataFrame, by: list[str]) -> DataFrame:
-    """Per tag: events, mentions (else the number of sources, else 1), events of high importance."""
+    """Per tag: events, mentions (null counts as the number of sources, else 1; a stored 0 stays 0), events of high importance."""
     held = F.nullif(F.size("sources"), F.lit(0)) if "sources" in events.columns else F.lit(None).cast("int")
-    mentions = F.coalesce(F.nullif(F.col("mention_count"), F.lit(0)) if "mention_count" in events.columns else F.lit(None).cast("int"), F.when(held > 0, held), F.lit(1))
+    mentions = F.coalesce(F.col("mention_count") if "mention_count" in events.columns else F.lit(None).cast("int"), F.when(held > 0, held), F.lit(1))
     rows = events.select(*by, F.explode(F.array_distinct("tags")).alias("tag"), "importance", mentions.alias("_mentions"))
     return rows.groupBy(*by, "tag").agg(F.count(F.lit(1)).alias("events"), F.sum("_mentions").cast("long").alias("mentions"), F.count_if(F.col("importance") >= dicts.HIGH_IMPORTANCE).alias("high"))
 

@@ -170,7 +170,7 @@ def lead_paragraph(full: Column | str, summary: Column | str) -> Column:
 def content_blocks(full: Column | str, summary: Column | str) -> Column:
     """Array of (t, text): lines of at most 34 characters without a closing mark are headings."""
     text = F.trim(F.coalesce(F.nullif(_c(full), F.lit("")), _c(summary), F.lit("")))
-    lines = F.filter(F.transform(F.split(text, r"\n+"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\n+"), lambda x: F.trim(x)), lambda x: x != "")
     head = lambda x: (F.length(x) <= 34) & ~x.rlike("[。！？!?]$") & ~x.rlike("^https?:")
     return F.transform(lines, lambda x: F.struct(F.when(head(x), "h").otherwise("p").alias("t"), x.alias("text")))
 
@@ -183,8 +183,8 @@ def good_fulltext(full: Column | str, summary: Column | str, least: int = 350, t
 def clean_generated(x: Column | str) -> Column:
     """Generated text without its opening pleasantries and repeated blank lines."""
     starts = "|".join(dicts.OPENING_LINES)
-    body = F.regexp_replace(F.trim(F.coalesce(_c(x), F.lit(""))), rf"\A(?:[ \t]*(?:{starts})?[^\n]*(?<=^|\n)(?:{starts})[^\n]*\n?|[ \t]*\n)+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(body, r"[ \t]+(?=\n|$)", ""), r"\n{3,}", "\n\n"))
+    body = F.regexp_replace(F.trim(F.coalesce(_c(x), F.lit(""))), rf"\A(?:[^\S\n]*(?:(?:{starts})[^\n]*)?(?:\n|\z))+", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"[ \t]+(?=\n|$)", ""), r"\n{3,}", "\n\n"), r"(?U)\A\s+|\s+\z", "")
 
 
 def image_kind(x: Column | str) -> Column:
@@ -242,3 +242,73 @@ def opensource_raw(sources: Column | str) -> Column:
     own = F.filter(_c(sources), lambda s: F.coalesce(s["is_opensource"], F.lit(False)))
     most = F.array_max(F.transform(own, lambda s: F.greatest(F.lit(1.0), *[parse_count(s[k]) for k in ("stars", "pulls", "downloads", "likes", "upvotes")])))
     return F.when(F.size(own) > 0, F.log10(1 + most)).otherwise(F.lit(0.0))
+
+
+def published_of(structured: list[Column | str], spelled: Column | str) -> Column:
+    """The first structured time of an entry that reads as one, else its spelled time; naive ones are UTC."""
+    known = [_c(x).cast("string").try_cast("timestamp") for x in structured]
+    return F.coalesce(*known, published(spelled))
+
+
+def split_names(x: Column | str) -> Column:
+    """Names of a text divided by ideographic or plain commas or slashes; blank ones dropped."""
+    return F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), "[、,，/]"), lambda w: F.trim(w)), lambda w: w != "")
+
+
+def shift_date(x: Column | str, days: int) -> Column:
+    return F.date_add(_c(x).cast("date"), days)
+
+
+def day_label(x: Column | str) -> Column:
+    """Month and day without leading zeros, and the weekday's short name."""
+    d = _c(x).cast("date")
+    return F.concat(F.date_format(d, "M/d"), F.lit(" "), F.date_format(d, "EEE"))
+
+
+def source_line(names: Column, most: int = 6) -> Column:
+    """Distinct source names, the first few, for the line under a report's text."""
+    held = F.array_distinct(F.filter(names, lambda n: F.coalesce(n, F.lit("")) != ""))
+    more = F.size(held) - most
+    return F.concat(F.array_join(F.slice(held, 1, most), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"))).otherwise(F.lit("")))
+
+
+def keep_cover(kind: Column | str, url: Column | str, category: Column | str) -> Column:
+    """A cover as it is stored: remote and local ones with an address stay as they are, else the category's fallback."""
+    k, u, none = _c(kind), _c(url), F.lit(None).cast("string")
+    good = F.coalesce(k.isin("remote", "local") & (u != ""), F.lit(False))
+    return F.struct(F.when(good, k).otherwise("fallback").alias("kind"), F.when(good, u).otherwise(none).alias("url"), F.when(good, none).otherwise(F.coalesce(_c(category), F.lit(dicts.UNCATEGORIZED))).alias("category"))
+
+
+SOURCE_TEXTS = ["url", "title", "source_name", "source_kind", "source_region", "published", "stars", "pulls", "task"]
+SOURCE_COUNTS = ["downloads", "likes", "upvotes", "context_length"]
+
+
+def stored_sources(sources: Column, have: list[str]) -> Column:
+    """Evidence in the stored shape: texts default to empty, counts to 0, the flag to false; fields that are absent too."""
+
+    def one(s: Column) -> Column:
+        got = lambda f: s[f] if f in have else F.lit(None)
+        texts = [F.coalesce(got(f).cast("string"), F.lit("")).alias(f) for f in SOURCE_TEXTS]
+        counts = [F.coalesce(got(f).cast("string").try_cast("double").try_cast("long"), F.lit(0).cast("long")).alias(f) for f in SOURCE_COUNTS]
+        pricing = F.coalesce(s["pricing"], F.create_map().cast("map<string,string>")) if "pricing" in have else F.create_map().cast("map<string,string>")
+        return F.struct(*texts, F.coalesce(got("is_opensource").cast("boolean"), F.lit(False)).alias("is_opensource"), *counts, pricing.alias("pricing"))
+
+    return F.transform(sources, one)
+
+
+def opensource_badges(sources: Column) -> Column:
+    """What a card shows of its open-source evidence: the first texts, the largest counts, names in order; null without any."""
+    own = F.filter(sources, lambda s: F.coalesce(s["is_opensource"], F.lit(False)))
+    first = lambda f: F.coalesce(F.get(F.filter(F.transform(own, lambda s: s[f].cast("string")), lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(0)), F.lit(""))
+    most = lambda f: F.coalesce(F.array_max(F.transform(own, lambda s: F.coalesce(s[f].cast("long"), F.lit(0).cast("long")))), F.lit(0).cast("long"))
+    names = F.array_distinct(F.filter(F.transform(own, lambda s: s["source_name"]), lambda x: F.coalesce(x, F.lit("")) != ""))
+    ctx = most("context_length")
+    window = F.when(ctx >= 1024, F.concat(F.floor(ctx / 1024).cast("string"), F.lit("k"))).when(ctx > 0, ctx.cast("string")).otherwise(F.lit(""))
+    return F.when(F.size(own) > 0, F.struct(names.alias("names"), first("stars").alias("stars"), first("pulls").alias("pulls"), most("downloads").alias("downloads"), most("likes").alias("likes"), most("upvotes").alias("upvotes"), window.alias("context"), first("task").alias("task")))
+
+
+def endpoint(base: Column | str, path: str) -> Column:
+    """A service's address: the base without closing slashes, and the path once."""
+    bare = F.regexp_replace(F.trim(F.coalesce(_c(base), F.lit(""))), "/+$", "")
+    tail = "/" + path.strip("/")
+    return F.when(bare == "", F.lit("")).when(bare.endswith(tail), bare).otherwise(F.concat(bare, F.lit(tail)))

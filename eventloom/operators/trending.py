@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.session import Scratch
+
 RECENT_DAYS, BASELINE_DAYS, LEAST_SOURCES, STRONG_SOURCES, CEILING = 7, 30, 3, 5, 9
+MOST_BARE = 10_000  # entities without Latin letters or digits, which become one pattern each
 
 
 def trending_entities(current: DataFrame, history: DataFrame, today, recent_days: int = RECENT_DAYS, baseline_days: int = BASELINE_DAYS) -> DataFrame:
@@ -38,10 +41,40 @@ def boost(events: DataFrame, found: DataFrame, least_sources: int = LEAST_SOURCE
 def history_matches(entities: DataFrame, texts: DataFrame) -> DataFrame:
     """(entity, text_id) where a text holds the entity between characters other than a-z and 0-9.
 
-    Candidates share the entity's longest ASCII word; the bounded pattern decides.
+    Candidates share the entity's longest ASCII word; the bounded pattern decides. Entities are lower-case.
+    """
+    scratch = Scratch(texts.sparkSession, "history")
+    longest = F.array_sort(F.transform(F.regexp_extract_all("entity", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    asked = scratch.save(entities.distinct().select("entity", F.get(longest, F.lit(0))["w"].alias("word")), "asked")
+    low = texts.select("text_id", F.lower("text").alias("text"))
+    # Only (word, text_id) meet the entities' words; texts are fetched for what met.
+    words = low.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
+    met = words.join(asked, "word").select("entity", "text_id")
+    # An entity without a Latin letter or digit is looked for in every text, by one pattern; such entities are few and told by their count.
+    bare = [r["entity"] for r in asked.where(F.col("word").isNull() & (F.length("entity") > 0)).limit(MOST_BARE + 1).collect()]
+    if len(bare) > MOST_BARE:
+        raise ValueError(f"more than {MOST_BARE} entities without Latin letters or digits")
+    escaped = lambda c: F.regexp_replace(c, r"([.^$*+?{}\[\]\\|()\-])", r"\\$1")
+    bounded = F.concat(F.lit("(?<![a-z0-9])"), escaped(F.col("entity")), F.lit("(?![a-z0-9])"))
+    found = met.join(low, "text_id").where(F.regexp_like("text", bounded)).select("entity", "text_id")
+    if bare:
+        others = F.filter(F.array(*[F.lit(e) for e in sorted(bare)]), lambda e: F.regexp_like(F.col("text"), F.concat(F.lit("(?<![a-z0-9])"), escaped(e), F.lit("(?![a-z0-9])"))))
+        found = found.unionByName(low.select(F.explode(others).alias("entity"), "text_id"))
+    return found
+
+
+def trending_in_texts(current: DataFrame, history: DataFrame, today, recent_days: int = RECENT_DAYS, baseline_days: int = BASELINE_DAYS, least_length: int = 3) -> DataFrame:
+    """(entity, sources, days) of the first two names of current events, looked for in the texts of history.
+
+    ``current`` has (seq, who, source), ``history`` (text_id, text, source, date). An entity that any
+    baseline text holds is left out; the recent texts that hold it give its sources and days,
+    together with the current events that name it.
     """
-    first = F.array_sort(F.transform(F.regexp_extract_all("entity", F.lit("[a-z0-9]+"), 0), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    asked = entities.select("entity", F.get(first, F.lit(0))["w"].alias("word"))
-    words = texts.select("text_id", F.lower("text").alias("text")).withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), 0))))
-    pattern = F.concat(F.lit("(?<![a-z0-9])"), F.regexp_replace("entity", r"([.^$*+?{}\[\]\\|()\-])", r"\\$1"), F.lit("(?![a-z0-9])"))
-    return words.join(asked, "word").where(F.regexp_like("text", pattern)).select("entity", "text_id")
+    scratch = Scratch(history.sparkSession, "trending")
+    day = F.lit(today).cast("date")
+    past = history.where((F.col("date") >= F.date_sub(day, baseline_days)) & (F.col("date") < day))
+    named = current.select("source", F.explode(F.slice("who", 1, 2)).alias("e")).select(F.lower(F.trim("e")).alias("entity"), "source", day.alias("date"))
+    now = scratch.save(named.where(F.length("entity") >= least_length).distinct(), "now")
+    hits = history_matches(now.select("entity").distinct(), past.select("text_id", "text")).join(past.select("text_id", "source", "date"), "text_id")
+    hits = scratch.save(hits.select("entity", "source", "date").distinct(), "hits")
+    return trending_entities(now.select("entity", "source"), hits, today, recent_days, baseline_days)

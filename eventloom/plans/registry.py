@@ -436,12 +436,6 @@ def shingle_dups(spark, sf):
     return similarity.duplicate_classes(rows, text.char_shingles("title"), 0.55)
 
 
-@query("word_dups")
-def word_dups(spark, sf):
-    rows = items(spark, sf).select(F.col("seq").alias("id"), "title")
-    return similarity.duplicate_classes(rows, text.word_set("title"), 0.40)
-
-
 @query("cluster_merge", f"WITH RECURSIVE {_SETS}, e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l), r(x, y) AS (SELECT rep, rep FROM h UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), cc AS (SELECT x AS rep, min(y) AS cluster FROM r GROUP BY x), j AS (SELECT cluster, items.* FROM k JOIN h USING (key) JOIN cc USING (rep) JOIN items USING (seq)) SELECT cluster, min(seq) AS seq, count(*) AS mention_count, arg_max(title, struct_pack(n := length(title), s := -seq)) AS title, CAST(max(length(summary)) AS INT) AS longest FROM j GROUP BY cluster")
 def cluster_merge(spark, sf):
     rows = items(spark, sf)
@@ -450,52 +444,6 @@ def cluster_merge(spark, sf):
     return resolve.merge_clusters(full, classes).select("cluster", "seq", "mention_count", "title", F.length("summary").alias("longest"))
 
 
-def _bench_events(spark, sf):
-    b = _table(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("id"), F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 80).alias("title"), F.array(F.get(F.split("text", " "), F.lit(0))).alias("who"), "text")
-
-
-_BENCH = f"b AS (SELECT item_id AS id, substr(string_split(text, chr(10))[1], 1, 80) AS title, string_split(text, ' ')[1] AS w FROM benchmark), c AS (SELECT id, list_distinct(string_split({_norm_sql('title')}, '')) AS cs, {_norm_sql('w')} AS w FROM b), p AS (SELECT x.id AS a, y.id AS b, x.w AS wa, y.w AS wb, len(list_intersect(x.cs, y.cs)) / (len(x.cs) + len(y.cs) - len(list_intersect(x.cs, y.cs))) AS sim FROM c x JOIN c y ON x.id < y.id)"
-
-
-@query("charset_jaccard_pairs", f"WITH {_BENCH} SELECT a, b, round(sim, 6) AS sim FROM p WHERE sim >= 0.65")
-def charset_jaccard_pairs(spark, sf):
-    rows = _bench_events(spark, sf).select("id", text.char_set("title").alias("tokens"))
-    return similarity.set_join(rows, 0.65).select("a", "b", F.round("sim", 6).alias("sim"))
-
-
-@query("candidate_edges")
-def candidate_edges(spark, sf):
-    return similarity.candidate_edges(_bench_events(spark, sf)).select("a", "b", F.round("sim", 6).alias("sim"))
-
-
-@query("components", f"WITH RECURSIVE {_BENCH}, e AS (SELECT a AS x, b AS y FROM p WHERE sim >= 0.75 UNION ALL SELECT b, a FROM p WHERE sim >= 0.75), r(x, y) AS (SELECT x, x FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x AS id, min(y) AS component FROM r GROUP BY x")
-def components(spark, sf):
-    rows = _bench_events(spark, sf).select("id", text.char_set("title").alias("tokens"))
-    return connected_components(similarity.set_join(rows, 0.75).select("a", "b"))
-
-
-@query("programmatic_dedup")
-def programmatic_dedup(spark, sf):
-    b = _bench_events(spark, sf)
-    empty = F.lit("")
-    src = F.array(F.struct(F.concat(F.lit("u"), "id").alias("url"), empty.alias("source_name"), empty.alias("source_kind")))
-    rows = b.select(F.col("id").alias("seq"), "title", F.col("text").alias("summary"), F.lit(5).alias("importance"), "who", F.array(F.lit("ai_agent")).alias("tags"), empty.alias("when"), empty.alias("where"), src.alias("sources"))
-    out = resolve.programmatic_dedup(rows)
-    return out.select("seq", "title", F.size("who").alias("n_who"), F.size("sources").alias("n_sources"))
-
-
-@query("global_adjudication", f"WITH {ITEMS} SELECT min(seq) OVER (PARTITION BY {_norm_sql('title')}) AS cluster, seq FROM items")
-def global_adjudication(spark, sf):
-    """Rows of one normalised title, in groups by its hash, joined by the offline judge."""
-    rows = items(spark, sf).select("seq", "title")
-    heads = rows.groupBy(text.norm_title("title").alias("t")).agg(F.min("seq").alias("seq"), F.min("title").alias("title"))
-    groups = heads.select("seq", F.pmod(F.xxhash64("t"), F.lit(64)).alias("group"))
-    judged = resolve.adjudicate(heads.select("seq", "title"), groups, resolve.leader_of_titles)
-    of = rows.select("seq", text.norm_title("title").alias("t")).join(heads.select("t", F.col("seq").alias("head")), "t")
-    return of.join(judged.toDF("head", "cluster"), "head").select("seq", "cluster")
-
-
 _TREND = "t AS (SELECT CAST(o_custkey AS VARCHAR) AS entity, o_orderpriority AS source, CAST(o_orderdate AS DATE) AS date, o_orderkey AS seq FROM orders), mx AS (SELECT max(date) AS d FROM t), cur AS (SELECT DISTINCT entity, source FROM t, mx WHERE date > d - 30 AND length(entity) >= 3), today AS (SELECT d - 29 AS d FROM mx), past AS (SELECT DISTINCT entity, source, date FROM t, today WHERE date >= d - 730 AND date < d), known AS (SELECT DISTINCT entity FROM past, today WHERE date < d - 365), hits AS (SELECT entity, source, date FROM past, today WHERE date >= d - 365 AND entity IN (SELECT entity FROM cur) AND entity NOT IN (SELECT entity FROM known) UNION SELECT entity, source, d FROM cur, today WHERE entity NOT IN (SELECT entity FROM known))"
 
 
@@ -540,3 +488,6 @@ def stream_daily_counts(spark, sf):
 def stream_dedup(spark, sf):
     found = streams.first_seen(_stream(spark, sf).select("user_id", "event_type", "ts"), ["user_id", "event_type"], late="3650 days")
     return streams.collect_available(spark, found.select("user_id", "event_type"), "stream-dedup", "append")
+
+
+from eventloom.plans import parts  # noqa: E402,F401  adds its queries

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCRATCH = re.compile(r"-[0-9a-f]{12}$")
+
+
 def build_session(app: str = "eventloom", cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session with the settings the engine expects; on a cluster the submitter's session is used as it is."""
     builder = (
@@ -29,9 +33,11 @@ def build_session(app: str = "eventloom", cores: int | str = "*", shuffle_partit
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where that is unset (local runs, tests) a folder of our own."""
+    """The shared folder of spark.checkpoint.dir; only where that is unset, on a local master, a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), f"eventloom-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -55,3 +61,14 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this engine's runs; results that read them end with them."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(root):
+        for entry in files.listStatus(root):
+            if _SCRATCH.search(entry.getPath().getName()):
+                files.delete(entry.getPath(), True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import text
@@ -93,3 +93,46 @@ def page_facts(pages: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("html"), F.lit(""))
     one = lambda p: text.strip_html(F.regexp_extract(body, p, 1))
     return pages.select("page_id", one(r"(?is)<title[^>]*>(.*?)</title>").alias("title"), one(r"(?is)<h1[^>]*>(.*?)</h1>").alias("h1"), F.size(F.regexp_extract_all(body, F.lit(r"(?i)<a\s[^>]*href="), 0)).cast("long").alias("n_links"))
+
+
+def union_isolated(branches: dict[str, object], only: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """The union of named branches (callables that give a frame), and what went wrong in those that failed.
+
+    A branch that raises while it is planned is left out, and the others go on; ``only`` restricts the names.
+    """
+    found, failed = [], {}
+    for name, make in branches.items():
+        if only is not None and name not in only:
+            continue
+        try:
+            found.append(make())
+        except Exception as wrong:  # noqa: BLE001  isolated, and told
+            failed[name] = f"{type(wrong).__name__}: {wrong}"
+    if not found:
+        raise ValueError(f"no branch could be read: {failed}")
+    return union_families(found), failed
+
+
+def window_of_days(days_back: int) -> str:
+    """Trending lists are asked for by day, or by week from seven days on."""
+    return "daily" if days_back < 7 else "weekly"
+
+
+def of_kinds(items: DataFrame, kinds: list[str] | None) -> DataFrame:
+    return items if not kinds else items.where(F.col("source_kind").isin(kinds))
+
+
+def search_feed(items: DataFrame, cutoff=None, most: int = 30) -> DataFrame:
+    """The first entries of each query (query, seq), then those not older than ``cutoff``; undated ones go where there is a cutoff.
+
+    Each item is named after its source with the search's mark and is of kind ``search``.
+    """
+    first = items.withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy("seq"))).where(F.col("_k") <= most).drop("_k")
+    kept = first if cutoff is None else first.where(F.coalesce(F.col("published") >= cutoff, F.lit(False)))
+    return kept.withColumns({"source_name": F.concat(F.lit("GoogleNews:"), F.coalesce("source_name", F.lit(""))), "source_kind": F.lit("search"), "summary": F.substring(F.coalesce("summary", F.lit("")), 1, 800)})
+
+
+def fan_out(queries: list[str], read) -> DataFrame:
+    """The union of ``read(query)`` over all queries, each row with its query."""
+    frames = [read(q).withColumn("query", F.lit(q)) for q in queries]
+    return union_families(frames)

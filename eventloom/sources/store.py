@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.operators import aggregates
+from eventloom.session import Scratch
 
 _DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
 
@@ -24,7 +27,7 @@ class EventStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.events_path, self.summary_path = f"{self.root}/events", f"{self.root}/daily_summary"
+        self.events_path, self.summary_path, self.shape_path = f"{self.root}/events", f"{self.root}/daily_summary", f"{self.root}/shape"
 
     def _exists(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -32,21 +35,44 @@ class EventStore:
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
     def events(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.events_path) if self._exists(self.events_path) else None
+        """All days in the shape that was last written; a file that can't be read counts as missing."""
+        if not self._exists(self.events_path):
+            return None
+        read = self.spark.read.option("ignoreCorruptFiles", True)
+        known = self._shape()
+        return (read.schema(known) if known else read).parquet(self.events_path)
+
+    def _shape(self) -> T.StructType | None:
+        if not self._exists(self.shape_path):
+            return None
+        return T.StructType.fromJson(json.loads(self.spark.read.text(self.shape_path).first()["value"]))
+
+    def _keep_shape(self, fresh: T.StructType) -> None:
+        """The columns of all writes so far, the day last."""
+        old = self._shape()
+        names = [f.name for f in fresh.fields]
+        fields = [f for f in fresh.fields if f.name != "date"] + [f for f in (old.fields if old else []) if f.name not in names and f.name != "date"]
+        shape = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*fields, fresh["date"]]])
+        if shape != old:
+            self.spark.createDataFrame([(shape.json(),)], "value string").coalesce(1).write.mode("overwrite").text(self.shape_path)
 
     def write_days(self, docs: DataFrame, unique: bool = False, order: str = "seq") -> None:
         """Replace the days that ``docs`` holds; ``unique`` keeps the last of each (date, event_id)."""
         docs = last_of_key(docs, ["date", "event_id"], order) if unique else docs
+        docs = Scratch(self.spark, "write-days").save(docs, "docs")
+        self._keep_shape(docs.schema)
         docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.events_path)
-        days = [r["date"] for r in docs.select("date").distinct().collect()]
-        fresh = self.events().where(F.col("date").isin(days))
-        aggregates.daily_summary(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.summary_path)
+        aggregates.daily_summary(docs).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.summary_path)
 
     def list_dates(self) -> list[str]:
-        """Newest first; other names are ignored."""
-        found = self.events()
-        days = {str(r["date"]) for r in found.select("date").distinct().collect()} if found is not None else set()
-        return sorted((d for d in days if _DAY.fullmatch(d)), reverse=True)
+        """Newest first, from the names of the partitions; other names are ignored."""
+        if not self._exists(self.events_path):
+            return []
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.events_path)
+        entries = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+        names = [e.getPath().getName() for e in entries]
+        return sorted((n[5:] for n in names if n.startswith("date=") and _DAY.fullmatch(n[5:])), reverse=True)
 
     def range(self, start: str | None = None, end: str | None = None) -> DataFrame | None:
         """[start, end]: end defaults to the latest day, start to end; reversed bounds are swapped, bad ones raise."""
@@ -62,39 +88,70 @@ class EventStore:
         return self.events().where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
     def day(self, day: str) -> DataFrame | None:
-        return self.range(day, day)
+        """One day; none where it is missing or its files can't be read."""
+        found = self.range(day, day)
+        if found is None or day not in self.list_dates():
+            return None
+        return found if found.head(1) else None
 
-    def history(self, today: str, days: int = 30, columns: list[str] | None = None) -> DataFrame | None:
-        """[today - days, today - 1] with only the columns asked for."""
+    def history(self, today: str, days: int = 30, columns: list[str] | None = None) -> DataFrame:
+        """[today - days, today - 1] with only the columns asked for; empty where nothing is stored."""
         found = self.events()
         if found is None:
-            return None
+            return self.spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns or ["event_id", "date"]))
         t = F.lit(today).cast("date")
         found = found.where((F.col("date") >= F.date_sub(t, days)) & (F.col("date") < t))
         return found.select(*columns) if columns else found
 
+    def ranged(self, start: str | None = None, end: str | None = None) -> DataFrame | None:
+        """A range in the order of the list: newest day, importance, mentions."""
+        found = self.range(start, end)
+        return found if found is None else found.orderBy(F.col("date").desc(), F.col("importance").desc(), F.col("mention_count").desc(), "event_id")
+
     def summaries(self) -> DataFrame | None:
         return self.spark.read.parquet(self.summary_path).orderBy(F.col("date").desc()) if self._exists(self.summary_path) else None
 
     def import_missing(self, docs: DataFrame, overwrite: bool = False) -> None:
-        """Days that are absent (or all, to overwrite), by importance and mentions."""
-        have = self.events()
-        if have is not None and not overwrite:
-            docs = docs.join(have.select("date").distinct(), "date", "left_anti")
-        self.write_days(docs)
-
-
-def import_json_days(spark: SparkSession, glob: str) -> DataFrame:
-    """Daily JSON files, an array of events each; the date is in the file's name."""
-    raw = spark.read.option("multiLine", True).json(glob)
-    return raw.withColumn("date", F.try_to_date(F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd"))
+        """Days that are absent (or all, to overwrite), by importance and mentions; the days' names are a short list."""
+        have = [] if overwrite else self.list_dates()
+        fresh = docs.where(~F.col("date").cast("string").isin(have)) if have else docs
+        self.write_days(fresh.repartition("date").sortWithinPartitions("date", F.col("importance").desc(), F.col("mention_count").desc()))
+
+    def update_columns(self, changes: DataFrame, columns: list[str]) -> None:
+        """Rewrite only the days of ``changes`` (date, event_id, and the columns), with the new values where there are any."""
+        days = [str(r["date"]) for r in changes.select("date").distinct().collect()]  # a maintenance job's days
+        old = self.events().where(F.col("date").cast("string").isin(days))
+        new = changes.select("date", "event_id", *[F.col(c).alias(f"_new_{c}") for c in columns])
+        out = old.join(new, ["date", "event_id"], "left")
+        for c in columns:
+            out = out.withColumn(c, F.coalesce(f"_new_{c}", c))
+        self.write_days(out.select(*old.columns))
+
+
+def import_json_days(spark: SparkSession, glob: str, top_glob: str | None = None) -> DataFrame:
+    """Daily JSON files, an array of events each, the date in the file's name; ids of the optional top files are marked."""
+    day = F.try_to_date(F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
+    raw = spark.read.option("multiLine", True).json(glob).withColumn("date", day)
+    if not top_glob:
+        return raw
+    top = spark.read.option("multiLine", True).json(top_glob).withColumn("date", day).select("date", "event_id", F.lit(True).alias("_top")).distinct()
+    return raw.join(top, ["date", "event_id"], "left").withColumn("is_top", F.coalesce("_top", F.lit(False))).drop("_top")
+
+
+def write_json(docs: DataFrame, path: str) -> None:
+    """The day's list and its top list as JSON lines, and a head of totals beside each."""
+    for name, rows in (("db", docs), ("top", docs.where(F.coalesce("is_top", F.lit(False))))):
+        rows.write.mode("overwrite").json(f"{path}/{name}")
+        counts = rows.groupBy("category_label").agg(F.count(F.lit(1)).alias("n"))
+        head = counts.agg(F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("category_label", "n")))).alias("by_category_label"))
+        head.select(F.coalesce("total", F.lit(0)).alias("total"), "by_category_label").write.mode("overwrite").json(f"{path}/{name}_head")
 
 
 def to_documents(events: DataFrame, top: DataFrame, labels: dict[str, str], date) -> DataFrame:
     """Event documents: defaults filled, label and top flag joined, the origin of tags told by their presence."""
     names = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
     flags = top.select("event_id").distinct().withColumn("_top", F.lit(True))
-    out = events.join(F.broadcast(flags), "event_id", "left")
+    out = events.join(flags, "event_id", "left")
     return out.select(
         "event_id", F.lit(date).cast("date").alias("date"), "seq", "title", "summary", F.coalesce("category", F.lit("uncategorized")).alias("category"), F.coalesce(F.try_element_at(names, F.col("category")), F.lit("其他")).alias("category_label"),
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.when(F.col("tags").isNotNull(), "extract").otherwise("none").alias("tags_by"), F.coalesce("importance", F.lit(0)).alias("importance"), F.coalesce("mention_count", F.lit(1)).alias("mention_count"), F.coalesce("_top", F.lit(False)).alias("is_top"),
@@ -107,8 +164,10 @@ def flatten_rows(docs: DataFrame) -> DataFrame:
 
 
 def write_sheets(docs: DataFrame, path: str) -> None:
-    """CSV files by category."""
-    flatten_rows(docs).withColumn("sheet", F.col("category_label")).write.mode("overwrite").partitionBy("sheet").option("header", True).csv(path)
+    """CSV files of all rows and of each category."""
+    flat = flatten_rows(docs)
+    every = flat.withColumn("sheet", F.lit("all")).unionByName(flat.withColumn("sheet", F.col("category_label")))
+    every.write.mode("overwrite").partitionBy("sheet").option("header", True).csv(path)
 
 
 def missing_days(have: DataFrame, start, end) -> DataFrame:

@@ -56,3 +56,16 @@ def write_day_stream(stream: DataFrame, store, checkpoint: str) -> StreamingQuer
         store.write_days(kept, unique=True)
 
     return run_available(stream, sink, checkpoint)
+
+
+def entity_windows(mentions: DataFrame, recent_days: int = 7, baseline_days: int = 30, late: str = "1 day") -> DataFrame:
+    """(entity, day, recent, baseline): of a stream (entity, source, ts), each day's distinct sources of the last days and of the days before them.
+
+    Both come from one sliding window of ``baseline_days`` a day, whose state holds what happened
+    on each day of it; the watermark ends a window.
+    """
+    marked = mentions.withWatermark("ts", late).groupBy("entity", F.window("ts", f"{baseline_days} days", "1 day"))
+    out = marked.agg(F.collect_set(F.struct("source", F.to_date("ts").alias("date"))).alias("seen"))
+    end = F.to_date(F.col("window.end"))
+    of = lambda near: F.size(F.array_distinct(F.transform(F.filter("seen", lambda s: (F.datediff(end, s["date"]) <= recent_days) if near else (F.datediff(end, s["date"]) > recent_days)), lambda s: s["source"])))
+    return out.select("entity", F.date_sub(end, 1).alias("day"), of(True).alias("recent"), of(False).alias("baseline"))

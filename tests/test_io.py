@@ -15,7 +15,7 @@ def _docs(spark, day, ids, importance=5):
 
 def test_store(spark, tmp_path):
     s = store.EventStore(spark, str(tmp_path / "store"))
-    assert s.list_dates() == [] and s.range() is None and s.summaries() is None and s.history("2026-11-20") is None
+    assert s.list_dates() == [] and s.range() is None and s.summaries() is None and s.history("2026-11-20").count() == 0
     s.write_days(_docs(spark, "2026-11-18", [1, 2]).unionByName(_docs(spark, "2026-11-19", [3])))
     s.write_days(_docs(spark, "2026-11-19", [4, 5]))
     s.write_days(_docs(spark, "2026-11-19", [4, 5]))  # a day twice is a day once
