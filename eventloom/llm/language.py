@@ -7,8 +7,10 @@ penalised likelihood: nested sets, in order of their proportions, are refitted,
 language must raise the log-likelihood by ``PENALTY`` times half the logarithm of the number
 of words. The prediction is the language with the largest share of the selected mixture.
 
-The models are fitted on a bounded sample of labelled rows, ``max_train_docs`` at most, chosen
-by the hash of their id (a documented bound); predictions read every whole text.
+The models are fitted on a bounded sample of labelled rows, about ``max_train_docs``, chosen by
+hash so that every label fills an equal part of it as far as it has rows (a documented bound);
+the nested sets grow as long as the next language has a share of ``LEAST_SHARE``. Predictions
+read every whole text.
 
 Defined results: null text and text without a letter are ``und`` with score 0, and so is
 everything if nothing was learned; repeated rows are predicted alike; an empty table gives an
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_TRAIN_DOCS, PENALTY, MOST_LANGUAGES, UNKNOWN = 8_000, 4.0, 4, "und"
+MAX_TRAIN_DOCS, PENALTY, LEAST_SHARE, UNKNOWN = 8_000, 4.0, 0.02, "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 400_000
 _BACK_OFF = 5.0
@@ -59,9 +61,15 @@ def _count_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(labelled: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> dict:
     """Trigram counts by language from rows with text and lang; the sample, hence the model, is bounded."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id"), "lang", "text")
-    total = rows.count()
-    if total > max_train_docs:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_train_docs / total))
+    per_label = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(per_label.values()) > max_train_docs:
+        # Each label fills an equal part of the bound; what small ones leave goes to the others.
+        left, room, share = dict(sorted(per_label.items(), key=lambda x: x[1])), max_train_docs, {}
+        for k, (label, n) in enumerate(left.items()):
+            part = min(n, room // (len(left) - k))
+            share[label], room = part / n, room - part
+        table = rows.sparkSession.createDataFrame([(x, int(1_000_000 * p)) for x, p in share.items()], "lang string, _most int")
+        rows = rows.join(F.broadcast(table), "lang").where(F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(1_000_000)) < F.col("_most")).drop("_most")
     counts = rows.select("lang", "text").mapInPandas(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r["lang"] for r in counts})
     at = {x: k for k, x in enumerate(languages)}
@@ -148,8 +156,8 @@ class Mixture:
         chosen[np.arange(len(full)), best] = 1
         value = single[np.arange(len(full)), best]
         order = np.argsort(-share, axis=1, kind="stable")
-        for size in range(2, min(MOST_LANGUAGES, len(self.languages)) + 1):
-            open_ = np.flatnonzero(np.take_along_axis(share, order[:, size - 1 : size], 1)[:, 0] > 0.02)
+        for size in range(2, len(self.languages) + 1):
+            open_ = np.flatnonzero(np.take_along_axis(share, order[:, size - 1 : size], 1)[:, 0] > LEAST_SHARE)
             if not len(open_):
                 break
             mask = np.zeros_like(share[open_])
