@@ -431,3 +431,141 @@ def test_records_without_ids(spark):
         assert [x[3] for x in own] == sorted(x[3] for x in own)
     bad, _, _ = fixity.audit(pages, pages.repartition(2))
     assert bad.count() == 0
+
+
+def test_mixture_plain():
+    """Word likelihoods, mixtures and the penalised choice against loops over words."""
+    import math
+
+    rng = random.Random(21)
+    alphabets = {"aa": "abcdef", "bb": "cdefgh", "cc": "ghijkl"}
+    grams = {}
+    for j, letters in enumerate(alphabets.values()):
+        for _ in range(400):
+            w = "^" + "".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) + "$"
+            for i in range(1, len(w)):
+                grams.setdefault(w[max(0, i - 2) : i + 1], np.zeros(3))[j] += 1
+    model = language.Mixture({"languages": list(alphabets), "grams": grams})
+    texts = [" ".join("".join(rng.choice(alphabets[x]) for _ in range(4)) for x in rng.choices(list(alphabets), weights, k=n)) for weights, n in (((1, 0, 0), 30), ((3, 0, 1), 120), ((1, 1, 1), 200), ((0, 5, 1), 12), ((2, 1, 0), 60))]
+    labels, scores, mixtures = model.infer(texts)
+
+    def count(test):
+        return sum((c for g, c in grams.items() if test(g)), np.zeros(3))
+
+    kinds = len({g[-1] for g in grams}) + 1
+    total = count(lambda g: True)
+
+    def likelihood(word):
+        w, out = f"^{word}$", np.zeros(3)
+        for i in range(1, len(w)):
+            g = w[max(0, i - 2) : i + 1]
+            p1 = (count(lambda x: x[-1] == g[-1]) + 0.5) / (total + 0.5 * kinds)  # noqa: B023
+            p2 = (count(lambda x: x[-2:] == g[-2:]) + 5 * p1) / (count(lambda x: x[-2] == g[-2]) + 5)  # noqa: B023
+            p3 = (grams.get(g, np.zeros(3)) + 5 * p2) / (count(lambda x: x[:-1] == g[:-1]) + 5)  # noqa: B023
+            out += np.log(p3)
+        return out
+
+    for text, label, score, mixture in zip(texts, labels, scores, mixtures, strict=True):
+        words = text.split()
+        ll = [likelihood(w) for w in words]
+
+        def em(share, rounds, ll=ll):
+            for _ in range(rounds):
+                new = [0.0] * 3
+                for x in ll:
+                    part = [math.exp(x[j] - max(x)) * share[j] for j in range(3)]
+                    for j in range(3):
+                        new[j] += part[j] / sum(part)
+                share = [v / len(ll) for v in new]
+            return share
+
+        share = em([1 / 3] * 3, 12)
+        order = sorted(range(3), key=lambda j: -share[j])
+        single = [sum(x[j] for x in ll) for j in range(3)]
+        best, value = {max(range(3), key=lambda j: single[j]): 1.0}, max(single)
+        for size in (2, 3):
+            if share[order[size - 1]] <= 0.02:
+                break
+            start = [share[j] + 1e-3 if j in order[:size] else 0.0 for j in range(3)]
+            fitted = em([v / sum(start) for v in start], 8)
+            got = sum(math.log(sum(math.exp(x[j]) * fitted[j] for j in range(3))) for x in ll) - (size - 1) * language.PENALTY * 0.5 * math.log(len(ll))
+            if got > value:
+                best, value = {j: fitted[j] for j in order[:size]}, got
+        names = list(alphabets)
+        assert {a for a, _ in mixture} == {names[j] for j in best}
+        assert all(abs(b - best[names.index(a)]) < 1e-3 for a, b in mixture) and label == mixture[0][0] and abs(score - mixture[0][1]) < 1e-6
+
+
+def test_rare_labels_are_learned(spark):
+    rows = [(i, "alpha beta gamma", "xx") for i in range(400)] + [(1000 + i, "ωμέγα λόγος", "yy") for i in range(3)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_train_docs=20)
+    assert model["languages"] == ["xx", "yy"]
+
+
+def test_cuts_are_weighted_medians(spark):
+    """Every cut of the tree against the sorted keys of its node."""
+    rng = random.Random(17)
+    rows = [(i, "x" * rng.randint(1, 400), rng.choice("abc"), f"s{rng.randint(0, 9)}", None) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    scratch = sharding.Scratch(spark, "cuts")
+    meta = scratch.save(sharding._meta(docs, scratch).withColumn("node", F.lit(0).cast("long")), "meta")
+    for leaves in (2, 3, 5):
+        (dim, cut), = sharding._cut_nodes(spark, meta, {0: (0, leaves)}, 1.0, 0.0).values()
+        own = [(r["at"], r["tail"], r["size"]) for r in meta.collect()]
+        widths = [max(int(a[k], 16) for a, _, _ in own) - min(int(a[k], 16) for a, _, _ in own) for k in range(4)]
+        assert widths[dim] == max(widths)
+        left = sum(s for a, t, s in own if a[dim] + t < cut)
+        total = sum(s for _, _, s in own)
+        before = after = 0
+        for key, s in sorted((a[dim] + t, s) for a, t, s in own):
+            before, after = after, after + s
+            if after >= total * (leaves // 2) / leaves:
+                break
+        assert left in (before, after) and abs(left - total * (leaves // 2) / leaves) <= after - before
+
+
+def test_added_personal_data(docs):
+    """Precision and recall of what the field adds, on planted repeats beside numbers that are none."""
+    model, rng = pii.fit(docs), random.Random(31)
+    hit = wrong = missed = 0
+    for k in range(300):
+        a, b, c = rng.randint(200, 999), rng.randint(200, 999), rng.randint(0, 9999)
+        card = next(n for n in (f"4{rng.randint(0, 10**15 - 1):015d}" for _ in range(200)) if pii.luhn(n))
+        user = f"{rng.choice(['ann', 'bob', 'eve'])}.{rng.choice(['lee', 'ray', 'fox'])}{rng.randint(10, 99)}"
+        base, form = [
+            (f"+{rng.randint(1, 99)} ({a}) {b}-{c:04d}", rng.choice([f"{a}-{b}-{c:04d}", f"{a} {b} {c:04d}", f"{a}{b}{c:04d}", f"{a}.{b}.{c:04d}", f"***-***-{c:04d}"])),
+            (f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}", rng.choice([f"{card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]}", f"****-****-****-{card[12:]}"])),
+            (f"{user}@mail.org", user),
+        ][k % 3]
+        others = [f"{rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}", f"20{rng.randint(10, 30)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(10**8, 10**10)}", f"xxxx {rng.randint(1000, 9999)}"]
+        rng.shuffle(others)
+        text = f"mail {others[0]} and {base} and ref {others[1]} and {form} and no {others[2]}"
+        known, every = pii.scan(model, text)
+        added = [text[s:e] for s, _, e in every if (s, _, e) not in known]
+        hit, missed, wrong = hit + (form in added), missed + (form not in added), wrong + len([x for x in added if x != form])
+    assert hit / (hit + wrong) >= 0.9 and hit / (hit + missed) >= 0.9
+    assert model["skip"] > 1 and model["chain"] >= 0
+
+
+def test_secrets_beyond_the_patterns(spark, docs):
+    model = secrets.fit(spark, docs)
+    assert model["precision"] >= 0.95 and model["recall"] >= 0.95
+    rng = random.Random(13)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    planted = {i: "".join(rng.choice(letters) for _ in range(40)) for i in range(100)}
+    names = {100 + i: "_".join(rng.choice("load store account session config buffer index value".split()) for _ in range(4)) + str(i) for i in range(100)}
+    table = spark.createDataFrame([(i, f"the value {x} was sent") for i, x in {**planted, **names}.items()], "doc_id long, text string")
+    found = {r["doc_id"]: r["s_all"] for r in secrets.with_spans(table, model["table"], "s_", model["threshold"]).collect()}
+    assert sum(bool(found[i]) for i in planted) >= 95 and sum(bool(found[i]) for i in names) <= 2
+
+
+def test_large_benchmark(spark):
+    """More windows than are broadcast: the bit table still lets few windows through to the shuffle."""
+    rng = random.Random(41)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    items = {i: [word() for _ in range(560)] for i in range(250)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string").repartition(4)
+    texts = {0: items[3][100:130], 1: [word() for _ in range(3000)], 2: [*(word() for _ in range(50)), *items[9][:10]], 3: items[7][20:29]}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontamination.contamination_report(docs, bench).collect()}
+    assert got == {0: (30, 1), 1: (0, 0), 2: (10, 1), 3: (0, 0)}
