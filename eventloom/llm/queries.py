@@ -60,6 +60,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_ngram_jaccard"] = op3_ngram_jaccard
+ORACLES["op3_ngram_jaccard"] = jaccard.ORACLE
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
