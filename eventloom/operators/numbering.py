@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.session import Scratch
+
 
 def rank_in_group(df: DataFrame, group: list[str], spread: Column, order: list[Column], out: str, rows_per_part: int = 200_000, counts: DataFrame | None = None) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... without holding a group in one task.
@@ -38,16 +40,31 @@ def rank_in_group(df: DataFrame, group: list[str], spread: Column, order: list[C
 def number_in_order(df: DataFrame, order: list[Column], out: str, label: str = "numbering") -> DataFrame:
     """Number all rows 1, 2, 3, ... in a total order without a single-task window.
 
-    Rows are range-partitioned and written once; a running sum over partition counts gives each
-    partition its base, and rows are numbered inside their own partition.
+    Rows are range-partitioned and written once; a running sum over the partitions' counts, a row
+    a partition, gives each its base, and rows are numbered inside their own partition.
     """
-    from eventloom.session import Scratch
-
     scratch = Scratch(df.sparkSession, label)
-    dealt = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
-    rows = scratch.save(dealt, "rows")
+    rows = scratch.save(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "rows")
     counts = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(F.col("_pid").alias("_q"), "_n")
-    base = counts.select("_pid").join(before, F.col("_q") < F.col("_pid"), "left").groupBy("_pid").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_base"))
+    earlier = Window.partitionBy().orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
     own = Window.partitionBy("_pid").orderBy(*order)
     return rows.withColumn(out, F.row_number().over(own)).join(F.broadcast(base), "_pid").withColumn(out, (F.col(out) + F.col("_base")).cast("long")).drop("_pid", "_base")
+
+
+def number_within(df: DataFrame, group: str, order: list[Column], out: str, held: str, label: str = "numbering") -> DataFrame:
+    """Number the rows of each group 0, 1, 2, ... in order; ``held`` is how many the group has.
+
+    Rows are range-partitioned by group and order, equal ones spread by a number of their own, so
+    a group of any size is cut over as many partitions as it fills. ``group`` must not be null;
+    empty input gives an empty result.
+    """
+    scratch = Scratch(df.sparkSession, label)
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(F.col(group), *order, F.col("_tie")).withColumn("_pid", F.spark_partition_id())
+    rows = scratch.save(dealt, "rows")
+    counts = rows.groupBy(group, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    base = counts.select(group, "_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy(group)).alias(held))
+    own = Window.partitionBy(group, "_pid").orderBy(*order, "_tie")
+    numbered = rows.withColumn(out, F.row_number().over(own)).join(base, [group, "_pid"])
+    return numbered.withColumn(out, (F.col(out) + F.col("_base") - 1).cast("long")).drop("_pid", "_base", "_tie")

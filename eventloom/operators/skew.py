@@ -19,9 +19,3 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str
     hot = F.broadcast(facts.where(F.col(count) > least))
     rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col(count) <= least), key, how)
     return rows.join(hot, key).unionByName(rest)
-
-
-def broadcast_within(df: DataFrame, row_bytes, most: int = 64 << 20) -> DataFrame:
-    """``df`` marked for broadcast where its rows, of ``row_bytes`` each (a Column), sum up to ``most`` at most; else as it is."""
-    size = df.agg(F.sum(row_bytes).alias("n")).first()["n"] or 0
-    return F.broadcast(df) if size <= most else df
