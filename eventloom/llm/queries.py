@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontamination, fingerprints, fixity, jaccard, language, packing, pii, secrets, sharding, suffixes
+from eventloom.llm import decontamination, fingerprints, fixity, jaccard, language, manifest, packing, pii, secrets, sharding, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,11 @@ def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_pii_crf"] = op9_pii_crf
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_merkle_manifest"] = op13_merkle_manifest
+ORACLES["op13_merkle_manifest"] = manifest.ORACLE
