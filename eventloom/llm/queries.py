@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontamination, fingerprints, fixity, jaccard, language, manifest, packing, pii, secrets, sharding, suffixes
+from eventloom.llm import decontamination, divergence, fingerprints, fixity, jaccard, language, manifest, packing, pii, secrets, sharding, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,11 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op13_merkle_manifest"] = op13_merkle_manifest
 ORACLES["op13_merkle_manifest"] = manifest.ORACLE
+
+
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_source_divergence"] = op11_source_divergence
+ORACLES["op11_source_divergence"] = divergence.ORACLE
