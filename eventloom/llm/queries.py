@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontamination, divergence, fingerprints, fixity, jaccard, language, manifest, packing, pii, secrets, sharding, suffixes
+from eventloom.llm import decontamination, divergence, fingerprints, fixity, grayindex, jaccard, language, manifest, packing, pii, secrets, sharding, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op11_source_divergence"] = op11_source_divergence
 ORACLES["op11_source_divergence"] = divergence.ORACLE
+
+
+def op12_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grayindex.simhash_classes(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_gray_simhash"] = op12_gray_simhash
