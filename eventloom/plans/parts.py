@@ -405,24 +405,6 @@ def components(spark, sf):
     return connected_components(similarity.set_join(rows, 0.9).select("a", "b"))
 
 
-def _full_events(spark, sf):
-    empty = F.lit("")
-    src = F.array(F.struct(F.concat(F.lit("u"), "id").alias("url"), empty.alias("source_name"), empty.alias("source_kind")))
-    return doc_events(spark, sf).select(F.col("id").alias("seq"), "title", F.col("text").alias("summary"), F.lit(5).alias("importance"), "who", F.array(F.lit("ai_agent")).alias("tags"), empty.alias("when"), empty.alias("where"), src.alias("sources"))
-
-
-@query("programmatic_dedup")
-def programmatic_dedup(spark, sf):
-    out = resolve.programmatic_dedup(_full_events(spark, sf))
-    return out.select("seq", "title", F.size("who").alias("n_who"), F.size("sources").alias("n_sources"))
-
-
-@query("merge_events")
-def merge_events(spark, sf):
-    out = resolve.merge_events(_full_events(spark, sf))
-    return out.select("seq", "event_id", "mention_count", "title")
-
-
 def _same_start(frame):
     seen: dict[str, list[int]] = {}
     for k, title in enumerate(frame["title"].fillna("")):
@@ -436,14 +418,6 @@ def global_adjudication(spark, sf):
     return resolve.global_windows(items(spark, sf).select("seq", "title"), _same_start)
 
 
-@query("word_dups")
-def word_dups(spark, sf):
-    """The second pass: word sets of title and whole summary together."""
-    rows = items(spark, sf).withColumnRenamed("seq", "id")
-    pairs = resolve.likely_pairs(rows, 0.40, words_only=True)
-    return resolve.fold_duplicates(rows, pairs).select("id", "source_name", "n_items")
-
-
 _BEST = f"{ITEMS}, n AS (SELECT seq, {_norm_sql('title')} AS s, title FROM items), g AS (SELECT seq, CASE WHEN s = '' THEN [] WHEN length(s) <= 4 THEN [s] ELSE list_distinct([substr(s, i, 4) for i in range(1, length(s) - 2)]) END AS g, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(title), '[''’]s\\b', '', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda w: w <> '')) AS w0 FROM n), h AS (SELECT seq, g, list_distinct(flatten(list_transform(w0, lambda w: CASE WHEN regexp_full_match(w, '[\\x00-\\x7F]*') THEN (CASE WHEN length(w) >= 3 AND NOT list_contains([{', '.join(repr(w) for w in dicts.STOPWORDS)}], w) THEN [w] ELSE [] END) ELSE [substr(w, i, 2) for i in range(1, length(w))] END))) AS w FROM g)"
 
 

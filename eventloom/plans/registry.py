@@ -490,4 +490,4 @@ def stream_dedup(spark, sf):
     return streams.collect_available(spark, found.select("user_id", "event_type"), "stream-dedup", "append")
 
 
-from eventloom.plans import parts  # noqa: E402,F401  adds its queries
+from eventloom.plans import parts, resolution  # noqa: E402,F401  add their queries

@@ -141,10 +141,10 @@ def test_windows_join_unlike_titles(spark):
 def test_likely_pairs_and_folding(spark):
     rows = [(1, "acme opens large factory in ohio", "short", "S1"), (2, "Acme opens a large factory in Ohio!", "a longer summary", "S2"), (3, "bolt sells cars", "x", "S1"), (4, "bolt ends car sales", "x", "S3"), (5, "", "", None), (6, "acme opens large factory in ohio", "z", "S1")]
     items = spark.createDataFrame(rows, "id long, title string, summary string, source_name string")
-    plain = resolve.likely_pairs(items, 0.55)
+    plain = resolve.first_duplicates(items, 0.55)
     out = {r["id"]: r for r in resolve.fold_duplicates(items, plain).collect()}
     assert set(out) == {1, 3, 4, 5} and (out[1]["source_name"], out[1]["summary"], out[1]["n_items"]) == ("S1 / S2", "a longer summary", 3)
-    judged = resolve.likely_pairs(items, 0.55, 0.05, lambda a, b: a.str.startswith("bolt") & b.str.startswith("bolt"))
+    judged = resolve.first_duplicates(items, 0.55, 0.05, lambda a, b: a.str.startswith("bolt") & b.str.startswith("bolt"))
     assert set(r["id"] for r in resolve.fold_duplicates(items, judged).collect()) == {1, 3, 5}
 
 
