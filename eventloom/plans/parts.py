@@ -330,27 +330,64 @@ def rss_items(spark, sf):
     return rows.select("source_name", "title", "url", F.trim(F.regexp_replace("summary", "</?p>", "")).alias("summary"))
 
 
-@query("models_api", f"WITH {EVENTS} SELECT 'New model: m' || seq AS title, category || ' · ' || (value::BIGINT) || ' downloads · ' || importance || ' likes' AS summary FROM ev WHERE date >= DATE '2024-01-20' AND value < 900")
-def models_api(spark, sf):
-    e = events(spark, sf).where("value < 900")
-    rows = e.select(F.concat(F.lit("m"), "seq").alias("id"), F.date_format("date", "yyyy-MM-dd'T'00:00:00'Z'").alias("createdAt"), F.col("category").alias("pipeline_tag"), F.round("value").cast("long").alias("downloads"), F.col("importance").cast("long").alias("likes"))
-    return feeds.models_api(rows, F.to_timestamp(F.lit("2024-01-20"))).select("title", "summary")
+_SOURCE = "'GLOBAL' AS source_region, 'opensource' AS source_kind, 'en' AS source_lang, true AS is_opensource"
 
 
-@query("papers_api", f"WITH {EVENTS} SELECT CASE WHEN seq % 2 = 0 THEN 'paper ' || seq ELSE 'entry ' || seq END AS title, 'https://huggingface.co/papers/' || seq AS url FROM ev WHERE date >= DATE '2024-01-20'")
+@query(
+    "models_api",
+    f"""WITH {EVENTS}, m AS (SELECT *, CAST(floor(value) AS BIGINT) AS n, 'm' || seq AS own FROM ev WHERE value < 900)
+SELECT '[HF Trending] ' || own AS title, 'https://huggingface.co/' || own AS url, 'Hugging Face 熱門模型，任務類型：' || CASE WHEN seq % 5 = 0 THEN '未標註' ELSE category END || '；下載 ' || n || ' 次、likes ' || importance || '。模型卡：https://huggingface.co/' || own AS summary,
+  CAST(CASE WHEN seq % 3 = 0 THEN date + 2 ELSE date END AS VARCHAR) AS day, 'HuggingFace Trending' AS source_name, {_SOURCE}, n AS downloads, CAST(importance AS BIGINT) AS likes, CASE WHEN seq % 5 = 0 THEN '' ELSE category END AS task
+FROM m WHERE CASE WHEN seq % 3 = 0 THEN date + 2 ELSE date END >= DATE '2024-01-20' AND seq % 7 <> 0""",
+)
+def models_api(spark, sf):
+    """Ids under either name, times of change before those of creation, times that can't be read."""
+    e = events(spark, sf).where("value < 900")
+    stamp = lambda d: F.date_format(d, "yyyy-MM-dd'T'00:00:00'Z'")
+    k = F.col("seq")
+    own = F.concat(F.lit("m"), "seq")
+    rows = e.select(F.when(k % 2 == 0, own).alias("id"), own.alias("modelId"), F.when(k % 7 == 0, "soon").when(k % 3 == 0, stamp(F.date_add("date", 2))).otherwise("").alias("lastModified"), stamp("date").alias("createdAt"), F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("category")).alias("pipeline_tag"), F.floor("value").cast("long").alias("downloads"), F.col("importance").cast("long").alias("likes"))
+    out = feeds.models_api(rows, F.to_timestamp(F.lit("2024-01-20")))
+    return out.withColumn("day", F.date_format("published", "yyyy-MM-dd")).drop("published")
+
+
+@query(
+    "papers_api",
+    f"""WITH {EVENTS}, p AS (SELECT *, CASE WHEN seq % 4 = 0 THEN date - 1 ELSE date END AS d, CASE WHEN seq % 5 = 0 THEN importance ELSE 100 + importance END AS votes FROM ev WHERE seq % 6 <> 1)
+SELECT '[HF Paper] ' || CASE WHEN seq % 3 = 0 THEN 'entry ' ELSE 'paper ' END || seq AS title, 'https://huggingface.co/papers/' || seq AS url, 'HuggingFace Daily Papers · upvotes ' || votes || '。' || chr(10) || chr(10) || repeat('s', CAST(least(600, 590 + seq % 20) AS INT)) AS summary,
+  CAST(d AS VARCHAR) AS day, 'HuggingFace Daily Papers' AS source_name, {_SOURCE}, CAST(votes AS BIGINT) AS upvotes
+FROM p WHERE d >= DATE '2024-01-20'""",
+)
 def papers_api(spark, sf):
+    """Papers within entries and entries alone; both have times and votes, the entry's first."""
     e = events(spark, sf)
-    when = F.date_format("date", "yyyy-MM-dd'T'00:00:00'Z'")
-    paper = F.struct(F.col("seq").cast("string").alias("id"), F.when(F.col("seq") % 2 == 0, F.concat(F.lit("paper  "), "seq")).alias("title"), F.lit("s").alias("summary"), when.alias("publishedAt"), F.col("importance").alias("upvotes"))
-    rows = e.select(F.concat(F.lit("entry "), "seq").alias("title"), when.alias("publishedAt"), paper.alias("paper"))
-    return feeds.papers_api(rows, F.to_timestamp(F.lit("2024-01-20"))).select("title", "url")
-
-
-@query("registry_api", f"WITH {EVENTS} SELECT 'n' || seq AS title FROM ev WHERE seq % 3 = 0 ORDER BY seq DESC LIMIT 25")
+    stamp = lambda d: F.date_format(d, "yyyy-MM-dd'T'00:00:00'Z'")
+    k, alone = F.col("seq"), F.col("seq") % 3 == 0
+    text_ = F.repeat(F.lit("s"), (590 + k % 20).cast("int"))
+    own = F.col("seq").cast("string")
+    title = F.when(k % 6 == 1, F.lit("")).otherwise(F.concat(F.lit("paper "), own))
+    paper = F.when(~alone, F.struct(own.alias("id"), title.alias("title"), text_.alias("summary"), stamp("date").alias("publishedAt"), F.col("importance").cast("long").alias("upvotes")))
+    rows = e.select(own.alias("id"), F.concat(F.lit("entry "), own).alias("title"), text_.alias("summary"), F.when((k % 4 == 0) | alone, stamp(F.when(k % 4 == 0, F.date_sub("date", 1)).otherwise(F.col("date")))).alias("publishedAt"), F.when(k % 5 == 0, F.when(alone, F.col("importance").cast("long")).otherwise(0)).otherwise(100 + F.col("importance")).cast("long").alias("upvotes"), paper.alias("paper"))
+    out = feeds.papers_api(rows, F.to_timestamp(F.lit("2024-01-20")))
+    return out.withColumn("day", F.date_format("published", "yyyy-MM-dd")).drop("published")
+
+
+@query(
+    "registry_api",
+    f"""WITH {EVENTS}, r AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 4096 + seq END AS room FROM ev WHERE seq % 3 = 0 ORDER BY seq DESC LIMIT 25)
+SELECT '[OpenRouter 新模型] ' || CASE WHEN seq % 4 = 0 THEN 'a/' ELSE 'n' END || seq AS title, 'https://openrouter.ai/models/a/' || seq AS url,
+  CASE WHEN room IS NULL AND seq % 5 <> 0 THEN repeat('d', 500) ELSE concat_ws(' · ', 'context=' || format('{{:,}}', room), CASE WHEN seq % 5 = 0 THEN 'price in=0.1/out=0.' || seq % 9 END) || '。' || repeat('d', 500) END AS summary,
+  strftime(make_timestamp((1700000000 + seq) * 1000000), '%Y-%m-%d %H:%M:%S') AS at, 'OpenRouter Models' AS source_name, {_SOURCE}, CAST(coalesce(room, 0) AS BIGINT) AS context_length
+FROM r""",
+)
 def registry_api(spark, sf):
-    e = events(spark, sf)
-    rows = e.select(F.col("seq").cast("string").alias("id"), F.concat(F.lit("n"), "seq").alias("name"), F.lit("d").alias("description"), F.when(F.col("seq") % 3 == 0, F.lit(1_700_000_000).cast("long") + F.col("seq")).otherwise(F.lit(1).cast("long")).alias("created"), F.lit(4096).cast("long").alias("context_length"))
-    return feeds.registry_api(rows, F.to_timestamp(F.lit("2023-01-01"))).select("title")
+    """The newest models, with and without names, room and prices."""
+    e, k = events(spark, sf), F.col("seq")
+    own = F.concat(F.lit("a/"), "seq")
+    price = F.when(k % 5 == 0, F.struct(F.lit("0.1").alias("prompt"), F.concat(F.lit("0."), k % 9).alias("completion")))
+    rows = e.select(own.alias("id"), F.when(k % 4 != 0, F.concat(F.lit("n"), "seq")).alias("name"), F.repeat(F.lit("d"), 600).alias("description"), F.when(k % 3 == 0, 1_700_000_000 + k).otherwise(k % 3 - 1).cast("long").alias("created"), F.when(k % 2 == 0, 4096 + k).cast("long").alias("context_length"), price.alias("pricing"))
+    out = feeds.registry_api(rows, F.to_timestamp(F.lit("2023-01-01")))
+    return out.withColumn("at", F.date_format("published", "yyyy-MM-dd HH:mm:ss")).drop("published", "pricing")
 
 
 @query("page_meta", "SELECT page_id, 'about ' || page_id AS dek, CASE page_id % 3 WHEN 0 THEN 'https://img.x/' || page_id WHEN 1 THEN 'https://h.x/i' || page_id END AS image FROM pages")
@@ -430,15 +467,24 @@ def best_classes(spark, sf):
     return connected_components(resolve.likely_pairs(rows, 0.55).select("a", "b")).toDF("id", "class")
 
 
-_TEXTS = "h AS (SELECT doc_id AS text_id, lower(text) AS t, source, DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS date FROM documents), n AS (SELECT DISTINCT e AS entity, source FROM (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{7,}')[1:2]) AS e FROM documents WHERE doc_id % 97 = 5)), m AS (SELECT DISTINCT entity, h.source, date FROM (SELECT DISTINCT entity FROM n) JOIN h ON regexp_matches(t, '(^|[^a-z0-9])' || entity || '($|[^a-z0-9])')), k AS (SELECT DISTINCT entity FROM m WHERE date < DATE '2024-01-31' - 7), x AS (SELECT entity, source, date FROM m WHERE date >= DATE '2024-01-31' - 7 UNION SELECT entity, source, DATE '2024-01-31' FROM n)"
+_TEXTS = """h AS (
+  SELECT doc_id AS text_id, lower(text) AS t, source, DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS date FROM documents
+), n AS (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')[1:2]) AS entity FROM documents
+), m AS (
+  SELECT DISTINCT entity, h.source, date FROM n JOIN h ON contains(t, entity) AND regexp_matches(t, '(^|[^a-z0-9])' || entity || '($|[^a-z0-9])')
+), hits AS (
+  SELECT * FROM m WHERE date >= DATE '2024-01-31' - 7 AND entity NOT IN (SELECT entity FROM m WHERE date < DATE '2024-01-31' - 7)
+)"""
 
 
-@query("trending_in_texts", f"WITH {_TEXTS} SELECT entity, count(DISTINCT source) AS sources, count(DISTINCT date) AS days FROM x WHERE entity NOT IN (SELECT entity FROM k) GROUP BY entity")
+@query("trending_in_texts", f"WITH {_TEXTS} SELECT entity, count(DISTINCT source) AS sources, count(DISTINCT date) AS days FROM hits GROUP BY entity")
 def trending_in_texts(spark, sf):
+    """The first two long words of every document, looked for in all texts."""
     d = _table(spark, sf, "documents")
     history = d.select(F.col("doc_id").alias("text_id"), "text", "source", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("date"))
-    now = d.where("doc_id % 97 = 5").select(F.col("doc_id").alias("seq"), F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0)), 1, 2).alias("who"), "source")
-    return trending.trending_in_texts(now, history, "2024-01-31")
+    now = d.select(F.col("doc_id").alias("seq"), F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0)), 1, 2).alias("who"))
+    return trending.trending_entities(trending.hits_in_texts(now, history, "2024-01-31"))
 
 
 # --- streams ----------------------------------------------------------------------------------

@@ -444,25 +444,41 @@ def cluster_merge(spark, sf):
     return resolve.merge_clusters(full, classes).select("cluster", "seq", "mention_count", "title", F.length("summary").alias("longest"))
 
 
-_TREND = "t AS (SELECT CAST(o_custkey AS VARCHAR) AS entity, o_orderpriority AS source, CAST(o_orderdate AS DATE) AS date, o_orderkey AS seq FROM orders), mx AS (SELECT max(date) AS d FROM t), cur AS (SELECT DISTINCT entity, source FROM t, mx WHERE date > d - 30 AND length(entity) >= 3), today AS (SELECT d - 29 AS d FROM mx), past AS (SELECT DISTINCT entity, source, date FROM t, today WHERE date >= d - 730 AND date < d), known AS (SELECT DISTINCT entity FROM past, today WHERE date < d - 365), hits AS (SELECT entity, source, date FROM past, today WHERE date >= d - 365 AND entity IN (SELECT entity FROM cur) AND entity NOT IN (SELECT entity FROM known) UNION SELECT entity, source, d FROM cur, today WHERE entity NOT IN (SELECT entity FROM known))"
+_TREND = """t AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS entity, o_orderpriority AS source, CAST(o_orderdate AS DATE) AS date, o_orderkey AS seq FROM orders
+), mx AS (SELECT max(date) AS d FROM t), today AS (SELECT d - 29 AS d FROM mx), cur AS (
+  SELECT t.* FROM t, today WHERE date >= d
+), past AS (
+  SELECT DISTINCT entity, source, date FROM t, today WHERE date >= d - 730 AND date < d
+), hits AS (
+  SELECT past.* FROM past, today WHERE date >= d - 365 AND length(entity) >= 3 AND entity IN (SELECT entity FROM cur) AND entity NOT IN (SELECT entity FROM past, today WHERE date < d - 365)
+)"""
 
 
 def _trend(spark, sf):
     o = _table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("entity"), F.col("o_orderpriority").alias("source"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderkey").alias("seq"))
     today = o.agg(F.date_sub(F.max("date"), 29).alias("d")).first()["d"]
-    return o, today, trending.trending_entities(o.where(F.col("date") >= F.lit(today)), o, today, 365, 730)
+    now = o.where(F.col("date") >= F.lit(today)).select("seq", F.lit(8).alias("importance"), F.array("entity").alias("who"), F.array("source").alias("sources"))
+    return now, trending.recent_hits(trending.named_entities(now), o, today, 365, 730)
 
 
 @query("trending_entities", f"WITH {_TREND} SELECT entity, count(DISTINCT source) AS sources, count(DISTINCT date) AS days FROM hits GROUP BY entity")
 def trending_entities(spark, sf):
-    return _trend(spark, sf)[2]
-
-
-@query("trending_boost", f"WITH {_TREND}, f AS (SELECT entity, count(DISTINCT source) AS sources, count(DISTINCT date) AS days FROM hits GROUP BY entity) SELECT seq, CAST(CASE WHEN sources >= 3 AND days >= 2 THEN CASE WHEN sources >= 4 THEN 9 ELSE 9 END ELSE 8 END AS INT) AS importance, CASE WHEN sources >= 3 AND days >= 2 THEN t.entity END AS trend FROM (SELECT t.* FROM t, today WHERE date >= d) t LEFT JOIN f ON f.entity = t.entity")
+    return trending.trending_entities(_trend(spark, sf)[1])
+
+
+@query(
+    "trending_boost",
+    f"""WITH {_TREND}, s AS (
+  SELECT c.seq, c.entity, h.source FROM cur c JOIN hits h ON h.entity = c.entity UNION SELECT c.seq, c.entity, c.source FROM cur c WHERE c.entity IN (SELECT entity FROM hits)
+), f AS (
+  SELECT seq, count(DISTINCT source) AS sources, (SELECT count(DISTINCT date) + 1 FROM hits h WHERE h.entity = any_value(s.entity)) AS days FROM s GROUP BY seq
+) SELECT cur.seq, CAST(CASE WHEN sources >= 3 AND days >= 2 THEN 9 ELSE 8 END AS INT) AS importance, CASE WHEN sources >= 3 AND days >= 2 THEN entity END AS trend,
+  CASE WHEN sources >= 3 AND days >= 2 THEN sources END AS sources, CASE WHEN sources >= 3 AND days >= 2 THEN days END AS days FROM cur LEFT JOIN f ON f.seq = cur.seq""",
+)
 def trending_boost(spark, sf):
-    o, today, found = _trend(spark, sf)
-    now = o.where(F.col("date") >= F.lit(today)).select("seq", F.lit(8).alias("importance"), F.array("entity").alias("who"))
-    return trending.boost(now, found, strong_sources=4).select("seq", "importance", F.col("trending.entity").alias("trend"))
+    """Every event with its own sources beside its entity's."""
+    return trending.boost(*_trend(spark, sf)).select("seq", "importance", F.col("trending.entity").alias("trend"), "trending.sources", "trending.days")
 
 
 @query("extract_events", f"WITH {ITEMS} SELECT seq, substr(trim(title), 1, 80) AS title, 'uncategorized' AS category, 5 AS importance FROM items WHERE trim(title) <> '' AND trim(summary) <> ''")

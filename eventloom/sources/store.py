@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,57 +23,96 @@ def last_of_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return best.select("_row.*")
 
 
-class EventStore:
-    """Reads prune to the dates asked for; writes replace whole days, so a rerun of a day is idempotent."""
+#: Types of a document's columns, for a store that holds nothing yet; others are strings there.
+DOCUMENT = {"date": "date", "seq": "long", "importance": "int", "mention_count": "int", "is_top": "boolean", "tags": "array<string>", "who": "array<string>", "generated_at": "timestamp"}
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.events_path, self.summary_path, self.shape_path = f"{self.root}/events", f"{self.root}/daily_summary", f"{self.root}/shape"
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+class ShortDay(RuntimeError):
+    """A day that is to be rewritten can't be read whole."""
 
-    def events(self) -> DataFrame | None:
-        """All days in the shape that was last written; a file that can't be read counts as missing."""
-        if not self._exists(self.events_path):
-            return None
-        read = self.spark.read.option("ignoreCorruptFiles", True)
-        known = self._shape()
-        return (read.schema(known) if known else read).parquet(self.events_path)
 
-    def _shape(self) -> T.StructType | None:
-        if not self._exists(self.shape_path):
-            return None
-        return T.StructType.fromJson(json.loads(self.spark.read.text(self.shape_path).first()["value"]))
+class EventStore:
+    """Days of documents and their summaries. Reads prune to the dates asked for; writes replace whole days.
 
-    def _keep_shape(self, fresh: T.StructType) -> None:
-        """The columns of all writes so far, the day last."""
-        old = self._shape()
-        names = [f.name for f in fresh.fields]
-        fields = [f for f in fresh.fields if f.name != "date"] + [f for f in (old.fields if old else []) if f.name not in names and f.name != "date"]
-        shape = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*fields, fresh["date"]]])
-        if shape != old:
-            self.spark.createDataFrame([(shape.json(),)], "value string").coalesce(1).write.mode("overwrite").text(self.shape_path)
+    A write puts its days into version folders of their own (``date=.../v=...``), which no read
+    sees. Then one file, moved into place by a rename, names the version of every day, its rows
+    and its files with their sizes, for documents and summaries alike: readers see all of a
+    write or nothing, and a failed one leaves the days before it. A day whose files aren't those
+    that were committed is bad: reads leave it out whole and ``bad_days`` names it, and nothing is
+    rewritten from it.
+    """
 
-    def write_days(self, docs: DataFrame, unique: bool = False, order: str = "seq") -> None:
-        """Replace the days that ``docs`` holds; ``unique`` keeps the last of each (date, event_id)."""
-        docs = last_of_key(docs, ["date", "event_id"], order) if unique else docs
-        docs = Scratch(self.spark, "write-days").save(docs, "docs")
-        self._keep_shape(docs.schema)
-        docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.events_path)
-        aggregates.daily_summary(docs).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.summary_path)
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.events_path, self.summary_path, self.commits_path = f"{self.root}/events", f"{self.root}/daily_summary", f"{self.root}/commits"
+
+    # --- files
+
+    def _files(self):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _listed(self, path: str) -> dict[str, int]:
+        """Names and sizes of a folder's data files."""
+        files, where = self._files(), self._path(path)
+        if not files.exists(where):
+            return {}
+        return {e.getPath().getName(): e.getLen() for e in files.listStatus(where) if e.isFile() and not e.getPath().getName().startswith(("_", "."))}
+
+    def _commit(self) -> dict:
+        """The last commit: number, shape, and the days with version, rows and files."""
+        names = [n for n in self._listed(self.commits_path) if re.fullmatch(r"\d{20}\.json", n)]
+        if not names:
+            return {"number": 0, "shape": None, "days": {}}
+        text = "\n".join(r["value"] for r in self.spark.read.text(f"{self.commits_path}/{max(names)}").collect())  # a line a commit
+        return json.loads(text)
+
+    def _publish(self, commit: dict) -> None:
+        files, name = self._files(), f"{commit['number']:020d}.json"
+        staged, final = self._path(f"{self.commits_path}/_{uuid.uuid4().hex}"), self._path(f"{self.commits_path}/{name}")
+        files.mkdirs(self._path(self.commits_path))
+        out = files.create(staged, False)
+        out.write(bytearray(json.dumps(commit).encode()))
+        out.close()
+        if files.exists(final) or not files.rename(staged, final):
+            files.delete(staged, False)
+            raise RuntimeError(f"another write has made commit {commit['number']}; nothing was changed")
+
+    # --- reads
+
+    def _whole(self, commit: dict) -> tuple[list[str], list[str]]:
+        """Days whose files are as committed, and the others."""
+        good, bad = [], []
+        for day, held in sorted(commit["days"].items()):
+            same = all(self._listed(f"{top}/date={day}/v={held['v']}") == held[kind] for top, kind in ((self.events_path, "events"), (self.summary_path, "summary")))
+            (good if same else bad).append(day)
+        return good, bad
+
+    def bad_days(self) -> list[str]:
+        """Days that reads leave out, because files are missing, cut short or not theirs."""
+        return self._whole(self._commit())[1]
+
+    def _read(self, top: str, commit: dict, days: list[str], shape: T.StructType | None) -> DataFrame | None:
+        paths = [f"{top}/date={d}/v={commit['days'][d]['v']}" for d in days]
+        if not paths:
+            return None
+        read = self.spark.read.option("basePath", top)
+        # Partition columns are read as they are named, not guessed.
+        read = read.schema(T.StructType([*shape.fields, T.StructField("v", T.StringType())])) if shape else read
+        return read.parquet(*paths).drop("v")
+
+    def events(self) -> DataFrame | None:
+        """All good days, in the columns of all writes so far."""
+        commit = self._commit()
+        days = self._whole(commit)[0]
+        return self._read(self.events_path, commit, days, T.StructType.fromJson(commit["shape"])) if days else None
 
     def list_dates(self) -> list[str]:
-        """Newest first, from the names of the partitions; other names are ignored."""
-        if not self._exists(self.events_path):
-            return []
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.events_path)
-        entries = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
-        names = [e.getPath().getName() for e in entries]
-        return sorted((n[5:] for n in names if n.startswith("date=") and _DAY.fullmatch(n[5:])), reverse=True)
+        """Newest first; a bad day is listed too."""
+        return sorted((d for d in self._commit()["days"] if _DAY.fullmatch(d)), reverse=True)
 
     def range(self, start: str | None = None, end: str | None = None) -> DataFrame | None:
         """[start, end]: end defaults to the latest day, start to end; reversed bounds are swapped, bad ones raise."""
@@ -85,20 +125,26 @@ class EventStore:
         end = end or days[0]
         start = start or end
         start, end = min(start, end), max(start, end)
-        return self.events().where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+        found = self.events()
+        return found if found is None else found.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
     def day(self, day: str) -> DataFrame | None:
-        """One day; none where it is missing or its files can't be read."""
-        found = self.range(day, day)
-        if found is None or day not in self.list_dates():
+        """One day; none where it is missing or bad."""
+        commit = self._commit()
+        if day not in commit["days"] or day in self._whole({"days": {day: commit["days"][day]}})[1]:
             return None
-        return found if found.head(1) else None
+        return self.range(day, day)
+
+    def rows_committed(self, day: str) -> int | None:
+        """How many documents the day was committed with."""
+        held = self._commit()["days"].get(day)
+        return held["rows"] if held else None
 
     def history(self, today: str, days: int = 30, columns: list[str] | None = None) -> DataFrame:
         """[today - days, today - 1] with only the columns asked for; empty where nothing is stored."""
         found = self.events()
         if found is None:
-            return self.spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns or ["event_id", "date"]))
+            return self.spark.createDataFrame([], ", ".join(f"`{c}` {DOCUMENT.get(c, 'string')}" for c in columns or ["event_id", "date"]))
         t = F.lit(today).cast("date")
         found = found.where((F.col("date") >= F.date_sub(t, days)) & (F.col("date") < t))
         return found.select(*columns) if columns else found
@@ -109,7 +155,51 @@ class EventStore:
         return found if found is None else found.orderBy(F.col("date").desc(), F.col("importance").desc(), F.col("mention_count").desc(), "event_id")
 
     def summaries(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.summary_path).orderBy(F.col("date").desc()) if self._exists(self.summary_path) else None
+        commit = self._commit()
+        found = self._read(self.summary_path, commit, self._whole(commit)[0], None)
+        return found if found is None else found.orderBy(F.col("date").desc())
+
+    # --- writes
+
+    def write_days(self, docs: DataFrame, unique: bool = False, order: str = "seq") -> None:
+        """Replace the days that ``docs`` holds; ``unique`` keeps the last of each (date, event_id). Documents and summaries are committed together."""
+        docs = last_of_key(docs, ["date", "event_id"], order) if unique else docs
+        docs = Scratch(self.spark, "write-days").save(docs, "docs")
+        before, version = self._commit(), uuid.uuid4().hex[:12]
+        rows = {str(r["date"]): r["n"] for r in docs.where(F.col("date").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("n")).collect()}  # a write's days
+        if not rows:
+            return
+        self._stage(docs.where(F.col("date").isNotNull()), self.events_path, version)
+        self._stage(aggregates.daily_summary(docs.where(F.col("date").isNotNull())), self.summary_path, version)
+        fresh = {d: {"v": version, "rows": n, "events": self._listed(f"{self.events_path}/date={d}/v={version}"), "summary": self._listed(f"{self.summary_path}/date={d}/v={version}")} for d, n in rows.items()}
+        self._publish({"number": before["number"] + 1, "shape": self._shape(before, docs.schema).jsonValue(), "days": before["days"] | fresh})
+
+    def _stage(self, rows: DataFrame, top: str, version: str) -> None:
+        rows.withColumn("v", F.lit(version)).write.mode("append").partitionBy("date", "v").parquet(top)
+
+    def _shape(self, before: dict, fresh: T.StructType) -> T.StructType:
+        """The columns of all writes so far, the day last."""
+        old = T.StructType.fromJson(before["shape"]) if before["shape"] else T.StructType()
+        names = [f.name for f in fresh.fields]
+        fields = [f for f in fresh.fields if f.name != "date"] + [f for f in old.fields if f.name not in names and f.name != "date"]
+        return T.StructType([T.StructField(f.name, f.dataType, True) for f in [*fields, fresh["date"]]])
+
+    def clear_versions(self) -> int:
+        """Delete version folders that the last commit doesn't name, and older commits; how many folders went. For times without writers or readers."""
+        commit, files, gone = self._commit(), self._files(), 0
+        for top in (self.events_path, self.summary_path):
+            if not files.exists(self._path(top)):
+                continue
+            for day in files.listStatus(self._path(top)):
+                name = day.getPath().getName()
+                held = commit["days"].get(name[5:], {}).get("v") if name.startswith("date=") else None
+                for version in files.listStatus(day.getPath()) if name.startswith("date=") else []:
+                    if version.getPath().getName() != f"v={held}":
+                        gone += bool(files.delete(version.getPath(), True))
+        for name in self._listed(self.commits_path):
+            if name != f"{commit['number']:020d}.json":
+                files.delete(self._path(f"{self.commits_path}/{name}"), False)
+        return gone
 
     def import_missing(self, docs: DataFrame, overwrite: bool = False) -> None:
         """Days that are absent (or all, to overwrite), by importance and mentions; the days' names are a short list."""
@@ -117,16 +207,43 @@ class EventStore:
         fresh = docs.where(~F.col("date").cast("string").isin(have)) if have else docs
         self.write_days(fresh.repartition("date").sortWithinPartitions("date", F.col("importance").desc(), F.col("mention_count").desc()))
 
+    def whole_days(self, days: list[str]) -> DataFrame | None:
+        """The documents of these days, for a rewrite: raises ``ShortDay`` where a stored one can't be read whole."""
+        commit = self._commit()
+        stored = {d: commit["days"][d] for d in days if d in commit["days"]}
+        good, bad = self._whole({"days": stored})
+        if bad:
+            raise ShortDay(f"not whole: {', '.join(bad)}")
+        return self._read(self.events_path, commit, good, T.StructType.fromJson(commit["shape"])) if good else None
+
     def update_columns(self, changes: DataFrame, columns: list[str]) -> None:
         """Rewrite only the days of ``changes`` (date, event_id, and the columns), with the new values where there are any."""
         days = [str(r["date"]) for r in changes.select("date").distinct().collect()]  # a maintenance job's days
-        old = self.events().where(F.col("date").cast("string").isin(days))
+        old = self.whole_days(days)
+        if old is None:
+            return
         new = changes.select("date", "event_id", *[F.col(c).alias(f"_new_{c}") for c in columns])
         out = old.join(new, ["date", "event_id"], "left")
         for c in columns:
             out = out.withColumn(c, F.coalesce(f"_new_{c}", c))
         self.write_days(out.select(*old.columns))
 
+    def regenerate(self, eligible, make, columns: list[str], start: str | None = None, end: str | None = None, only_top: bool = True) -> int:
+        """Make ``columns`` anew for stored documents that ``eligible`` (a Column) selects, the top ones only unless told otherwise.
+
+        ``make`` gives a table (date, event_id, the columns) from the documents chosen; rows that it
+        leaves out or gives nulls for keep what they have. Returns how many were chosen.
+        """
+        found = self.range(start, end)
+        if found is None:
+            return 0
+        chosen = found.where(eligible & F.coalesce("is_top", F.lit(False))) if only_top else found.where(eligible)
+        chosen = Scratch(self.spark, "regenerate").save(chosen, "chosen")
+        n = chosen.count()
+        if n:
+            self.update_columns(Scratch(self.spark, "regenerate").save(make(chosen).select("date", "event_id", *columns), "made"), columns)
+        return n
+
 
 def import_json_days(spark: SparkSession, glob: str, top_glob: str | None = None) -> DataFrame:
     """Daily JSON files, an array of events each, the date in the file's name; ids of the optional top files are marked."""

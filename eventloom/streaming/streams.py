@@ -49,9 +49,9 @@ def write_day_stream(stream: DataFrame, store, checkpoint: str) -> StreamingQuer
     def sink(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        have = store.events()
-        days = [r["date"] for r in batch.select("date").distinct().collect()]
-        merged = batch if have is None else batch.unionByName(have.where(F.col("date").isin(days)).select(*batch.columns))
+        days = [str(r["date"]) for r in batch.select("date").distinct().collect()]
+        have = store.whole_days(days)
+        merged = batch if have is None else batch.unionByName(have.select(*batch.columns))
         kept = Scratch(batch.sparkSession, "days").save(merged, "merged")
         store.write_days(kept, unique=True)
 

@@ -62,20 +62,87 @@ def test_pages(spark):
     df = spark.createDataFrame([(1, "https://a.b/c", html), (2, "https://a.b/c", '<meta name="twitter:image" content="/r.png">'), (3, "https://a.b/c", None)], "page_id long, url string, html string")
     rows = df.select("page_id", feeds.page_description().alias("d"), feeds.page_image().alias("i")).orderBy("page_id").collect()
     assert [(r["d"], r["i"]) for r in rows] == [("The dek", "https://img.x/y.png"), ("", "https://a.b/r.png"), ("", None)]
-    lib = '<a href="/library/one">First</a> model text <a href="/library/two">Second</a> words <a href="/library/one">again</a>'
-    assert [r["name"] for r in feeds.library_page(df.limit(1).withColumn("html", F.lit(lib))).collect()] == ["one", "two"]
-    repo = '<article><h2><a href="/me/llm-kit">x</a></h2><p>An LLM kit</p></article><article><h2><a href="/me/todo">x</a></h2><p>Lists</p></article>'
-    assert [r["repo"] for r in feeds.repo_pages(df.limit(1).withColumn("html", F.lit(repo))).collect()] == ["me/llm-kit"]
+    lib = '<a href="/library/one" class="x">one · First 8b model</a> <a href="/library/two">' + "words " * 60 + '</a><a href="/library/one">again</a><a href="/library/last"> </a>'
+    rows = feeds.library_page(df.limit(1).withColumn("html", F.lit(lib))).orderBy("pos").collect()
+    assert [(r["title"], r["url"]) for r in rows] == [(f"[Ollama 新模型] {n}", f"https://ollama.com/library/{n}") for n in ("one", "two", "last")]
+    assert rows[0]["summary"] == "First model <a" and rows[1]["summary"] == ("words " * 40).strip() + "…" and rows[2]["summary"] == "Ollama 新上架模型 last"
+    box = '<article class="Box-row"><h2 class="h3"> <a data="1" href="/{}">x</a></h2><p class="col-9 x">{}</p><span itemprop="programmingLanguage">Rust</span> 1,234 stars today</article>'
+    html = box.format("me / kit", "A <b>voice</b> kit") + box.format("me/todo", "Lists") + box.format("me/train", "") + "<article>" + box.format("a/llm", "x")[30:]
+    rows = feeds.repo_pages(df.limit(1).withColumn("html", F.lit(html)), "daily").orderBy("pos").collect()
+    assert [(r["title"], r["url"], r["summary"], r["stars"], r["lang"]) for r in rows] == [("[GitHub 今日熱門] me/kit", "https://github.com/me/kit", "Rust · 今日 +1,234 stars。A voice kit", "1,234", "Rust"), ("[GitHub 今日熱門] me/train", "https://github.com/me/train", "Rust · 今日 +1,234 stars", "1,234", "Rust")]
+    assert all(r["source_name"] == "GitHub Trending" and r["is_opensource"] for r in rows)
+    many = spark.createDataFrame([(k, box.format("me/ai", "x") * 3) for k in range(4)], "page_id long, html string")
+    assert feeds.repo_pages(many, limit=2).count() == 8  # the limit is a page's
+
+
+def test_feeds_that_differ(spark):
+    rdf = '<rdf:RDF xmlns:rdf="r" xmlns:dc="d"><item><title>R &nbsp; &amp; D &rsquo;</title><link>http://x/3</link><dc:date>2026-11-03</dc:date></item></rdf:RDF>'
+    full = '<rss xmlns:content="c"><channel><item><title><![CDATA[A <b>b</b>]]></title><link>http://x/4</link><content:encoded><![CDATA[<p>P & Q</p>]]></content:encoded></item><item><title/></item></channel></rss>'
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">T &lt;i&gt;x&lt;/i&gt;</title><link rel="self" href="http://x/no"/><link rel="alternate" href="http://x/5"/><summary type="xhtml"><div>in <b>y</b></div></summary></entry></feed>'
+    given = spark.createDataFrame([("rdf", rdf), ("full", full), ("atom", atom), ("cut", full[:90]), ("empty", " "), ("none", None), ("text", "no feed")], "source_name string, body string")
+    rows = {(r["source_name"], r["feed_pos"]): (r["title"], r["url"], r["summary"]) for r in feeds.parse_rss(given).collect()}
+    assert rows == {("rdf", 0): ("R & D ’", "http://x/3", ""), ("full", 0): ("A b", "http://x/4", "P & Q"), ("full", 1): ("", None, ""), ("atom", 0): ("T x", "http://x/5", "in y")}
+    assert {(r["source_name"], r["reason"]) for r in feeds.bad_feeds(given).collect()} == {("cut", "not well-formed"), ("empty", "empty"), ("none", "empty"), ("text", "not well-formed")}
 
 
 def test_apis(spark):
     cut = F.to_timestamp(F.lit("2026-11-01"))
-    m = spark.createDataFrame([("a/b", "2026-11-02T00:00:00Z", "text", 1234567, 5), ("old", "2026-01-01T00:00:00Z", "t", 1, 1)], "id string, createdAt string, pipeline_tag string, downloads long, likes long")
-    assert [(r["title"], r["summary"]) for r in feeds.models_api(m, cut).collect()] == [("New model: a/b", "text · 1,234,567 downloads · 5 likes")]
-    p = spark.createDataFrame([("t", "2026-11-02T00:00:00Z", ("1", "P  t", "sum", "2026-11-03T00:00:00Z", 3))], "title string, publishedAt string, paper struct<id:string,title:string,summary:string,publishedAt:string,upvotes:int>")
-    assert [(r["title"], r["upvotes"]) for r in feeds.papers_api(p, cut).collect()] == [("P t", 3)]
-    g = spark.createDataFrame([("x", "X", "d", 1793600000, 4096), ("y", "Y", None, 1, 1)], "id string, name string, description string, created long, context_length long")
-    assert [r["title"] for r in feeds.registry_api(g, cut).collect()] == ["X"]
+    m = spark.createDataFrame([("a/b", "2026-11-02T00:00:00Z", "text", 1234567, 5), ("old", "2026-01-01T00:00:00Z", "t", 1, 1), (None, "2026-11-02T00:00:00Z", "t", 1, 1), ("bad", "soon", "t", 1, 1)], "id string, createdAt string, pipeline_tag string, downloads long, likes long")
+    line = "Hugging Face 熱門模型，任務類型：text；下載 1,234,567 次、likes 5。模型卡：https://huggingface.co/a/b"
+    assert [(r["title"], r["summary"], r["source_name"]) for r in feeds.models_api(m, cut).collect()] == [("[HF Trending] a/b", line, "HuggingFace Trending")]
+    p = spark.createDataFrame([("t", "2026-11-02T00:00:00Z", ("1", "P  t", "sum", "2026-10-03T00:00:00Z", 3)), ("alone", "2026-11-02T00:00:00Z", None)], "title string, publishedAt string, paper struct<id:string,title:string,summary:string,publishedAt:string,upvotes:long>")
+    assert [(r["title"], r["url"], r["upvotes"]) for r in feeds.papers_api(p, cut).collect()] == [("[HF Paper] P  t", "https://huggingface.co/papers/1", 3), ("[HF Paper] alone", "https://huggingface.co/papers", 0)]
+    g = spark.createDataFrame([("x", "X", "d", 1793600000, 4096, {"prompt": "1", "completion": "2"}), ("y", "Y", None, 1, 1, None), ("z", None, None, 1793600000, None, None)], "id string, name string, description string, created long, context_length long, pricing map<string,string>")
+    assert [(r["title"], r["summary"]) for r in feeds.registry_api(g, cut).collect()] == [("[OpenRouter 新模型] X", "context=4,096 · price in=1/out=2。d"), ("[OpenRouter 新模型] z", "OpenRouter 上架模型 z")]
+
+
+def test_bad_days_are_named_and_left_out(spark, tmp_path):
+    s = store.EventStore(spark, str(tmp_path / "store"))
+    s.write_days(_docs(spark, "2026-11-18", list(range(50))).unionByName(_docs(spark, "2026-11-19", [3, 4])))
+    file = next((tmp_path / "store" / "events" / "date=2026-11-18").rglob("part-*.parquet"))
+    whole = file.read_bytes()
+    file.write_bytes(whole[: len(whole) // 2])
+    assert s.bad_days() == ["2026-11-18"] and s.day("2026-11-18") is None and s.day("2026-11-19").count() == 2
+    assert s.events().count() == 2 and s.range("2026-11-17", "2026-11-20").count() == 2 and s.rows_committed("2026-11-18") == 50
+    change = _docs(spark, "2026-11-18", [1]).select("date", "event_id", F.lit(9).alias("importance"))
+    with pytest.raises(store.ShortDay):
+        s.update_columns(change, ["importance"])
+    file.write_bytes(whole)  # the cause went: nothing was lost meanwhile
+    assert s.bad_days() == [] and s.day("2026-11-18").count() == 50
+    s.update_columns(change, ["importance"])
+    assert s.day("2026-11-18").where("importance = 9").count() == 1 and s.day("2026-11-18").count() == 50
+    made = s.regenerate(F.col("importance") < 6, lambda rows: rows.select("date", "event_id", F.lit("new").alias("title")), ["title"], "2026-11-18", "2026-11-19")
+    assert made == 2 and sorted(r["event_id"] for r in s.events().where("title = 'new'").collect()) == ["e0", "e3"]
+    assert s.clear_versions() > 0 and s.events().count() == 52 and s.bad_days() == []
+
+
+def test_documents_and_summary_are_one_commit(spark, tmp_path):
+    s = store.EventStore(spark, str(tmp_path / "store"))
+    s.write_days(_docs(spark, "2026-11-18", [1, 2]))
+    stage, publish = s._stage, s._publish
+
+    def fails_at(which):
+        def broken(*args):
+            if which == "publish" or args[1] == s.summary_path:
+                raise OSError("disk")
+            stage(*args)
+
+        return broken
+
+    for name in ("_stage", "_publish"):
+        setattr(s, name, fails_at(name[1:]))
+        with pytest.raises(OSError):
+            s.write_days(_docs(spark, "2026-11-18", [7]).unionByName(_docs(spark, "2026-11-19", [8])))
+        s._stage, s._publish = stage, publish
+        assert s.list_dates() == ["2026-11-18"] and {r["event_id"] for r in s.day("2026-11-18").collect()} == {"e1", "e2"}
+        assert [(str(r["date"]), r["total_db"]) for r in s.summaries().collect()] == [("2026-11-18", 2)]
+    late = s._commit()
+    s.write_days(_docs(spark, "2026-11-19", [8]))
+    with pytest.raises(RuntimeError):  # a second write from the same state doesn't undo the first
+        s._publish(late | {"number": late["number"] + 1})
+    assert s.list_dates() == ["2026-11-19", "2026-11-18"]
+    empty = store.EventStore(spark, str(tmp_path / "none")).history("2026-11-20", 7, ["event_id", "date", "tags", "importance"])
+    assert dict(empty.dtypes) == {"event_id": "string", "date": "date", "tags": "array<string>", "importance": "int"}
 
 
 def test_streams(spark, tmp_path):

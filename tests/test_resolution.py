@@ -104,6 +104,93 @@ def test_leaders_agree_with_a_plain_loop(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_first_match_is_the_loop(spark):
+    """2,000 random rows on a graph of keys with growing leaders, names cut at 8, and longer members; then the plain case."""
+    from eventloom.operators.leaders import first_match
+
+    rng = random.Random(12)
+    for case, n in ((0, 2000), (1, 400), (2, 400)):
+        keys = list(range(300 if n == 2000 else 40))
+        near = {(a, b): rng.random() < 0.5 for a in keys for b in keys if a < b and rng.random() < (0.01 if case == 0 else 0.2)} | {(k, k): True for k in keys[:-3]}
+        rows = [(i, rng.choice([None, *keys * 3]), 0 if case == 2 else rng.randint(0, 30), [(f"n{x}", f"e{x % 30}") for x in rng.sample(range(60), rng.choice([0, 1, 2, 12]))]) for i in range(n)]
+        got = {r["id"]: (r["leader"], r["reigned"]) for r in first_match(spark.createDataFrame(rows, "id long, key long, size long, names array<struct<n:string,e:string>>"), spark.createDataFrame([(a, b, s) for (a, b), s in near.items()], "a long, b long, sure boolean")).collect()}
+        heads, want, reigned = [], {}, set()
+        for i, key, size, names in rows:
+            own = {e for _, e in names}
+            for h in heads:
+                sure = None if key is None or h["key"] is None else near.get((min(key, h["key"]), max(key, h["key"])))
+                if sure or (sure is False and own & {e for _, e in h["names"]}):
+                    held = {x for x, _ in h["names"]}
+                    h["names"] = (h["names"] + [x for x in names if x[0] not in held])[:8]
+                    if size > h["size"]:
+                        h["key"], h["size"] = key, size
+                        reigned.add(i)
+                    want[i] = h["id"]
+                    break
+            else:
+                heads.append({"id": i, "key": key, "size": size, "names": list(names)})
+                want[i] = i
+                reigned.add(i)
+        assert {i: x[0] for i, x in got.items()} == want
+        assert {i for i, x in got.items() if x[1]} == reigned
+        assert 1 < len(heads) < n
+
+
+def test_first_duplicates_are_the_loop(spark):
+    rng = random.Random(13)
+    words = [f"word{k}" for k in range(30)]
+    rows = [(i, " ".join(rng.sample(words, rng.randint(0, 6))) or None, "s" * rng.randint(0, 20) or None) for i in range(150)]
+    items = spark.createDataFrame(rows, "id long, title string, summary string")
+    sims = lambda a, b: len(a & b) / len(a | b) if a and b else 0
+
+    def grams(t):
+        s = (t or "").replace(" ", "")
+        return {s[k : k + 4] for k in range(len(s) - 3)} if len(s) > 4 else {s} - {""}
+
+    kept, want = [], {}
+    for i, t, s in rows:
+        for k in kept:
+            if max(sims(set((t or "").split()), set((k[1] or "").split())), sims(grams(t), grams(k[1]))) >= 0.55:
+                want[i] = k[0]
+                if len(s or "") > len(k[2] or ""):
+                    k[1], k[2] = t, s
+                break
+        else:
+            kept.append([i, t, s])
+            want[i] = i
+    assert {r["id"]: r["first"] for r in resolve.first_duplicates(items, 0.55).collect()} == want and 1 < len(kept) < 150
+    # A chain: 3 is like 2 and 2 like 1, but 3 isn't like what is kept.
+    chain = spark.createDataFrame([(1, "a1a b2b c3c d4d"), (2, "b2b c3c d4d e5e"), (3, "c3c d4d e5e f6f")], "id long, summary string").withColumn("title", F.lit(""))
+    assert {r["id"]: r["first"] for r in resolve.first_duplicates(chain, 0.55, words_only=True).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_failing_judges(spark):
+    rows = spark.createDataFrame([(k, f"title {k:03d}") for k in range(100)], "seq long, title string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def refuses(frame):
+        calls.add(1)
+        raise RuntimeError("busy")
+
+    alone = resolve.global_windows(rows, refuses)
+    assert all(r["seq"] == r["cluster"] for r in alone.collect()) and calls.value == 3 * 3
+    for silent in (lambda f: None, lambda f: [], lambda f: [[]], lambda f: [[999]], lambda f: "x"):
+        groups = rows.select("seq", F.lit(1).alias("group"))
+        assert {(r["seq"], r["cluster"]) for r in resolve.adjudicate(rows.limit(5), groups, silent).collect()} == {(k, k) for k in range(5)}
+
+
+def test_verdict_heads(spark):
+    """A verdict's first row is the head and is rewritten; a window's head is its most important row; neither takes longer texts."""
+    rows = [_event(1, "甲乙丙丁 sora", ["acme"], "long summary", 3), _event(2, "sora 戊己庚辛壬癸子丑寅", ["acme"], "s", 9), _event(3, "完全不同", ["x"], "s", 2), _event(4, "全無關係的", ["y"], "much longer summary", 7)]
+    judge = lambda f: [([1, 0], {"title": "both", "importance": 4})]
+    window = lambda f: [[i for i, t in enumerate(f["title"]) if "全" in t]]
+    out = {r["seq"]: r for r in resolve.merge_events(spark.createDataFrame(rows, resolve.EVENT), judge, window).collect()}
+    assert set(out) == {2, 4} or set(out) == {1, 4}
+    head = out[min(out)]
+    assert (head["title"], head["importance"], head["mention_count"]) == ("both", 4, 2)
+    assert (out[4]["title"], out[4]["summary"], out[4]["importance"], out[4]["who"]) == ("全無關係的", "much longer summary", 7, ["y", "x"])
+
+
 def test_many_equal_titles(spark):
     rows = [_event(i, "完全相同的標題", [f"n{i}"], url=f"u{i % 5}") for i in range(300)]
     out = resolve.programmatic_dedup(spark.createDataFrame(rows, resolve.EVENT)).collect()
@@ -171,22 +258,38 @@ def test_edges(spark):
 
 def test_trending_boundaries(spark):
     today = "2026-11-20"
-    history = [("acme", "s1", "2026-11-13"), ("acme", "s2", "2026-11-14"), ("bolt", "s1", "2026-11-12"), ("bolt", "s2", "2026-11-15"), ("core", "s1", "2026-10-20"), ("core", "s2", "2026-11-19"), ("core", "s3", "2026-11-19")]
+    history = [("acme", "s1", "2026-11-13"), ("acme", "s2", "2026-11-14"), ("bolt", "s1", "2026-11-12"), ("bolt", "s2", "2026-11-15"), ("core", "s1", "2026-10-20"), ("core", "s2", "2026-11-19"), ("core", "s3", "2026-11-19"), ("dune", "s1", "2026-11-19")]
     h = spark.createDataFrame(history, "entity string, source string, d string").withColumn("date", F.to_date("d"))
-    now = spark.createDataFrame([("acme", "s9"), ("bolt", "s9"), ("core", "s9"), ("ab", "s9")], "entity string, source string")
-    found = {r["entity"]: (r["sources"], r["days"]) for r in trending.trending_entities(now, h, today).collect()}
-    assert found == {"acme": (3, 3), "core": (3, 2)}  # bolt is in the baseline (8 days ago), core's 31 days ago isn't, ab is too short
-    ev = spark.createDataFrame([(1, 8, ["Acme"]), (2, 9, ["acme"]), (3, 10, ["acme"]), (4, 5, ["other"])], "seq long, importance int, who array<string>")
-    got = {r["seq"]: r["importance"] for r in trending.boost(ev, trending.trending_entities(now, h, today)).collect()}
-    assert got == {1: 9, 2: 9, 3: 10, 4: 5}
-    strong = {r["seq"]: r["importance"] for r in trending.boost(ev.withColumn("importance", F.lit(5)), trending.trending_entities(now, h, today), strong_sources=3).collect()}
-    assert strong[1] == 7
+    rows = [(1, 8, ["Acme"], ["s9"]), (2, 9, ["acme"], ["s1"]), (3, 10, ["acme"], ["s8", "s9", None]), (4, 5, ["other", "Core"], ["s1"]), (5, 5, ["bolt", "ab"], ["s3"]), (6, 5, ["dune"], ["a"]), (7, 5, ["dune"], ["b"]), (8, 5, ["dune"], ["c", "d", "e", "f"]), (9, 5, None, None)]
+    ev = spark.createDataFrame(rows, "seq long, importance int, who array<string>, sources array<string>")
+    hits = trending.recent_hits(trending.named_entities(ev), h, today)
+    found = {r["entity"]: (r["sources"], r["days"]) for r in trending.trending_entities(hits).collect()}
+    assert found == {"acme": (2, 2), "core": (2, 1), "dune": (1, 1)}  # bolt is in the baseline (8 days ago), core's 31 days ago isn't, ab is too short
+    got = {r["seq"]: (r["importance"], r["trending"] and tuple(r["trending"])) for r in trending.boost(ev, hits).collect()}
+    # Each event counts its own sources: dune's three events together have six, but only the last has enough.
+    assert got == {1: (9, ("Acme", 3, 3)), 2: (9, None), 3: (10, ("acme", 5, 3)), 4: (6, ("Core", 3, 2)), 5: (5, None), 6: (5, None), 7: (5, None), 8: (7, ("dune", 5, 2)), 9: (5, None)}
 
 
 def test_history_matches(spark):
-    e = spark.createDataFrame([("gpt-4",), ("acme corp",)], "entity string")
-    t = spark.createDataFrame([(1, "new GPT-4 out"), (2, "gpt-45 out"), (3, "the acme corp."), (4, "acme corporation")], "text_id long, text string")
-    assert {(r["entity"], r["text_id"]) for r in trending.history_matches(e, t).collect()} == {("gpt-4", 1), ("acme corp", 3)}
+    e = spark.createDataFrame([("gpt-4",), ("acme corp",), ("c++",), ("***",)], "entity string")
+    t = spark.createDataFrame([(1, "new GPT-4 out"), (2, "gpt-45 out"), (3, "the acme corp."), (4, "acme corporation"), (5, "c+++ or c++"), (6, "a *** b, *"), (7, None), (8, "")], "text_id long, text string")
+    assert {(r["entity"], r["text_id"]) for r in trending.history_matches(e, t).collect()} == {("gpt-4", 1), ("acme corp", 3), ("c++", 5), ("***", 6)}
+
+
+def test_entities_of_any_script(spark):
+    rng = random.Random(8)
+    chars = [chr(0x4E00 + k) for k in range(40)] + list("ab1 é")
+    entities = {"".join(rng.choice(chars[:40]) for _ in range(rng.choice([1, 2, 3, 3, 3]))) for _ in range(25_000)}
+    texts = [(k, "".join(rng.choice(chars) for _ in range(rng.randint(0, 60)))) for k in range(300)]
+    got = {(r["entity"], r["text_id"]) for r in trending.history_matches(spark.createDataFrame([(x,) for x in entities], "entity string"), spark.createDataFrame(texts, "text_id long, text string")).collect()}
+    edge = set("abcdefghijklmnopqrstuvwxyz0123456789")
+    want = set()
+    for k, t in texts:
+        for n in (1, 2, 3):
+            for i in range(len(t) - n + 1):
+                if t[i : i + n] in entities and (i == 0 or t[i - 1] not in edge) and (i + n == len(t) or t[i + n] not in edge):
+                    want.add((t[i : i + n], k))
+    assert len(entities) > 10_000 and got == want
 
 
 def test_quota_is_the_loop(spark):
