@@ -1,26 +1,27 @@
 """Personal data by base patterns and a skip-chain conditional random field.
 
 Mentions of a document are its base spans and looser candidates: runs of digits with
-separators, numbers with masked digits, and words that repeat the local part of one of its addresses. Each mention has a
-label (none, email, ip, card, phone) with log-linear potentials from its features; neighbours
-form a chain; distant mentions that repeat or resemble each other (the same last seven digits, or
-four where the others are masked, or the same local part) share a skip potential: a candidate with every base span of its key and
-with the candidate of that key before it, so that it takes the label of its evidence however
-often it repeats. Base spans are observed, so that their edges are votes summed once a key. Loopy
-belief propagation, until no message moves by ``SETTLED`` or after rounds bound by the number of
-mentions, gives each candidate its marginals; it becomes a span where the best label's marginal
-exceeds ``ACCEPT``.
-
-All weights (of the features, and of the chain and skip potentials) are fitted together on the
-pseudo-likelihood of a bounded sample: the probability of each mention's label given its features
-and the labels of its neighbours. The sample is ``max_train_docs`` documents, labelled by their
-base spans, with the features that the patterns themselves need masked. A document where nothing
-repeats tells nothing about skip edges, so looser forms of every base span (without its sign, with
-other separators, its first digits masked, a bare local part) join as mentions with one to three
-neighbours of its label, and as unlabelled ones without; numbers made by rule that are no personal
-data (dates, amounts, counts, serials) join alone and beside each other.
-
-Defined results: null and empty texts have no spans; repeated rows are scanned alike; an empty
+separators, numbers with masked digits, and words that repeat the local part of one of its addresses.
+Each mention has a label (none, email, ip, card, phone) with log-linear potentials from its features.
+Neighbours form a chain, with a symmetric matrix of potentials over both labels; distant mentions that
+repeat or resemble each other (the same last seven digits, or four where the others are masked, or
+the same local part) share a skip potential that rewards equal labels: a candidate with every base span
+of its key and with the candidate of that key before it, so that it takes the label of its evidence
+however often it repeats. Base spans are observed, so that their edges are votes. Loopy belief
+propagation, until no message moves by ``SETTLED`` or after rounds bound by the number of mentions,
+gives each candidate its marginals; it becomes a span where the best label's marginal exceeds ``ACCEPT``.
+
+All weights (of the features, the chain's matrix and the skip edges) are fitted together on the
+pseudo-likelihood of a bounded sample: the probability of each mention's label given its features,
+with those masked that the patterns themselves need, and the labels of its neighbours, as they stand
+in their documents. Candidates that repeat a base span are left out, for nobody labelled them.
+Instead looser forms of every base span (without its sign, with other separators, its first digits
+masked, a bare local part) join as mentions with one to three neighbours of its label, and as
+unlabelled ones without; numbers made by rule that are no personal data (dates, amounts, counts,
+serials) join alone and repeated. Both stand among neighbours drawn alike from the whole sample,
+so that they tell nothing about the chain.
+
+Defined results: null and empty texts have no spans; repeated rows are scanned alike, and null ids like any; an empty
 table gives an empty result; ``annotate`` keeps all columns and its new ones have names given
 by the caller. All matches are found in time linear in the text, but for the candidates' pairs.
 """
@@ -40,7 +41,8 @@ from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-MAX_TRAIN_DOCS, ACCEPT, LEAST_ROUNDS, SETTLED = 4_000, 0.8, 64, 1e-6
+MAX_TRAIN_DOCS, MAX_TRAIN_MENTIONS = 4_000, 16_000
+ACCEPT, LEAST_ROUNDS, SETTLED = 0.8, 64, 1e-6
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match that starts inside a run of digits would have started at the run's head.
@@ -152,6 +154,10 @@ def looser(raw: str, kind: int) -> list[str]:
 def _votes(text: str, mentions: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """How many chain and skip neighbours of each mention (start, stop, label) hold each label."""
     chain, skip = (np.zeros((len(mentions), len(LABELS))) for _ in range(2))
+    for i, m in enumerate(mentions):
+        for j in (i - 1, i + 1):
+            if 0 <= j < len(mentions):
+                chain[j, m[2]] += 1
     held: dict[str, np.ndarray] = {}
     own = [_offers(text[s:e]) if label else _keys(text[s:e]) for s, e, label in mentions]
     for keys, m in zip(own, mentions, strict=True):
@@ -183,47 +189,59 @@ def _harmless(n: int = 400) -> list[str]:
     out = []
     for k in range(n):
         a = (k * 2654435761) % 10**9
-        out += [f"{1950 + k % 90}-{k % 12 + 1:02d}-{k % 28 + 1:02d}", f"{a:010d}", f"{a}{k % 97:03d}", f"{k % 900 + 100} {a % 1000:03d} {k % 1000:03d}", f"{k % 9 + 1}.{a % 1000:03d}.{k % 1000:03d}", f"{a % 10000:04d}-{k % 10000:04d}"]
+        out += [f"{1950 + k % 90}-{k % 12 + 1:02d}-{k % 28 + 1:02d}", f"{a:010d}", f"{a}{k % 97:03d}", f"{k % 900 + 100} {a % 1000:03d} {k % 1000:03d}", f"{k % 9 + 1}.{a % 1000:03d}.{k % 1000:03d}", f"{a % 10000:04d}-{k % 10000:04d}", f"{a:09d}{k * 7919 % 10**7:07d}"]
     return out
 
 
-def fit(documents: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, steps: int = 400) -> dict:
-    """All weights, by gradient on the pseudo-likelihood of a bounded sample; pair weights never reward disagreement."""
+def fit(documents: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_train_mentions: int = MAX_TRAIN_MENTIONS, steps: int = 400) -> dict:
+    """All weights, by gradient on the pseudo-likelihood of a bounded sample.
+
+    The sample is about ``max_train_docs`` documents by the hash of id and text, so that rows of one
+    id or of none are drawn apart (repeated rows fall together), and ``max_train_mentions`` of their
+    mentions at most, by the hash of the document. The skip weight never rewards disagreement; the
+    chain's matrix, symmetric, may.
+    """
     total = documents.count()
-    h = F.xxhash64(F.lit("train"), "doc_id")
+    h = F.xxhash64(F.lit("train"), "doc_id", "text")
     rows = documents.where(F.pmod(h, F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_train_docs / max(1, total))))
     found = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInPandas(_train_rows, _TRAIN)
-    found = found.orderBy("h", "label", "raw").limit(4 * max_train_docs).collect()
+    found = found.orderBy("h", "label", "raw").limit(max_train_mentions).collect()
     # Two of each pattern by rule, so that a corpus without personal data still has every label.
     known = [(r["label"], r["raw"]) for r in found if r["label"]] + [(1, "ab.cd12@example.com"), (2, "10.20.30.40"), (3, "4111 1111 1111 1111"), (4, "+1 (212) 555-0100")]
     none, one = np.zeros(len(LABELS)), np.eye(len(LABELS))
-    examples = [(r["label"], r["raw"], np.array(r["chain"]), np.array(r["skip"])) for r in found if not r["label"] or any(r["skip"])]
+    # A candidate that repeats a base span is taken to be none of known label, and is left out; all else of the sample counts.
+    examples = [(r["label"], r["raw"], np.array(r["chain"]), np.array(r["skip"])) for r in found if r["label"] or not any(r["skip"][1:])]
+    # Forms and harmless numbers stand among any neighbours, so that the chain is learned from the sample's own.
+    among = [none, one[0], 2 * one[0], *(votes for _, _, votes, _ in examples)]
+    place = lambda k: among[k * 7919 % len(among)]
     for k, (label, raw) in enumerate(known):
-        for form in [raw, *looser(raw, label - 1)]:
-            examples += [(label, form, none, one[label] * (1 + k % 3)), (0, form, none, none)]
+        for j, form in enumerate([raw, *looser(raw, label - 1)]):
+            at = place(11 * k + j)
+            examples += [(label, form, at, one[label] * (1 + k % 3)), (0, form, at, none)]
     for k, raw in enumerate(_harmless()):
-        examples += [(0, raw, none, none), (0, raw, none, one[0] * (1 + k % 3))]
+        examples += [(0, raw, place(k), none), (0, raw, place(k), one[0] * (1 + k % 3))]
     x = np.array([features(raw, True) for _, raw, _, _ in examples])
     y = np.array([label for label, *_ in examples])
     chain, skip = np.array([c for _, _, c, _ in examples]), np.array([v for *_, v in examples])
     share = np.bincount(y, minlength=len(LABELS))
     weight = 1.0 / share[y] * np.where(y == 0, len(LABELS), 1)  # labels count alike, none as much as all others
     weight /= weight.sum()
-    w, pair, target = np.zeros((x.shape[1], len(LABELS))), np.zeros(2), np.eye(len(LABELS))[y]
-    moment = [np.zeros_like(w), np.zeros_like(w), np.zeros(2), np.zeros(2)]
+    w, links, pull, target = np.zeros((x.shape[1], len(LABELS))), np.zeros((len(LABELS), len(LABELS))), np.zeros(1), np.eye(len(LABELS))[y]
+    values = (w, links, pull)
+    moment = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
     for step in range(1, steps + 1):
-        z = x @ w + pair[0] * chain + pair[1] * skip
+        z = x @ w + chain @ links + pull[0] * skip
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         miss = (target - p) * weight[:, None]
-        slope = (x.T @ miss - 1e-4 * w, np.array([(miss * chain).sum(), (miss * skip).sum()]) - 1e-4 * pair)
-        for k, (value, g) in enumerate(zip((w, pair), slope, strict=True)):  # moments of the gradient scale each step
-            m, v = moment[2 * k], moment[2 * k + 1]
+        both = chain.T @ miss
+        slope = (x.T @ miss - 1e-4 * w, (both + both.T) / 2 - 1e-3 * links, np.array([(miss * skip).sum()]) - 1e-4 * pull)
+        for value, g, (m, v) in zip(values, slope, moment, strict=True):  # moments of the gradient scale each step
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             value += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        np.maximum(pair, 0, out=pair)
-    return {"unary": w.tolist(), "chain": float(pair[0]), "skip": float(pair[1])}
+        np.maximum(pull, 0, out=pull)
+    return {"unary": w.tolist(), "chain": links.tolist(), "skip": float(pull[0])}
 
 
 def _keys(raw: str) -> list[str]:
@@ -243,66 +261,76 @@ def _offers(raw: str) -> list[str]:
     return _keys(raw) + (["f" + d[-4:]] if len(d) >= 7 and "@" not in raw else [])
 
 
-def infer(model: dict, text: str, base: list[tuple[int, int, int]], loose: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that the field adds: votes of the base spans, and loopy message passing over the candidates' chain and skip edges."""
+def field(model: dict, text: str, base: list[tuple[int, int, int]], loose: list[tuple[int, int]]) -> tuple[list, np.ndarray, dict]:
+    """Mentions (start, stop, label or 0) in order, their log potentials, and edges (i, j) with the log potentials of both ends' labels.
+
+    Observed labels are known, so that each of their edges is a fixed vote for the other end's label;
+    edges are between candidates only.
+    """
     mentions = sorted([(s, e, k + 1) for s, k, e in base] + [(s, e, 0) for s, e in loose])
     n, size = len(mentions), len(LABELS)
-    w = np.asarray(model["unary"])
+    w, chain, skip = np.asarray(model["unary"]), np.asarray(model["chain"]), model["skip"] * np.eye(size)
     unary = np.zeros((n, size))
+    evidence: dict[str, np.ndarray] = {}
     for i, (s, e, label) in enumerate(mentions):
         if label:
             unary[i] = -30
             unary[i, label] = 0
+            for key in _offers(text[s:e]):
+                evidence.setdefault(key, np.zeros(size))[label] += model["skip"]
         else:
             unary[i] = features(text[s:e], True) @ w
-    # Observed labels are known, so that each of their edges is a fixed vote for the other end's label.
-    seen = np.array([m[2] for m in mentions])
-    keys = [_keys(text[s:e]) for s, e, _ in mentions]
-    evidence: dict[str, np.ndarray] = {}
-    for i in np.flatnonzero(seen):
-        for key in _offers(text[mentions[i][0] : mentions[i][1]]):
-            evidence.setdefault(key, np.zeros(size))[seen[i]] += model["skip"]
-    edges: dict[tuple[int, int], float] = {}
+    edges: dict[tuple[int, int], np.ndarray] = {}
     last: dict[str, int] = {}
-    for i in range(n):
-        if i and not (seen[i - 1] or seen[i]):
-            edges[i - 1, i] = edges.get((i - 1, i), 0.0) + model["chain"]
-        if seen[i]:
+    for i, (s, e, label) in enumerate(mentions):
+        if label:
             continue
+        if i and not mentions[i - 1][2]:
+            edges[i - 1, i] = edges.get((i - 1, i), 0) + chain
         for j in (i - 1, i + 1):
-            if 0 <= j < n and seen[j]:
-                unary[i, seen[j]] += model["chain"]
-        for key in keys[i]:
+            if 0 <= j < n and mentions[j][2]:
+                unary[i] += chain[mentions[j][2]]
+        for key in _keys(text[s:e]):
             if key in evidence:
                 unary[i] += evidence[key]
             if key in last:
-                edges[last[key], i] = edges.get((last[key], i), 0.0) + model["skip"]
+                edges[last[key], i] = edges.get((last[key], i), 0) + skip
             last[key] = i
-    m = len(edges)
-    heads, tails = [h for h, _ in edges], [t for _, t in edges]
-    a, b = np.array(heads + tails, np.int64), np.array(tails + heads, np.int64)
-    force = np.array(2 * list(edges.values()))
-    agree = np.exp(force)[:, None, None] * np.eye(size)[None] + (1 - np.eye(size))[None]
-    messages = np.full((2 * m, size), 1 / size)
-    belief = np.exp(unary - unary.max(1, keepdims=True))
-    back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-    for _ in range(LEAST_ROUNDS + 4 * n if m else 0):
-        logs = np.log(messages)
-        total = np.zeros((n, size))
-        np.add.at(total, b, logs)
-        out = unary[a] + total[a] - logs[back]
-        out = np.exp(out - out.max(1, keepdims=True))
-        new = np.einsum("es,est->et", out, agree)
-        new /= new.sum(1, keepdims=True)
-        moved = np.abs(new - messages).max()
-        messages = 0.5 * messages + 0.5 * new
-        if moved < SETTLED:
-            break
+    return mentions, unary, edges
+
+
+def marginals(unary: np.ndarray, edges: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+    """Each mention's marginal by loopy message passing; exact where the edges form no loop."""
+    n, size = unary.shape
+    total, m = np.zeros((n, size)), len(edges)
     if m:
+        heads, tails = [h for h, _ in edges], [t for _, t in edges]
+        a, b = np.array(heads + tails, np.int64), np.array(tails + heads, np.int64)
+        force = np.exp(np.array([*edges.values(), *(x.T for x in edges.values())]))
+        messages = np.full((2 * m, size), 1 / size)
+        back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+        for _ in range(LEAST_ROUNDS + 4 * n):
+            logs = np.log(messages)
+            total = np.zeros((n, size))
+            np.add.at(total, b, logs)
+            out = unary[a] + total[a] - logs[back]
+            out = np.exp(out - out.max(1, keepdims=True))
+            new = np.einsum("es,est->et", out, force)
+            new /= new.sum(1, keepdims=True)
+            moved = np.abs(new - messages).max()
+            messages = 0.5 * messages + 0.5 * new
+            if moved < SETTLED:
+                break
         total = np.zeros((n, size))
         np.add.at(total, b, np.log(messages))
-        belief = np.exp((unary + total) - (unary + total).max(1, keepdims=True))
-    belief /= belief.sum(1, keepdims=True)
+    belief = np.exp((unary + total) - (unary + total).max(1, keepdims=True))
+    return belief / belief.sum(1, keepdims=True)
+
+
+def infer(model: dict, text: str, base: list[tuple[int, int, int]], loose: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Spans that the field adds: candidates whose best label's marginal exceeds ``ACCEPT``."""
+    mentions, unary, edges = field(model, text, base, loose)
+    belief = marginals(unary, edges)
     added = []
     for i, (s, e, label) in enumerate(mentions):
         k = int(belief[i].argmax())
