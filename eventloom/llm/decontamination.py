@@ -27,6 +27,7 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 BITS_PER_WINDOW, MAX_BITS = 64, 1 << 27
+MOST_BROADCAST_HITS = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -109,17 +110,22 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, remov
     """Documents without benchmark passages, all columns kept.
 
     ``remove="documents"`` drops every document with a hit; ``remove="spans"`` cuts the hit
-    words, and the separators before them, out of the text and keeps the document.
+    words, and the separators before them, out of the text and keeps the document. Up to
+    ``MOST_BROADCAST_HITS`` hit documents (two numbers each; a 64th of that with their spans) are
+    broadcast, so that texts stay where they are; more are joined by a shuffle.
     """
     hits = find_hits(documents, benchmark, n).where(F.size("spans") > 0).select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key"), F.col("spans").alias("_hit_spans")).dropDuplicates(["_hit_id", "_hit_key"])
+    hits = Scratch(documents.sparkSession, "hits").save(hits, "hits")
+    few = hits.count() <= (MOST_BROADCAST_HITS if remove == "documents" else MOST_BROADCAST_HITS // 64)
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
     match = F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (key == F.col("_hit_key"))
     if remove == "documents":
-        return documents.join(hits.drop("_hit_spans"), match, "left_anti")
+        hits = hits.drop("_hit_spans")
+        return documents.join(F.broadcast(hits) if few else hits, match, "left_anti")
     if remove != "spans":
         raise ValueError("remove must be 'documents' or 'spans'")
     names = documents.columns
-    joined = documents.join(hits, match, "left")
+    joined = documents.join(F.broadcast(hits) if few else hits, match, "left")
     raw = F.regexp_extract_all(F.col("text"), F.lit(WORD), 0)
     gaps = F.split(F.col("text"), WORD, -1)
     hit = hit_words(F.col("_hit_spans"))

@@ -228,7 +228,9 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, wi
     rank = F.col("number") - F.col("run.first")
     out = joined.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("run.sequence") + F.floor(rank / F.col("run.per"))).cast("long").alias("sequence_id"), (F.col("run.offset") + F.pmod(rank, F.col("run.per")) * F.col("length")).cast("long").alias("offset"))
     if with_ids:
-        out = out.join(rows.select("doc_id", "piece", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "ids_crc32"]), ["doc_id", "piece", "ids_crc32"])
+        ids = rows.select(F.col("doc_id").alias("_doc"), F.col("piece").alias("_piece"), F.col("ids_crc32").alias("_crc"), "ids").dropDuplicates(["_doc", "_piece", "_crc"])
+        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("piece") == F.col("_piece")) & (F.col("ids_crc32") == F.col("_crc"))
+        out = out.join(ids, same).drop("_doc", "_piece", "_crc")
     return out
 
 

@@ -2,16 +2,17 @@
 
 Everything is DataFrame functions. Places of matches come from the pieces between them
 (``split``) and the matches themselves (``regexp_extract_all``), in code points. The method
-adds spans of kind ``random``: candidate strings of ``CANDIDATE``, or where base spans cover a
-part of one, each of its parts outside them, that hold a letter and a digit and whose mean
-log-likelihood ratio a character pair, under a first-order Markov model of random strings
+adds spans of kind ``random``: candidate strings of ``CANDIDATE``, shorter ones (``SHORT``) beside a
+word that hints at a secret, or where base spans cover a part of one, each of its parts outside
+them, that hold a letter and a digit and whose mean log-likelihood ratio a character pair, under a first-order Markov model of random strings
 against one of ordinary identifiers, exceeds a threshold. Both models are trained from labelled
 samples. Random: strings made by hash rules and the values that the base patterns find in a
 bounded sample of documents (``max_train_docs``, a documented bound). Ordinary: identifiers made
 from word lists by rule, the words of that sample, and identifiers made of them. A quarter of the
 strings is held out, and the threshold is chosen on it.
 
-Defined results: null and empty texts have no spans; repeated rows are scanned alike; an empty
+The sample is drawn by the hash of id and text, so that rows of one id or of none are drawn apart;
+it is written once. Defined results: null and empty texts have no spans; repeated rows are scanned alike; an empty
 table gives an empty result; all columns are kept by ``with_spans`` and new names carry a
 prefix, so extra columns don't clash.
 """
@@ -24,9 +25,15 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.session import Scratch
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # A run that is long enough is the same match as any run, filtered by length afterwards.
 ACCESS, HEX, CANDIDATE = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"[A-Za-z0-9+/_=-]{20,}"
+# Shorter values count beside words that hint at a secret, with as much evidence as the shortest candidate needs.
+HINTS = "pwd|passphrase|passcode|auth|bearer|credential|private_key|access_key|signature"
+SHORT = rf"""(?<=(?i:{HINTS})["']?[\x20]{{0,3}}[:=]?[\x20]{{0,3}}["']?)(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{10,19}}(?![A-Za-z0-9+/_=-])"""
+LEAST_LONG = 20
 KINDS = ("assign", "access", "hex", "random")
 CODES, MAX_TRAIN_DOCS, THRESHOLD, SMOOTH = 96, 500, 0.35, 0.5
 SPAN = "array<struct<start:int,ord:int,kind:string,stop:int>>"
@@ -87,7 +94,7 @@ def _samples(spark: SparkSession, documents: DataFrame | None, max_train_docs: i
     out = strings.unionByName(names)
     if documents is not None:
         total = documents.count()
-        rows = documents.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_train_docs / max(1, total))))
+        rows = documents.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_train_docs / max(1, total))))
         text = F.coalesce(F.col("text"), F.lit(""))
         words = F.regexp_extract_all(text, F.lit("[A-Za-z]{4,}"), 0)
         glue = F.sequence(F.lit(0), F.greatest(F.size(words) - 4, F.lit(0)), F.lit(4))
@@ -110,7 +117,7 @@ def fit(spark: SparkSession, documents: DataFrame | None, max_train_docs: int =
     strings below it, and of equals the largest wins. Only strings as long as candidates decide; their ratios are counted in
     bins, so the driver sees a few hundred rows.
     """
-    samples = _samples(spark, documents, max_train_docs)
+    samples = Scratch(spark, "secret-samples").save(_samples(spark, documents, max_train_docs), "samples")
     table = train(samples.where(~_held(F.col("text"))))
     asked = samples.where(_held(F.col("text")) & (F.length("text") >= 20) & F.col("text").rlike("^[A-Za-z0-9+/_=-]+$")).distinct()
     bins = asked.select("random", F.floor(ratio(F.col("text"), table) * 20).cast("int").alias("bin")).groupBy("random", "bin").count().collect()
@@ -162,6 +169,7 @@ def with_spans(documents: DataFrame, table: list[float], prefix: str = "secret_"
     name = {k: f"{prefix}{k}" for k in ("assign", "access", "hex", "cand", "base", "all")}
     none = F.array().cast(SPAN)
     low = F.lower(text)
+    weak = low.rlike(HINTS)
     hint = F.contains(low, F.lit("passw")) | F.contains(low, F.lit("secret")) | F.contains(low, F.lit("token")) | F.contains(low, F.lit("api"))
     out = documents.withColumns({
         name["assign"]: F.coalesce(_when(hint & text.rlike(ASSIGN), _places(text, ASSIGN, "assign", group=2, least_group=6)), none),
@@ -169,6 +177,8 @@ def with_spans(documents: DataFrame, table: list[float], prefix: str = "secret_"
         name["hex"]: F.coalesce(_when(text.rlike(HEX), _places(text, HEX, "hex", least_length=24)), none),
         name["cand"]: F.coalesce(_when(text.rlike(CANDIDATE), _places(text, CANDIDATE, "random", least_length=20, with_raw=True)), F.array().cast(SPAN_RAW)),
     })
+    short = F.coalesce(_when(weak, _places(text, SHORT, "random", with_raw=True)), F.array().cast(SPAN_RAW))
+    out = out.withColumn(name["cand"], F.when(weak, F.concat(F.col(name["cand"]), short)).otherwise(F.col(name["cand"])))
     out = out.withColumn(name["base"], F.array_sort(F.concat(F.col(name["assign"]), F.col(name["access"]), F.col(name["hex"]))))
 
     def clear(s: Column) -> Column:
@@ -184,7 +194,9 @@ def with_spans(documents: DataFrame, table: list[float], prefix: str = "secret_"
         return F.when(F.size(met) == 0, F.array(s)).otherwise(F.filter(gaps, lambda g: g["start"] < g["stop"]))
 
     def odd(s: Column) -> Column:
-        return s["raw"].rlike("[0-9]") & s["raw"].rlike("[A-Za-z]") & (ratio(s["raw"], table) > threshold)
+        # A mean over few pairs must be the higher: all together weigh what those of the shortest long candidate do.
+        least = F.lit(threshold) * F.greatest(F.lit(1.0), F.lit(float(LEAST_LONG - 1)) / (F.length(s["raw"]) - 1))
+        return (F.length(s["raw"]) > 1) & s["raw"].rlike("[0-9]") & s["raw"].rlike("[A-Za-z]") & (ratio(s["raw"], table) > least)
 
     parts = F.filter(F.flatten(F.transform(F.col(name["cand"]), clear)), odd)
     added = F.transform(parts, lambda s: F.struct(s["start"], s["ord"], s["kind"], s["stop"]))

@@ -612,6 +612,53 @@ def test_secrets_beyond_the_patterns(spark, docs):
     assert sum(bool(found[i]) for i in planted) >= 95 and sum(bool(found[i]) for i in names) <= 2
 
 
+def test_secrets_of_kinds_the_trainer_never_makes(spark, docs):
+    """Keys in groups, capital hex, padded base64 and short values beside weak words, against paths, names and versions of the same shapes."""
+    model = secrets.fit(spark, docs)
+    rng = random.Random(17)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    digit = lambda x: x if any(c.isdigit() for c in x) and any(c.isalpha() for c in x) else x[:-2] + "7q"
+    kinds = {
+        "groups": lambda: "-".join(some(letters, 8) for _ in range(4)),
+        "hex": lambda: some("0123456789ABCDEF", 40),
+        "padded": lambda: some(letters + "+/", 43) + "=",
+        "short": lambda: digit(some(letters, 16)),
+    }
+    words = "load store account session config buffer index value message report window parser".split()
+    plain = [lambda: "/".join(rng.choice(words) for _ in range(4)) + "/v2", lambda: "-".join(rng.choice(words) for _ in range(3)) + f"-{rng.randint(1, 99)}", lambda: rng.choice(words) + rng.choice(words) + str(rng.randint(1, 9)), lambda: "_".join(rng.choice(words) for _ in range(4)).upper() + "_2"]
+    rows, want = [], {}
+    for i in range(400):
+        if i % 2:
+            kind = rng.choice(sorted(kinds))
+            value = digit(kinds[kind]())
+            want[i] = (kind, value)
+        else:
+            value = rng.choice(plain)()
+        rows.append((i, f"the author sent pwd: '{value}' and bearer text here"))
+    found = {r["doc_id"]: [r["text"][s["start"] : s["stop"]] for s in r["s_all"]] for r in secrets.with_spans(spark.createDataFrame(rows, "doc_id long, text string"), model["table"], "s_", model["threshold"]).collect()}
+    hit = Counter(kind for i, (kind, value) in want.items() if value in found[i])
+    total = Counter(kind for kind, _ in want.values())
+    wrong = sum(len(v) for i, v in found.items() if i not in want)
+    assert sum(hit.values()) >= 0.8 * len(want) and wrong <= 0.05 * 200, (hit, total, wrong)
+
+
+def test_ratio_is_the_plain_one(spark):
+    """The column's mean log-likelihood ratio against a plain sum over pairs."""
+    samples = spark.createDataFrame([("aX9", True), ("q7Zk", True), ("load_file", False), ("read", False)], "text string, random boolean")
+    table = secrets.train(samples)
+    code = lambda c: max(0, min(95, ord(c) - 32))
+    for t in ("aX9k", "load_read", "zz", "é9"):
+        want = sum(table[code(a) * 96 + code(b)] for a, b in zip(t, t[1:])) / (len(t) - 1)
+        assert abs(spark.range(1).select(secrets.ratio(F.lit(t), table)).first()[0] - want) < 1e-9
+
+
+def test_packed_ids_of_null_documents(spark):
+    rows = [(None, "one two three"), (None, "four"), (1, "five six"), (None, "four")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), packing.word_tokenizer_path(), with_ids=True).collect()
+    assert len(out) == 4 and all(len(r["ids"]) == 4 * r["length"] for r in out) and sum(r["doc_id"] is None for r in out) == 3
+
+
 def test_large_benchmark(spark):
     """More windows than are broadcast: the bit table still lets few windows through to the shuffle."""
     rng = random.Random(41)
