@@ -494,5 +494,47 @@ def trending_in_texts(spark, sf):
 def stream_entity_windows(spark, sf):
     schema = _table(spark, sf, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").select(F.col("user_id").cast("string").alias("entity"), F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts"))
-    out = streams.collect_available(spark, streams.entity_windows(rows), "stream-entities", "complete")
-    return out.select("entity", "day", F.col("recent").cast("long").alias("recent"), F.col("baseline").cast("long").alias("baseline"))
+    return streams.latest_available(spark, streams.entity_windows(rows), "stream-entities", ["entity", "day"])
+
+
+def _two_files(spark, sf) -> str:
+    """The events in two files, those of even numbers first."""
+    base = Scratch(spark, "two-files").base
+    for k in (0, 1):
+        _table(spark, sf, "events").where(F.col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(base)
+    return base
+
+
+@query(
+    "stream_late_rows",
+    """WITH m AS (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL 10 DAY AS mark FROM events WHERE event_id % 2 = 0)
+SELECT event_id, coalesce(event_id % 2 = 1 AND CAST(ts AS TIMESTAMP) < mark, false) AS late FROM events, m""",
+)
+def stream_late_rows(spark, sf):
+    """Rows of the second batch that lie ten days behind the first one's latest are late; kept and late together are all."""
+    base = _two_files(spark, sf)
+    rows = spark.readStream.schema(_table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(base)
+    root = Scratch(spark, "late-rows").base
+    streams.split_late(rows, root, late_seconds=10 * 86_400).awaitTermination()
+    read = lambda name: spark.read.schema(rows.schema).parquet(f"{root}/{name}").select("event_id", F.lit(name == "late").alias("late"))
+    return read("kept").unionByName(read("late"))
+
+
+@query("stream_sessions", "WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS t FROM events), s AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM e), k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM s), g AS (SELECT user_id, k, count(*) AS n FROM k GROUP BY user_id, k) SELECT user_id, n, count(*) AS sessions FROM g GROUP BY user_id, n")
+def stream_sessions(spark, sf):
+    """How many sessions of each length a user has, with gaps of half a day."""
+    rows = spark.readStream.schema(_table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*").select("user_id", "ts")
+    found = streams.collect_available(spark, streams.sessions(rows, "12 hours", late="3650 days").drop("session_window"), "stream-sessions", "complete")
+    return found.groupBy("user_id", "n").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+@query("stream_days", f"WITH {EVENTS} SELECT seq, date, importance FROM ev")
+def stream_days(spark, sf):
+    """The events written day by day from a stream of two batches, and read back from the store."""
+    base = _two_files(spark, sf)
+    raw = spark.readStream.schema(_table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(base)
+    rows = raw.select(F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("seq"), F.col("ts").cast("date").alias("date"), F.col("event_type").alias("category"), F.least(F.lit(10), 1 + F.floor(F.col("value") / 25)).cast("int").alias("importance"), F.lit(1).alias("mention_count"), F.array("event_type").alias("tags"), F.lit(False).alias("is_top"))
+    scratch = Scratch(spark, "stream-days")
+    kept = store.EventStore(spark, f"{scratch.base}/store")
+    streams.write_day_stream(rows, kept, f"{scratch.base}/checkpoint").awaitTermination()
+    return kept.events().select("seq", "date", "importance")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from eventloom.session import Scratch
 
@@ -58,14 +62,82 @@ def write_day_stream(stream: DataFrame, store, checkpoint: str) -> StreamingQuer
     return run_available(stream, sink, checkpoint)
 
 
+_SEEN = "days array<int>, sources array<string>"
+_WINDOWS = "entity string, day date, recent long, baseline long"
+_EPOCH = datetime.date(1970, 1, 1)
+
+
 def entity_windows(mentions: DataFrame, recent_days: int = 7, baseline_days: int = 30, late: str = "1 day") -> DataFrame:
-    """(entity, day, recent, baseline): of a stream (entity, source, ts), each day's distinct sources of the last days and of the days before them.
+    """(entity, day, recent, baseline) of a stream (entity, source, ts): each day's distinct sources of the last days and of the days before them.
+
+    The state of an entity is its distinct (day, source); a row is met once. A batch gives the rows
+    of the days that its new sources change, so the last row of an (entity, day) holds
+    (``latest_available``). Days that no row before the watermark's end can reach leave the state,
+    and an entity without days goes with a timer.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = set(zip(*state.get, strict=True)) if state.exists else set()
+        fresh = {x for frame in frames for x in zip(frame["d"], frame["source"], strict=True)} - seen
+        seen |= fresh
+        by_day: dict[int, set[str]] = {}
+        for day, source in seen:
+            by_day.setdefault(day, set()).add(source)
+        rows = []
+        for last in sorted({day + k for day, _ in fresh for k in range(baseline_days)}):
+            of = lambda first, end: len(set().union(*(by_day.get(last - k, ()) for k in range(first, end))))  # noqa: B023,E731
+            rows.append((key[0], _EPOCH + datetime.timedelta(last), of(0, recent_days), of(recent_days, baseline_days)))
+        # A row of the watermark's day can change a day's window whose first day is so far back.
+        least = state.getCurrentWatermarkMs() // 86_400_000 - baseline_days + 1
+        kept = sorted(x for x in seen if x[0] >= least)
+        if kept:
+            state.update(([d for d, _ in kept], [s for _, s in kept]))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (kept[-1][0] + baseline_days) * 86_400_000))
+        elif state.exists:
+            state.remove()
+        if rows:
+            yield pd.DataFrame(rows, columns=["entity", "day", "recent", "baseline"])
+
+    marked = mentions.withWatermark("ts", late).select("entity", F.coalesce("source", F.lit("")).alias("source"), "ts", F.unix_date(F.to_date("ts")).alias("d"))
+    return marked.where(F.col("d").isNotNull()).groupBy("entity").applyInPandasWithState(run, _WINDOWS, _SEEN, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def latest_available(spark: SparkSession, df: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """A stream of updates run to its end: the last batch's row of each key."""
+    scratch = Scratch(spark, label)
 
-    Both come from one sliding window of ``baseline_days`` a day, whose state holds what happened
-    on each day of it; the watermark ends a window.
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{scratch.base}/out/b={number}")
+
+    run_available(df, sink, f"{scratch.base}/checkpoint", "update").awaitTermination()
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_batch", T.LongType())])).parquet(f"{scratch.base}/out")
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.col("_batch")).alias("r"))
+    return best.select("r.*")
+
+
+def split_late(stream: DataFrame, root: str, ts: str = "ts", late_seconds: int = 86_400, trigger_checkpoint: str | None = None) -> StreamingQuery:
+    """Write a stream's rows to ``root``/kept and those behind the watermark to ``root``/late, each batch to a folder of its own.
+
+    The watermark of a batch is the latest time of all batches before it less ``late_seconds``; each
+    batch leaves its latest time beside its rows, so that a batch that is run again, after a
+    lost executor or driver, finds the same watermark and replaces its own folders. Rows without
+    a time are kept.
     """
-    marked = mentions.withWatermark("ts", late).groupBy("entity", F.window("ts", f"{baseline_days} days", "1 day"))
-    out = marked.agg(F.collect_set(F.struct("source", F.to_date("ts").alias("date"))).alias("seen"))
-    end = F.to_date(F.col("window.end"))
-    of = lambda near: F.size(F.array_distinct(F.transform(F.filter("seen", lambda s: (F.datediff(end, s["date"]) <= recent_days) if near else (F.datediff(end, s["date"]) > recent_days)), lambda s: s["source"])))
-    return out.select("entity", F.date_sub(end, 1).alias("day"), of(True).alias("recent"), of(False).alias("baseline"))
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = Scratch(spark, "late").save(batch, f"batch{number}")
+        if number:
+            marks = spark.read.schema("at timestamp, batch long").parquet(f"{root}/marks").where(F.col("batch") < number)
+            before = marks.agg(F.max("at").alias("at")).first()["at"]
+        else:
+            before = None
+        behind = F.lit(False) if before is None else F.coalesce(F.col(ts).cast("timestamp") < F.lit(before) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(late_seconds)), F.lit(False))
+        for name, chosen in (("kept", ~behind), ("late", behind)):
+            rows.where(chosen).write.mode("overwrite").parquet(f"{root}/{name}/b={number}")
+        rows.agg(F.max(F.col(ts).cast("timestamp")).alias("at")).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{root}/marks/b={number}")
+
+    return run_available(stream, sink, trigger_checkpoint or f"{root}/checkpoint")

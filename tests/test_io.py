@@ -156,3 +156,46 @@ def test_streams(spark, tmp_path):
     assert s.day("2026-11-18").count() == 3
     ts = spark.createDataFrame([(1, "2026-01-01 00:00:00"), (1, "2026-01-01 00:10:00"), (1, "2026-01-01 02:00:00")], "user_id long, t string").select("user_id", F.to_timestamp("t").alias("ts"))
     assert streams.sessions(ts).count() == 2
+
+
+def _stream(spark, path, rows, schema):
+    """One file a batch, in order."""
+    for batch in rows:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_entity_windows_by_batches(spark, tmp_path):
+    """Several batches, repeated and late rows: the last row of each day is the plain count of all rows so far that came in time."""
+    import datetime
+    import random
+
+    rng, start = random.Random(4), datetime.datetime(2026, 1, 1)
+    batches = []
+    for k in range(4):
+        days = [rng.randint(12 * k, 12 * k + 14) for _ in range(60)]
+        batches.append([(rng.choice("abc"), rng.choice(["s1", "s2", "s3", None]), start + datetime.timedelta(days=d, hours=rng.randint(0, 23))) for d in days])
+    batches[1] += batches[1][:20]
+    got = streams.latest_available(spark, streams.entity_windows(_stream(spark, str(tmp_path / "in"), batches, "entity string, source string, ts timestamp"), late="20 days"), "windows", ["entity", "day"]).collect()
+    seen = {(e, s or "", t.date()) for b in batches for e, s, t in b}
+    want = {}
+    for e in "abc":
+        for day in {d + datetime.timedelta(k) for x, _, d in seen if x == e for k in range(30)}:
+            of = lambda a, b: len({s for x, s, d in seen if x == e and a <= (day - d).days < b})  # noqa: B023,E731
+            want[e, day] = (of(0, 7), of(7, 30))
+    assert {(r["entity"], r["day"]): (r["recent"], r["baseline"]) for r in got} == want
+
+
+def test_late_rows(spark, tmp_path):
+    import datetime
+
+    t = lambda day: datetime.datetime(2026, 1, day)
+    batches = [[(1, t(10)), (2, t(1))], [(3, t(8)), (4, t(9)), (5, None), (6, t(20))], [(7, t(18)), (8, t(19)), (9, t(2))]]
+    root, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    stream = _stream(spark, str(tmp_path / "in"), batches, "id long, ts timestamp")
+    streams.split_late(stream, root, trigger_checkpoint=cp).awaitTermination()
+    read = lambda name: sorted(r["id"] for r in spark.read.schema("id long, ts timestamp").parquet(f"{root}/{name}").collect())
+    assert read("late") == [3, 7, 9] and read("kept") == [1, 2, 4, 5, 6, 8]
+    # A batch that is run again, its checkpoint lost, gives the same.
+    streams.split_late(spark.readStream.schema("id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), root, trigger_checkpoint=str(tmp_path / "cp2")).awaitTermination()
+    assert read("late") == [3, 7, 9] and read("kept") == [1, 2, 4, 5, 6, 8]
