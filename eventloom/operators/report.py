@@ -36,12 +36,21 @@ def facet_tabs(events: DataFrame, active: str) -> DataFrame:
     return tabs.withColumn("active", F.when(known, F.col("category") == active).otherwise(F.col("category") == "all"))
 
 
-def split_paragraph(text: str, capacity: int) -> list[str]:
-    """Parts of at most ``capacity`` characters, cut at a sentence's end past 45 % of it where there is one."""
-    out = []
-    while len(text) > capacity:
-        cut = max(text.rfind(s, 0, capacity) for s in "。！？.!?")
-        cut = cut + 1 if cut > 0.45 * capacity else capacity
-        out.append(text[:cut])
-        text = text[cut:]
-    return out + [text]
+SENTENCE_ENDS = "。！？；!?;"
+
+
+def split_paragraph(text: Column | str, capacity: int) -> Column:
+    """The parts of a text, of at most ``capacity`` characters each: cut after the last sentence's end in reach where
+    that lies past 45 % of it, else at the capacity. Null and empty texts have no parts."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    least = int(0.45 * capacity) + 1  # no part but the last is shorter
+    start = F.struct(F.array().cast("array<string>").alias("parts"), text.alias("rest"))
+
+    def take(acc: Column, _: Column) -> Column:
+        rest = acc["rest"]
+        stop = F.length(F.regexp_extract(F.substring(rest, 1, capacity), f"(?s)^.*[{SENTENCE_ENDS}]", 0))
+        cut = F.when(F.length(rest) <= capacity, F.length(rest)).when(stop > F.lit(0.45 * capacity), stop).otherwise(F.lit(capacity))
+        parts = F.when(rest == "", acc["parts"]).otherwise(F.concat(acc["parts"], F.array(F.substring(rest, F.lit(1), cut))))
+        return F.struct(parts.alias("parts"), F.substring(rest, cut + 1, F.length(rest)).alias("rest"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.length(text) / least).cast("int")), start, take, lambda acc: acc["parts"])

@@ -487,6 +487,24 @@ def trending_in_texts(spark, sf):
     return trending.trending_entities(trending.hits_in_texts(now, history, "2024-01-31"))
 
 
+@query(
+    "paragraph_parts",
+    """WITH RECURSIVE r AS (
+  SELECT doc_id, 0 AS k, '' AS part, coalesce(text, '') AS rest FROM documents
+  UNION ALL
+  SELECT doc_id, k + 1, substr(rest, 1, cut), substr(rest, cut + 1) FROM (
+    SELECT *, CASE WHEN length(rest) <= 400 THEN length(rest) WHEN stop > 180 THEN stop ELSE 400 END AS cut
+    FROM (SELECT *, length(regexp_extract(substr(rest, 1, 400), '(?s)^.*[。！？；!?;]')) AS stop FROM r WHERE rest <> '')
+  )
+) SELECT doc_id, count(*) FILTER (k > 0) AS parts, min(length(part)) FILTER (k > 0) AS least, md5(string_agg(part, '|' ORDER BY k) FILTER (k > 0)) AS digest FROM r GROUP BY doc_id""",
+)
+def paragraph_parts(spark, sf):
+    """Whole texts cut into pages' portions of 400 characters, at sentence ends where they are near."""
+    rows = _table(spark, sf, "documents").select("doc_id", report.split_paragraph("text", 400).alias("p"))
+    digest = F.when(F.size("p") > 0, F.md5(F.array_join("p", "|").cast("binary")))
+    return rows.select("doc_id", F.size("p").cast("long").alias("parts"), F.array_min(F.transform("p", F.length)).cast("long").alias("least"), digest.alias("digest"))
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 

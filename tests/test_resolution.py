@@ -347,7 +347,21 @@ def test_extract_retry_and_json(spark):
 
 
 def test_report_parts(spark):
-    assert report.split_paragraph("aaaa. bbbb. cc", 8) == ["aaaa.", " bbbb. c", "c"] or "".join(report.split_paragraph("aaaa. bbbb. cc", 8)) == "aaaa. bbbb. cc"
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab 漢。!;.\n") for _ in range(rng.randint(0, 90))) for _ in range(60)] + ["x" * 50, "x" * 20, "", None, "a" * 9 + "。" + "b" * 30]
+
+    def plain(t):
+        out = []
+        while t:
+            head = t[:20]
+            stop = max(head.rfind(c) for c in report.SENTENCE_ENDS) + 1
+            cut = len(t) if len(t) <= 20 else stop if stop > 9 else 20
+            out.append(t[:cut])
+            t = t[cut:]
+        return out
+
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", report.split_paragraph("t", 20).alias("p")).collect()
+    assert {r["id"]: r["p"] for r in got} == {k: plain(t or "") for k, t in enumerate(texts)}
     ev = spark.createDataFrame([("a",), ("a",), ("b",)], "category string")
     assert {r["category"]: (r["n"], r["active"]) for r in report.facet_tabs(ev, "zzz").collect()} == {"all": (3, True), "a": (2, False), "b": (1, False)}
     assert text is not None
