@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import dicts, tagging, text
 from eventloom.operators import aggregates, extract, filters, ranking, report, resolve, similarity, trending
-from eventloom.plans.registry import EVENTS, ITEMS, _norm_sql, _table, events, items, query
+from eventloom.plans.registry import EVENTS, ITEMS, _norm_sql, _table, doc_events, events, items, query
 from eventloom.session import Scratch
 from eventloom.sources import feeds, store
 from eventloom.streaming import streams
@@ -409,11 +409,6 @@ def search_feed(spark, sf):
 # --- resolution over whole documents ----------------------------------------------------------
 
 
-def doc_events(spark, sf):
-    """documents as events: the title is the first line's first 80 characters, the source the only entity."""
-    return items(spark, sf).select(F.col("seq").alias("id"), "title", F.array("source_name").alias("who"), F.col("summary").alias("text"))
-
-
 def _words(title: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({title}, '{w}')" for w in words) + ")"
 

@@ -38,6 +38,11 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("seq"), F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 80).alias("title"), F.col("text").alias("summary"), F.col("source").alias("source_name"), F.col("lang").alias("source_lang"), F.concat(F.lit("doc:"), "doc_id").alias("url"))
 
 
+def doc_events(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as events: the title is the first line's first 80 characters, the source the only entity."""
+    return items(spark, sf).select(F.col("seq").alias("id"), "title", F.array("source_name").alias("who"), F.col("summary").alias("text"))
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     e = _table(spark, sf, "events")
     return e.select(F.col("event_id").alias("seq"), F.col("ts").cast("date").alias("date"), F.col("event_type").alias("category"), F.least(F.lit(10), 1 + F.floor(F.col("value") / 25)).cast("int").alias("importance"), F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(0)).alias("mention_count"), F.array(F.col("user_id").cast("string")).alias("who"), "user_id", "value")

@@ -88,15 +88,15 @@ def _docs(spark, day, n=3):
 def test_maintenance(spark, tmp_path):
     s = store.EventStore(spark, str(tmp_path / "s"))
     s.write_days(_docs(spark, "2026-11-18").unionByName(_docs(spark, "2026-11-19")))
-    untouched = {p.name for p in (tmp_path / "s/events/date=2026-11-18").iterdir()}
+    untouched = {p.name for p in (tmp_path / "s/events/date=2026-11-18").rglob("*")}
     changes = s.day("2026-11-19").where("event_id = 'e1'").select("date", "event_id", F.lit("new").alias("full_content"))
     s.update_columns(changes, ["full_content"])
     assert {r["event_id"]: r["full_content"] for r in s.day("2026-11-19").collect()} == {"e0": "", "e1": "new", "e2": ""}
-    assert {p.name for p in (tmp_path / "s/events/date=2026-11-18").iterdir()} == untouched
+    assert {p.name for p in (tmp_path / "s/events/date=2026-11-18").rglob("*")} == untouched
     assert [r["importance"] for r in s.ranged("2026-11-18", "2026-11-19").limit(2).collect()] == [7, 6]
-    for p in (tmp_path / "s/events/date=2026-11-18").glob("*.parquet"):
+    for p in (tmp_path / "s/events/date=2026-11-18").rglob("*.parquet"):
         p.write_bytes(b"broken")
-    for p in (tmp_path / "s/events/date=2026-11-18").glob(".*.crc"):
+    for p in (tmp_path / "s/events/date=2026-11-18").rglob(".*.crc"):
         p.unlink()
     assert s.day("2026-11-18") is None and s.day("2026-11-17") is None and s.day("2026-11-19").count() == 3
 
