@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import dicts, tagging, text
 from eventloom.operators import aggregates, extract, filters, ranking, report, resolve, similarity, trending
-from eventloom.plans.registry import EVENTS, ITEMS, _norm_sql, _table, doc_events, events, items, query
+from eventloom.plans.registry import EVENTS, ITEMS, _norm_sql, _stored_events, _table, doc_events, events, items, query
 from eventloom.session import Scratch
 from eventloom.sources import feeds, store
 from eventloom.streaming import streams
@@ -284,7 +284,7 @@ def merged_tag_lists(spark, sf):
 
 def _stored(spark, sf) -> store.EventStore:
     """The events of the table as a day store in the shared folder."""
-    rows = events(spark, sf).select(F.col("seq").cast("string").alias("event_id"), "seq", "date", "category", "importance", "mention_count", F.array("category").alias("tags"), (F.col("importance") >= 9).alias("is_top"))
+    rows = _stored_events(events(spark, sf))
     kept = store.EventStore(spark, Scratch(spark, "event-store").base)
     kept.write_days(rows)
     return kept

@@ -48,6 +48,11 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), F.col("ts").cast("date").alias("date"), F.col("event_type").alias("category"), F.least(F.lit(10), 1 + F.floor(F.col("value") / 25)).cast("int").alias("importance"), F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(0)).alias("mention_count"), F.array(F.col("user_id").cast("string")).alias("who"), "user_id", "value")
 
 
+def _stored_events(rows: DataFrame) -> DataFrame:
+    """Events as documents of a store."""
+    return rows.select(F.col("seq").cast("string").alias("event_id"), "seq", "date", "category", "importance", "mention_count", F.array("category").alias("tags"), (F.col("importance") >= 9).alias("is_top"))
+
+
 ITEMS = "items AS (SELECT doc_id AS seq, substr(string_split(text, chr(10))[1], 1, 80) AS title, text AS summary, source AS source_name, lang AS source_lang FROM documents)"
 EVENTS = "ev AS (SELECT event_id AS seq, CAST(ts AS DATE) AS date, event_type AS category, CAST(least(10, 1 + floor(value / 25)) AS INT) AS importance, coalesce(CAST(json_extract_string(props, '$.k') AS INT), 0) AS mention_count, user_id, value FROM events)"
 PUNCT = r"[，。、！？!?,.;:：；\"''`()【】\[\]｜\|—\-－‘’“”·…．　\s]+"
@@ -511,4 +516,4 @@ def stream_dedup(spark, sf):
     return streams.collect_available(spark, found.select("user_id", "event_type"), "stream-dedup", "append")
 
 
-from eventloom.plans import parts, resolution  # noqa: E402,F401  add their queries
+from eventloom.plans import models, parts, resolution  # noqa: E402,F401  add their queries
