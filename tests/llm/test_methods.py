@@ -659,6 +659,35 @@ def test_packed_ids_of_null_documents(spark):
     assert len(out) == 4 and all(len(r["ids"]) == 4 * r["length"] for r in out) and sum(r["doc_id"] is None for r in out) == 3
 
 
+def test_whole_tree_of_shards(spark):
+    """All cuts of a tree against the recursion over sorted rows, for powers of two and other counts."""
+    rng = random.Random(23)
+    rows = [(i * rng.randint(1, 3), f"{i} " + "x" * int(rng.paretovariate(0.9) * 20 % 4000), rng.choice(["en", "en", "de", None]), rng.choice(["hot", "hot", "s1", "s2", None]), 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    meta = sharding._meta(docs, sharding.Scratch(spark, "tree")).collect()
+    for shards in (5, 8):
+        want = {}
+
+        def split(part, first, n, want=want):
+            if n == 1 or not part:
+                want.update({(r["doc_id"], r["text_crc32"]): first for r in part})
+                return
+            dim = max(range(4), key=lambda k: max(int(r["at"][k], 16) for r in part) - min(int(r["at"][k], 16) for r in part))
+            part = sorted(part, key=lambda r: r["at"][dim] + r["tail"])
+            need, cut = sum(r["size"] for r in part) * (n // 2) / n, len(part)
+            for k, r in enumerate(part):
+                if r["size"] >= need:
+                    cut = k if need < r["size"] / 2 else k + 1
+                    break
+                need -= r["size"]
+            split(part[:cut], first, n // 2)
+            split(part[cut:], first + n // 2, n - n // 2)
+
+        split(meta, 0, shards)
+        got = {(r["doc_id"], r["text_crc32"]): r["shard"] for r in sharding.kd_shards(docs, shards, tolerance=0.0).collect()}
+        assert got == want and len(set(got.values())) == shards
+
+
 def test_large_benchmark(spark):
     """More windows than are broadcast: the bit table still lets few windows through to the shuffle."""
     rng = random.Random(41)
