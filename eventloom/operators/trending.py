@@ -23,6 +23,19 @@ def recent_hits(entities: DataFrame, history: DataFrame, today, recent_days: int
     return past.where(fresh).join(new, "entity", "left_semi")
 
 
+def with_current(hits: DataFrame, events: DataFrame, history: DataFrame, today, recent_days: int = RECENT_DAYS, baseline_days: int = BASELINE_DAYS) -> DataFrame:
+    """``hits`` and (entity, source, ``today``) of the current events (seq, who, sources) that name a new entity.
+
+    An entity that no recent day names counts too, by its current events alone. The sources are those
+    of all events; ``event_trends`` gives each event its own.
+    """
+    day = F.lit(today).cast("date")
+    known = history.where((F.col("date") >= F.date_sub(day, baseline_days)) & (F.col("date") < F.date_sub(day, recent_days))).select("entity").distinct()
+    said = events.select("seq", F.explode("sources").alias("source"))
+    now = named_entities(events).join(said, "seq").select("entity", F.coalesce("source", F.lit("")).alias("source"), day.alias("date")).distinct()
+    return hits.unionByName(now.join(known, "entity", "left_anti"))
+
+
 def trending_entities(hits: DataFrame) -> DataFrame:
     """(entity, sources, days) of recent hits."""
     return hits.groupBy("entity").agg(F.count_distinct("source").alias("sources"), F.count_distinct("date").alias("days"))
