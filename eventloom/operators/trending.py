@@ -82,17 +82,30 @@ def _pairs(text: Column) -> Column:
 def history_matches(entities: DataFrame, texts: DataFrame) -> DataFrame:
     """(entity, text_id) where a text holds the entity between characters other than a-z and 0-9, in any script.
 
+    See ``history_told``.
+    """
+    return history_told(entities, texts, ["text_id"])
+
+
+def history_told(entities: DataFrame, texts: DataFrame, told: list[str]) -> DataFrame:
+    """(entity, *told), distinct: these columns of the texts (text_id, text) that hold an entity.
+
     Entities are lower-case. Texts are indexed by their ASCII words and by their pairs of
     neighbouring other characters; an entity is asked for under its longest word or, where it has
-    none, its rarest pair, and the bounded pattern decides on what meets. Entities without a
-    word or a pair (one character) are asked for under that character.
+    none, its rarest pair, and the bounded pattern decides on what meets. An entity that is one
+    ASCII word is held exactly where the word is, so no text travels for it, and what is told is
+    made distinct before it is shuffled. Entities without a word or a pair (one character) are
+    asked for under that character.
     """
     scratch = Scratch(texts.sparkSession, "history")
     longest = F.array_sort(F.transform(F.regexp_extract_all("entity", F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     asked = scratch.save(entities.where("entity <> ''").select("entity").distinct().withColumn("word", F.get(longest, F.lit(0))["w"]), "asked")
     low = texts.select("text_id", F.lower("text").alias("text"))
     words = low.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
-    met = words.join(asked.where(F.col("word").isNotNull()), "word").select("entity", "text_id")
+    single = F.col("word") == F.col("entity")
+    said = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("entity")
+    plain = texts.select(said, *told).distinct().join(asked.where(single).select("entity"), "entity")
+    met = words.join(asked.where(F.col("word").isNotNull() & ~single), "word").select("entity", "text_id")
     bare = asked.where(F.col("word").isNull()).select("entity", F.explode(F.when(F.size(_pairs(F.col("entity"))) > 0, _pairs(F.col("entity"))).otherwise(F.array("entity"))).alias("key"))
     if bare.head(1):
         # Only keys that some entity has leave the texts; each entity is then asked for under the one that fewest texts have.
@@ -102,7 +115,10 @@ def history_matches(entities: DataFrame, texts: DataFrame) -> DataFrame:
         counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         rarest = bare.join(counts, "key", "left").groupBy("entity").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k")).select("entity", F.col("k.key").alias("key"))
         met = met.unionByName(held.join(rarest, "key").select("entity", "text_id"))
-    return met.join(low, "text_id").where(F.regexp_like("text", _bounded(F.col("entity")))).select("entity", "text_id")
+    held = met.join(low, "text_id").where(F.regexp_like("text", _bounded(F.col("entity")))).select("entity", "text_id")
+    if told != ["text_id"]:
+        held = held.join(texts.select(*{"text_id": 0, **dict.fromkeys(told)}), "text_id")
+    return plain.unionByName(held.select("entity", *told)).distinct()
 
 
 def hits_in_texts(current: DataFrame, history: DataFrame, today, recent_days: int = RECENT_DAYS, baseline_days: int = BASELINE_DAYS) -> DataFrame:
@@ -112,5 +128,5 @@ def hits_in_texts(current: DataFrame, history: DataFrame, today, recent_days: in
     day = F.lit(today).cast("date")
     past = history.where((F.col("date") >= F.date_sub(day, baseline_days)) & (F.col("date") < day))
     asked = scratch.save(named_entities(current).select("entity").distinct(), "asked")
-    found = history_matches(asked, past.select("text_id", "text")).join(past.select("text_id", "source", "date"), "text_id")
-    return scratch.save(recent_hits(asked, scratch.save(found.select("entity", "source", "date").distinct(), "found"), today, recent_days, baseline_days), "hits")
+    found = history_told(asked, past.select("text_id", "text", "source", "date"), ["source", "date"])
+    return scratch.save(recent_hits(asked, scratch.save(found, "found"), today, recent_days, baseline_days), "hits")
