@@ -186,7 +186,8 @@ def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = RADIU
         tables = one.select("*", F.posexplode(F.array(*keys)).alias("table", "keys"))
         return tables.select(*one.columns, "table", F.explode("keys").alias("key"))
 
-    met = keyed(queries, "q", changes).join(keyed(prints, "p", [0]), ["table", "key"])
+    # Each query asks by hundreds of keys, which its size before them doesn't tell: never broadcast.
+    met = keyed(queries, "q", changes).hint("merge").join(keyed(prints, "p", [0]), ["table", "key"])
     distance = sum((F.bit_count(F.col(f"q{k}").bitwiseXOR(F.col(f"p{k}"))) for k in range(BITS // 64)), F.lit(0))
     apart = {b: sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(block("q", b), block("p", b), strict=True)), F.lit(0)) for b in range(blocks)}
     met = met.withColumn("distance", distance).where(F.col("distance") <= radius).withColumn("apart", F.array(*apart.values()))
